@@ -55,7 +55,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later work doesn't depend on executors' disks."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    conf, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    try:
+        before = spark.conf.get(conf)
+        spark.conf.set(conf, "true")  # what was shuffled on the way has served its turn
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -55,6 +55,14 @@ def grouped(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int
         yield begin, len(texts)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, by differences of the sums of a power series."""
+    powers, inverses = _pow(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_TABLE[data] * powers[: len(data)], out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z in lower case), and the number of words up to each text's end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
@@ -63,10 +71,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
-    powers, inverses = _pow(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[_LOWER[data]] * powers[: len(data)], out=sums[1:])
-    words = mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    words = span_hashes(_LOWER[data], starts, ends)
     stops = np.cumsum([len(t) + 1 for t in texts])
     return words, np.searchsorted(starts, stops)
 

@@ -306,9 +306,11 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # The three uses of the texts share one exchange by doc_id, and both uses of the segments one by minimizer.
     placed = docs.repartition(n, "doc_id")
     anchors = placed.mapInArrow(_anchors(length), "key long, doc_id long, place long, n int, twice boolean").repartition(n, "key")
-    counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max("twice").alias("t")).where("m > 1 or t").select("key", (F.col("m") > HOT).alias("hot"))
+    # The maximum reads every column, and the joins with the texts are outer ones, so that the exchanges are the same.
+    counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("twice", "n", "place", "doc_id"))["twice"].alias("t"))
+    counts = counts.where("m > 1 or t").select("key", (F.col("m") > HOT).alias("hot"))
     chosen = anchors.join(counts, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "n", "hot")).alias("__found"))
-    parts = placed.join(chosen, "doc_id").mapInArrow(_cut(length), _SEGMENT)
+    parts = placed.join(chosen, "doc_id", "left").mapInArrow(_cut(length), _SEGMENT)
     spans = parts.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort(length), "doc_id long, place long, bytes long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bytes")).alias("__spans"))
     joined = placed.join(spans, "doc_id", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<place:long,bytes:long>>")))
