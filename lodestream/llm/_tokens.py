@@ -24,6 +24,7 @@ _KINDS = np.zeros(256, np.uint8)
 _KINDS[[32, 9, 10, 11, 12, 13]] = _SPACE
 _KINDS[[44, 46]] = _STOP
 _KINDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _ALNUM
+_MARKS = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -102,7 +103,9 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text (UTF-8) the end of its own."""
-        whole = {i: t for i, t in enumerate(texts) if _WHOLE.search(t)}
+        joined = b"".join(texts)
+        odd = any(x in joined for x in _MARKS)
+        whole = {i: t for i, t in enumerate(texts) if (odd or not t.isascii()) and _WHOLE.search(t)}
         plain = [b"" if i in whole else t for i, t in enumerate(texts)]
         parts, ends, lo, done = [], [], 0, 0
         while lo < len(plain):
