@@ -3,7 +3,7 @@
 Earlier means a smaller doc_id, or the same document and an earlier start. The suffixes that can matter are found,
 dealt out and sorted as Spark jobs:
 
-1. Every window of ``length`` bytes is named by the smallest keyed hash of its 16-byte grams (its minimizer); runs of
+1. Every window of ``length`` bytes is named by the smallest keyed hash of its 32-byte grams (its minimizer); runs of
    windows with one minimizer are one segment. Equal windows have equal minimizers, so only segments whose minimizer
    occurs again anywhere are kept, by a grouped count over all segments.
 2. Kept segments are cut from the texts and dealt by minimizer. Identical segments of a task are sent once, and the
@@ -35,17 +35,18 @@ from pyspark.sql import types as T
 
 from ._text import U, grouped, mix, text_bytes
 
-GRAM, SHALLOW = 16, 24
+GRAM, SHALLOW = 32, 24
 #: Segments of one minimizer beyond which its windows are dealt one by one.
 HOT = 200_000
 #: Windows of a segment at most, bytes of a piece of a long text, and segment bytes sorted at once.
-LONGEST, PIECE, SORTED_AT_ONCE = 4096, 1 << 22, 6 << 20
-_TAG = 40  # a place is a hash of the text in the high bits (for rows that share a doc_id) and the start
+LONGEST, PIECE, SORTED_AT_ONCE = 4095, 1 << 22, 6 << 20
+_TAG = 31  # a place is a hash of the text in the high bits (for rows that share a doc_id) and the start
+_RUN = 13  # a segment is its place, 12 bits for its windows, and one that says whether its minimizer occurs twice in it
 _PLACE = U(0xFFFFFF)
 
 
 def _tag(text: bytes) -> int:
-    return (zlib.crc32(text) >> 12) << _TAG
+    return (zlib.crc32(text) >> 13) << _TAG
 
 
 def _load(data: np.ndarray) -> np.ndarray:
@@ -58,9 +59,10 @@ def segments(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     data = np.frombuffer(b"".join(texts) + bytes(GRAM), np.uint8)
     sizes = np.array([len(t) for t in texts], np.int64)
     words = _load(data)
-    n = len(words) - 8
+    n = len(words) - GRAM + 8
     gram = words[:n] * U(0x9E3779B97F4A7C15)
-    gram += words[8 : 8 + n] * U(0xC2B2AE3D27D4EB4F)
+    for i, factor in enumerate((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5), 1):
+        gram += words[8 * i : 8 * i + n] * U(factor)
     gram ^= gram >> U(32)
     gram *= U(0xD6E8FEB86659FD93)
     gram ^= gram >> U(29)
@@ -109,7 +111,8 @@ def _anchors(length: int):
             for lo, hi in grouped(pieces):
                 who, start, count, key, twice = segments(pieces[lo:hi], length)
                 owner, place = np.array(owners[lo:hi], np.int64), np.array(places[lo:hi], np.int64)
-                yield pa.record_batch([pa.array(x) for x in (key, owner[who], place[who] + start, count.astype(np.int32), twice)], ["key", "doc_id", "place", "n", "twice"])
+                packed = (place[who] + start) << _RUN | count << 1 | twice
+                yield pa.record_batch([pa.array(x) for x in (key, owner[who], packed)], ["key", "doc_id", "segment"])
 
     return run
 
@@ -123,11 +126,12 @@ def _cut(length: int):
             rows: tuple[list, ...] = ([], [], [], [], [])
             found = batch.column("__found")
             ends = found.offsets.to_numpy()
-            fields = {f: found.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "place", "n", "hot")}
+            fields = {f: found.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "segment", "hot")}
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True)):
                 own = slice(ends[i], ends[i + 1])
                 tag = _tag(text) >> _TAG
-                for key, place, n, hot in zip(*(fields[f][own].tolist() for f in ("key", "place", "n", "hot")), strict=True):
+                for key, segment, hot in zip(*(fields[f][own].tolist() for f in ("key", "segment", "hot")), strict=True):
+                    place, n = segment >> _RUN, (segment & (1 << _RUN) - 1) >> 1
                     if place >> _TAG != tag:
                         continue
                     start = place - (tag << _TAG)
@@ -305,11 +309,12 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select([c for c in docs.columns if c not in made])
     # The three uses of the texts share one exchange by doc_id, and both uses of the segments one by minimizer.
     placed = docs.repartition(n, "doc_id")
-    anchors = placed.mapInArrow(_anchors(length), "key long, doc_id long, place long, n int, twice boolean").repartition(n, "key")
+    kinds = T.StructType([T.StructField(c, T.LongType(), False) for c in ("key", "doc_id", "segment")])
+    anchors = placed.mapInArrow(_anchors(length), kinds).repartition(n, "key")
     # The maximum reads every column, and the joins with the texts are outer ones, so that the exchanges are the same.
-    counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct("twice", "n", "place", "doc_id"))["twice"].alias("t"))
-    counts = counts.where("m > 1 or t").select("key", (F.col("m") > HOT).alias("hot"))
-    chosen = anchors.join(counts, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "place", "n", "hot")).alias("__found"))
+    counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(F.col("segment").bitwiseAND(1).alias("twice"), "doc_id"))["twice"].alias("t"))
+    counts = counts.where("m > 1 or t = 1").select("key", (F.col("m") > HOT).alias("hot"))
+    chosen = anchors.join(counts, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "segment", "hot")).alias("__found"))
     parts = placed.join(chosen, "doc_id", "left").mapInArrow(_cut(length), _SEGMENT)
     spans = parts.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort(length), "doc_id long, place long, bytes long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bytes")).alias("__spans"))
