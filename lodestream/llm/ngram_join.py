@@ -122,6 +122,13 @@ def _sets(width: int):
     return run
 
 
+def _with_sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` with the columns of ``table(id, ...)`` for either side."""
+    for side in "ab":
+        pairs = pairs.join(table.select([F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in table.columns]), side)
+    return pairs
+
+
 def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0.8) -> DataFrame:
     """``(doc_id, n_shingles, component_id)``: one row per row of ``docs(doc_id, text)``.
 
@@ -147,12 +154,6 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
     hubs = postings.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
     shared = durable(postings.join(hubs, "token"), "postings")
 
-    # Only documents that share a prefix token need their sets.
-    wanted = shared.select("id").distinct()
-    sets = texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_sets(width), "id long, tokens array<bigint>")
-    light = chosen.select(F.col("doc_id").alias("id"), "p2", "p3").join(wanted, "id", "left_semi")
-    light, sets = durable(light, "orders"), durable(sets, "sets")
-
     def bounded(a: str, b: str) -> F.Column:
         """Bounds on length, and on what can still overlap after a first common token at these positions."""
         col = F.col
@@ -161,12 +162,14 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
         return (least * den >= most * num) & (rest * (num + den) >= (col(f"{a}.n") + col(f"{b}.n")) * num)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        def with_side(df: DataFrame, table: DataFrame, side: str) -> DataFrame:
-            return df.join(table.select([F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in table.columns]), side)
-
-        near = with_side(with_side(pairs.distinct(), light, "a"), light, "b")
-        near = near.where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
-        both = with_side(with_side(near, sets, "a"), sets, "b")
+        """The pairs that are links: prefixes under the other orders first, whole sets of the documents that are left then."""
+        orders = chosen.select(F.col("doc_id").alias("id"), "p2", "p3")
+        near = _with_sides(pairs.distinct(), orders).where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        near = durable(near.select("a", "b").distinct(), "candidates")
+        wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        own = texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+        sets = durable(own.mapInArrow(_sets(width), "id long, tokens array<bigint>"), "sets")
+        both = _with_sides(near, sets)
         common, total = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
         both = both.select("a", "b", common.cast("long").alias("common"), total.cast("long").alias("total"))
         return both.where(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b").distinct()
