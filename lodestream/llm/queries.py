@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprint, ngram_join, packing, suffix_dedup, token_files
+from . import embed_dedup, fingerprint, ngram_join, packing, suffix_dedup, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read_pages(spark, warc.write_pages(_table(spark, sf_dir, "pages"), min_revisit=100))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -42,7 +46,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_document_fingerprints, op6_embedding_near_dedup, op7_token_files, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op3_document_fingerprints, op4_warc, op6_embedding_near_dedup, op7_token_files, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
