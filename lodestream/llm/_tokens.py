@@ -15,7 +15,7 @@ import re
 import numpy as np
 import pandas as pd
 
-from ._text import span_hashes
+from ._text import mix, span_hashes
 
 #: Pieces kept by a worker at once, and bytes worked on at once.
 KEPT, AT_ONCE = 1_500_000, 1 << 21
@@ -30,47 +30,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-class WordEncoder:
-    """Ids of texts by the ``tokenizers`` file at ``path``, without special tokens added."""
+class PieceCache:
+    """Ids of texts from those of their pieces; subclasses say where pieces are and what their ids are.
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    A piece may come in variants, told apart by a number that ``_variants`` gives each occurrence.
+    """
 
-        with open(path) as f:
-            text = f.read()
-        self._tokenizer = Tokenizer.from_str(text)
-        kinds = json.loads(text)
-        steps = [x["type"] for x in (kinds["normalizer"] or {}).get("normalizers", [])]
-        #: Case and white space make no difference to the ids.
-        self._folds = "Lowercase" in steps and kinds["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
-        self._clear()
+    _folds = False
 
     def _clear(self) -> None:
         self._places: dict[int, int] = {}
         self._ids, self._starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        flat = np.fromiter((i for x in found for i in x), np.int32)
-        return flat, np.array([len(x) for x in found], np.int64)
-
     def _pieces(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kinds = _KINDS[data]
-        space, fence = kinds == _SPACE, np.zeros(len(data) + 1, bool)
-        fence[begins] = True
-        fence[ends] = True
-        cut = fence.copy()
-        cut[1:-1] |= (kinds[1:] == _STOP) & (kinds[:-1] == _ALNUM)
-        if not self._folds:
-            cut[1:-1] |= space[1:] & ~space[:-1]
-            starts = np.flatnonzero(cut[:-1])
-            return starts, np.append(starts[1:], len(data))
-        after = cut[:-1].copy()
-        after[1:] |= space[:-1]
-        before = cut[1:].copy()
-        before[:-1] |= space[1:]
-        return np.flatnonzero(~space & after), np.flatnonzero(~space & before) + 1
+        raise NotImplementedError
+
+    def _encode(self, pieces: list[bytes], variants: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        raise NotImplementedError
+
+    def _variants(self, owner: np.ndarray, step: np.ndarray) -> np.ndarray | None:
+        return None
 
     def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(texts)
@@ -81,6 +60,11 @@ class WordEncoder:
         data = np.frombuffer(joined, np.uint8)
         starts, ends = self._pieces(data, stops - sizes, stops)
         names = span_hashes(_LOWER[data] if self._folds else data, starts, ends)
+        text_ends = np.searchsorted(starts, stops)
+        counted = np.diff(text_ends, prepend=0)
+        chosen = self._variants(np.repeat(np.arange(len(texts)), counted), np.arange(len(starts)) - np.repeat(text_ends - counted, counted))
+        if chosen is not None:
+            names = mix(names + chosen.astype(np.uint64))
         codes, distinct = pd.factorize(names)
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
@@ -89,7 +73,9 @@ class WordEncoder:
         places, listed = self._places, distinct.tolist()
         fresh = [i for i, name in enumerate(listed) if name not in places]
         if fresh:
-            more, counts = self._encode([joined[starts[j] : ends[j]] for j in first[fresh].tolist()])
+            at = first[fresh]
+            variants = None if chosen is None else chosen[at].tolist()
+            more, counts = self._encode([joined[starts[j] : ends[j]] for j in at.tolist()], variants)
             known = len(places)
             places.update((listed[i], known + k) for k, i in enumerate(fresh))
             self._ids = np.concatenate([self._ids, more])
@@ -99,7 +85,46 @@ class WordEncoder:
         counts = self._starts[at + 1] - begin
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = self._ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], counts)]
-        return ids, total[np.searchsorted(starts, stops)]
+        return ids, total[text_ends]
+
+
+class WordEncoder(PieceCache):
+    """Ids of texts by the ``tokenizers`` file at ``path``, without special tokens added."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        with open(path) as f:
+            text = f.read()
+        self._tokenizer = Tokenizer.from_str(text)
+        kinds = json.loads(text)
+        steps = [x["type"] for x in (kinds["normalizer"] or {}).get("normalizers", [])]
+        #: Case and white space make no difference to the ids.
+        self._folds = "Lowercase" in steps and kinds["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
+        self._clear()
+
+    def _encode(self, texts: list[bytes], variants: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        found = [x.ids for x in self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+        flat = np.fromiter((i for x in found for i in x), np.int32)
+        return flat, np.array([len(x) for x in found], np.int64)
+
+    def _pieces(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        kinds = _KINDS[data]
+        space, fence = kinds == _SPACE, np.zeros(len(data) + 1, bool)
+        fence[begins] = True
+        fence[ends] = True
+        cut = fence.copy()
+        cut[1:-1] |= (kinds[1:] == _STOP) & (kinds[:-1] == _ALNUM)
+        if not self._folds:
+            cut[1:-1] |= space[1:] & ~space[:-1]
+            starts = np.flatnonzero(cut[:-1])
+            return starts, np.append(starts[1:], len(data))
+        after = cut[:-1].copy()
+        after[1:] |= space[:-1]
+        before = cut[1:].copy()
+        before[:-1] |= space[1:]
+        return np.flatnonzero(~space & after), np.flatnonzero(~space & before) + 1
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text (UTF-8) the end of its own."""

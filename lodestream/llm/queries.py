@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, fingerprint, ngram_join, packing, suffix_dedup, token_files, toxicity, warc
+from . import embed_dedup, fingerprint, merge_dropout, ngram_join, packing, suffix_dedup, token_counts, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return merge_dropout.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"), dropout=0.1, seed=1)
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -30,6 +35,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, warc.write_pages(_table(spark, sf_dir, "pages"), min_revisit=100))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
@@ -53,7 +62,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op3_document_fingerprints, op4_warc, op6_embedding_near_dedup, op7_token_files, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_merge_dropout, op3_document_fingerprints, op4_warc, op5_token_counts, op6_embedding_near_dedup, op7_token_files, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
