@@ -12,7 +12,7 @@ a group of copies is never expanded into all its pairs.
 
 Defined cases: null, empty or word-free texts have ``n_shingles`` 0 and are components of their own; texts with fewer
 words than the width have their whole sequence as one shingle; rows that repeat a doc_id count as one document for links
-(each keeps its own row and count); an empty table gives an empty result; other columns are ignored.
+(each keeps its own row and count); rows without a doc_id link with nothing and have no component; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -144,7 +144,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
     sketch = spark.sparkContext.broadcast(token_sketch(texts, width))
     prepared = durable(texts.mapInArrow(_prepare(width, limit, sketch), _PREPARED), "prefixes")
 
-    full = prepared.where("n_shingles > 0")
+    full = prepared.where("n_shingles > 0 and doc_id is not null")
     classes = full.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"))
     classes = durable(classes.select("id", "n_shingles", "set_hash"), "classes")
     chosen = full.join(classes.select(F.col("id").alias("doc_id"), "n_shingles", "set_hash"), ["doc_id", "n_shingles", "set_hash"], "left_semi")
@@ -167,7 +167,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
         near = _with_sides(pairs.distinct(), orders).where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
         near = durable(near.select("a", "b").distinct(), "candidates")
         wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        own = texts.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi")
+        own = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi")  # the same plan at every size
         sets = durable(own.mapInArrow(_sets(width), "id long, tokens array<bigint>"), "sets")
         both = _with_sides(near, sets)
         common, total = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
@@ -188,7 +188,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
 
     named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component_id"))
     rows = prepared.select("doc_id", "n_shingles", "set_hash").join(named, ["n_shingles", "set_hash"], "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float | str = 0.8) -> DataFrame:
