@@ -192,6 +192,6 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float | str = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose document is its component's first; all columns stay."""
-    parts = ngram_components(docs, width, threshold).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_semi").select(docs.columns)
+    """``docs`` without the documents that are not the first of their component; all columns, and rows without a doc_id, stay."""
+    copies = ngram_components(docs, width, threshold).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)

@@ -73,25 +73,32 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, weight: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> Model:
-    """Naive Bayes ratios, then logistic regression by accelerated gradient steps on the scaled features."""
+def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float], rounds: int = 150, penalty: float = 1e-4) -> Model:
+    """Naive Bayes ratios, then logistic regression by accelerated gradient steps on the scaled features.
+
+    ``shares``: how many labels of class 0 and 1 each row of that class stands for.
+    """
     size = 1 << BITS
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    weight = np.where(toxic == 1, shares[1], shares[0])
     share = float((weight * toxic).sum() / max(weight.sum(), 1e-12))
     if not 0 < share < 1:
         return Model(np.zeros(size, np.float32), 40.0 if share >= 1 else -40.0)
-    held = [np.bincount(flat, weight[owner] * (toxic[owner] == c), size) + SMOOTHING for c in (1, 0)]
+    flat = np.concatenate(rows)
+    sizes = np.array([len(r) for r in rows])
+    of_toxic = np.repeat(toxic == 1, sizes)
+    counts = [np.bincount(flat[of_toxic], minlength=size), np.bincount(flat[~of_toxic], minlength=size)]
+    seen = counts[0] + counts[1]
+    held = [counts[0] * shares[1] + SMOOTHING, counts[1] * shares[0] + SMOOTHING]
     ratio = np.log(held[0] / held[0].sum()) - np.log(held[1] / held[1].sum())
-    seen = np.bincount(flat, minlength=size)
     # What a bucket can add: its ratio, weighted by how many texts it can move.
     force = np.where(seen >= 3, np.abs(ratio) * np.sqrt(held[0]), 0)
     kept = np.flatnonzero(force > 0)
     kept = kept[np.argsort(-force[kept], kind="stable")[:FEATURES]]
-    number = np.full(size, -1)
-    number[kept] = np.arange(len(kept))
-    inside = number[flat] >= 0
-    row, column = owner[inside], number[flat[inside]]
+    number = np.full(size, -1, np.int32)
+    number[kept] = np.arange(len(kept), dtype=np.int32)
+    column = number[flat]
+    inside = column >= 0
+    row, column = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[inside], column[inside]
     scale = ratio[kept]
     value = scale[column]
     weight = weight / weight.sum()
@@ -139,9 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     table = picked.mapInArrow(_collect, "toxic int, buckets array<int>").toArrow()
     toxic = table.column("toxic").to_numpy().astype(np.float64)
     rows = [x for chunk in table.column("buckets").chunks for x in np.split(chunk.values.to_numpy()[: chunk.offsets[-1].as_py()], chunk.offsets.to_numpy()[1:-1])] if len(table) else []
-    there = [max(1.0, (toxic == c).sum()) for c in (0, 1)]
-    weight = np.where(toxic == 1, many.get(1, 0) / there[1], many.get(0, 0) / there[0])
-    return fit_rows(rows, toxic, weight)
+    there = [max(1.0, float((toxic == c).sum())) for c in (0, 1)]
+    return fit_rows(rows, toxic, (many.get(0, 0) / there[0], many.get(1, 0) / there[1]))
 
 
 def _score(model, names: list[str]):
