@@ -45,7 +45,7 @@ class MergeModel:
 
         model = SentencePieceProcessor(model_file=path)
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
+        self.ranks: dict[str, float] = {}  # the lower, the sooner merged
         self.bytes: list[bytes] = []
         self.byte_ids = [0] * 256
         for i in range(model.get_piece_size()):
@@ -58,44 +58,37 @@ class MergeModel:
             else:
                 if MARK in piece.lstrip(MARK):
                     raise ValueError(f"piece {piece!r} reaches over the start of a run of spaces")
-                self.ids[piece], self.scores[piece] = i, model.get_score(i)
+                self.ids[piece], self.ranks[piece] = i, -model.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
 
     def encode_word(self, word: str, key: int, dropout: float) -> list[int]:
         """Ids of one word whose spaces are marks; ``key`` decides which candidates are skipped."""
-        scores, limit = self.scores, int(dropout * (_M + 1))
-        parts: list[str | None] = list(word)
-        n = len(parts)
-        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        agenda: list[tuple[float, int, str]] = []
-
-        def offer(i: int, j: int) -> None:
-            both = parts[i] + parts[j]
-            score = scores.get(both)
-            if score is not None:
-                heapq.heappush(agenda, (-score, i, both))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        n, limit, rank = len(word), int(dropout * (_M + 1)), self.ranks.get
+        # A part is named by where it begins; ``ends`` tells where it stops, and ``befores`` where the part before it begins.
+        ends, befores = list(range(1, n + 2)), list(range(-1, n))
+        agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
+        heapq.heapify(agenda)
         while agenda:
-            _, i, both = heapq.heappop(agenda)
-            left = parts[i]
-            if left is None or (j := after[i]) >= n or left + parts[j] != both:
+            _, i, middle, end = heapq.heappop(agenda)
+            if ends[i] != middle or ends[middle] != end:
                 continue  # one side has been merged since
-            if _hash(key ^ (i << 32 | len(both))) < limit:
+            x = key ^ (i << 32 | end - i)
+            if (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _M < limit:  # the key is mixed already
                 continue
-            parts[i], parts[j] = both, None
-            after[i] = k = after[j]
-            if k < n:
-                before[k] = i
-                offer(i, k)
-            if (h := before[i]) >= 0:
-                offer(h, i)
-        found = []
-        for part in parts:
-            if part is not None:
-                known = self.ids.get(part)
-                found += [known] if known is not None else [self.byte_ids[b] for c in part for b in c.encode("utf-8", "surrogatepass")]
+            ends[i], ends[middle] = end, -1
+            if end < n:
+                befores[end] = i
+                stop = ends[end]
+                if (r := rank(word[i:stop])) is not None:
+                    heapq.heappush(agenda, (r, i, end, stop))
+            if (h := befores[i]) >= 0 and (r := rank(word[h:end])) is not None:
+                heapq.heappush(agenda, (r, h, i, end))
+        found, i = [], 0
+        while i < n:
+            part = word[i : ends[i]]
+            known = self.ids.get(part)
+            found += [known] if known is not None else [self.byte_ids[b] for c in part for b in c.encode("utf-8", "surrogatepass")]
+            i = ends[i]
         return found
 
     def decode(self, ids: list[int]) -> bytes:
