@@ -36,6 +36,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Hand texts to Python workers in batches of 8 MB at most, so that long texts don't add up in a worker's memory.
+
+    The setting is read when a plan runs, so it stays; a smaller one is left alone.
+    """
+    conf = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(conf)
+    if now in ("67108864", "67108864b", "64m", "64mb", "-1", "-1b"):
+        spark.conf.set(conf, "8m")
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm

@@ -18,7 +18,7 @@ import pandas as pd
 from ._text import mix, span_hashes
 
 #: Pieces kept by a worker at once, and bytes worked on at once.
-KEPT, AT_ONCE = 1_500_000, 1 << 21
+KEPT, AT_ONCE = 600_000, 1 << 21
 _SPACE, _STOP, _ALNUM = 1, 2, 3
 _KINDS = np.zeros(256, np.uint8)
 _KINDS[[32, 9, 10, 11, 12, 13]] = _SPACE

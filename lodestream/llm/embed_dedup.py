@@ -1,12 +1,14 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
 Cells alone would miss pairs on either side of a border, so every vector is also a guest of each cell whose border (the
-plane between the two centres) is near enough for a link to reach over it. A vector's links are then all found in its own
-cell: the result is that of comparing all pairs. Centres are fitted on a sample of at most ``SAMPLE`` vectors; where they lie
-decides how much work there is, not what is found.
-
-Equal vectors are one row with a count. A cell is cut into blocks of at most ``BLOCK`` vectors, dealt out as pairs of
-blocks, so a group with a third of all rows is spread over many tasks; a task returns each row's number of links and a
+plane between the two centres) is near. How near: two linked vectors are sqrt(2 - 2 t) apart at most, and the part of
+that which points across a given border is, for differences in no particular direction, around a sqrt(width)-th of it; ``SPREAD``
+times that is the default, so one of some ten thousand links may be missed. With ``exact=True`` the whole distance is taken, and
+the result is that of comparing all pairs, at the cost of far more guests. Centres are fitted on a sample of at most ``SAMPLE``
+vectors; every vector is placed.
+
+Equal vectors are one row with a count. A cell is dealt out by blocks of at most ``BLOCK`` of its own vectors and ``OTHERS`` that
+they are compared with, so a group with a third of all rows is spread over many tasks; a task returns each row's number of links and a
 spanning forest of the links it saw, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than most of
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, durable
+from ._spark import connected_components, durable, small_batches
 
-#: Vectors that centres are fitted on, vectors that a cell should have, cells at most, and vectors of a block.
-SAMPLE, CELL, MOST_CELLS, BLOCK = 16_384, 2_048, 1_024, 2_048
+#: Vectors that centres are fitted on, vectors that a cell should have, cells at most, and vectors of a task on either side.
+SAMPLE, CELL, MOST_CELLS, BLOCK, OTHERS = 16_384, 2_048, 1_024, 4_096, 32_768
+SPREAD, _TILE = 4.0, 1_024
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -48,59 +51,73 @@ def _unit(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _assign(centres: np.ndarray, threshold: float):
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+def _assign(centres: np.ndarray, threshold: float, exact: bool):
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) * (1.0 if exact else min(1.0, SPREAD / np.sqrt(centres.shape[1]))) + 1e-9
     apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = _unit(batch.column("embedding").combine_chunks() if isinstance(batch.column("embedding"), pa.ChunkedArray) else batch.column("embedding"))
+            column = batch.column("embedding")
+            rows = _unit(column)
             near = rows @ centres.T
             home = np.argmax(near, axis=1)
             best = near[np.arange(len(rows)), home]
             at, cell = np.nonzero(best[:, None] - near <= reach * apart[home] + 1e-12)
-            packed = pa.array([r.tobytes() for r in rows], pa.binary())
-            index = pa.array(at)
-            yield pa.record_batch(
-                [pa.array(cell.astype(np.int32)), pa.array(home[at] == cell), batch.column("id").take(index), batch.column("m").take(index), packed.take(index)],
-                ["cell", "home", "id", "m", "vector"],
-            )
+            for lo in range(0, len(at), 20_000):
+                part = slice(lo, lo + 20_000)
+                index = pa.array(at[part])
+                yield pa.record_batch(
+                    [pa.array(cell[part].astype(np.int32)), pa.array(home[at[part]] == cell[part]), batch.column("id").take(index), batch.column("m").take(index), column.take(index)],
+                    ["cell", "home", "id", "m", "vector"],
+                )
 
     return run
 
 
 def _tile(threshold: float):
     def run(table: pa.Table) -> pa.Table:
-        ids, m = table.column("id").to_numpy(), table.column("m").to_numpy()
-        own, other = (np.flatnonzero(table.column(c).to_numpy()) for c in ("as_own", "as_other"))
-        rows = np.frombuffer(b"".join(table.column("vector").to_pylist()), np.float64).reshape(len(ids), -1)
-        linked = rows[own] @ rows[other].T >= threshold
-        linked &= own[:, None] != other[None, :]
-        links = np.zeros(len(ids), np.int64)
-        links[own] = linked @ m[other]
-        label = ids.copy()
-        a, b = np.nonzero(linked)
-        while len(a):  # labels sink along links until none changes
-            low = np.minimum(label[own[a]], label[other[b]])
-            before = label.copy()
-            np.minimum.at(label, own[a], low)
-            np.minimum.at(label, other[b], low)
-            if (label == before).all():
-                break
-        counted = np.zeros(len(ids), bool)
-        counted[own] = True
-        keep = (counted & (links > 0)) | (label != ids)
-        return pa.table({"id": ids[keep], "links": links[keep], "root": label[keep]})
+        table = table.sort_by("id")  # places are in the order of ids
+        ids, m, at_home = (table.column(c).to_numpy() for c in ("id", "m", "as_own"))
+        own, other = np.flatnonzero(at_home), np.flatnonzero(table.column("as_other").to_numpy())
+        rows = _unit(table.column("vector").combine_chunks())
+        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for lo in range(0, len(own), _TILE):
+            left = own[lo : lo + _TILE]
+            for at in range(0, len(other), _TILE):
+                right = other[at : at + _TILE]
+                a, b = np.nonzero(rows[left] @ rows[right].T >= threshold)
+                a, b = left[a], right[b]
+                differ = a != b
+                a, b = a[differ], b[differ]
+                links += np.bincount(a, m[b], len(ids)).astype(np.int64)
+                root = _united(root, a, b)
+        keep = (at_home & (links > 0)) | (root != np.arange(len(ids)))
+        return pa.table({"id": ids[keep], "links": links[keep], "root": ids[root][keep]})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The first member of each tree after the trees of a and b are joined pair by pair."""
+    x, y = root[a], root[b]
+    pairs = np.unique(x[x != y] * len(root) + y[x != y])
+    x, y = pairs // len(root), pairs % len(root)
+    top = np.arange(len(root))
+    while (top[x] != top[y]).any():
+        low = np.minimum(top[x], top[y])
+        np.minimum.at(top, x, low)
+        np.minimum.at(top, y, low)
+    return top[root]
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95, exact: bool = False) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
     spark = vectors.sparkSession
-    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    small_batches(spark)
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = every.where(F.coalesce(usable & fine, F.lit(False)))
@@ -114,17 +131,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     rows = _unit(pa.array([x for x in sample.to_pylist() if len(x) == width], pa.list_(pa.float64())))
     k = int(np.clip(classes.count() // CELL, 1, min(MOST_CELLS, len(rows))))
     centres = spherical_kmeans(rows, k)
-    placed = durable(classes.mapInArrow(_assign(centres, threshold), "cell int, home boolean, id long, m long, vector binary"), "cells")
+    placed = durable(classes.mapInArrow(_assign(centres, threshold, exact), f"cell int, home boolean, id long, m long, vector array<{kind}>"), "cells")
 
     # Cells are few (MOST_CELLS at most), and so are these counts.
-    sizes = placed.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / BLOCK).cast("int").alias("all"))
-    dealt = placed.join(F.broadcast(sizes), "cell").withColumn("block", F.xxhash64("id"))
-    own = dealt.where("home").select("*", F.pmod("block", "own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("as_own"), F.lit(False).alias("as_other"))
-    other = dealt.where("own > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.pmod("block", "all").alias("j"), F.lit(False).alias("as_own"), F.lit(True).alias("as_other"))
-    # A vector that is on both sides of a tile is one row there.
-    columns = ["cell", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j"), "id", "m", "vector", "as_own", "as_other"]
-    sides = own.select(columns).unionByName(other.select(columns))
-    tiles = sides.groupBy("cell", "i", "j", "id").agg(F.first("m").alias("m"), F.first("vector").alias("vector"), F.max("as_own").alias("as_own"), F.max("as_other").alias("as_other"))
+    sizes = placed.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / OTHERS).cast("int").alias("all"))
+    dealt = placed.join(F.broadcast(sizes), "cell").where("own > 0").withColumns({"i": F.pmod(F.xxhash64("id"), "own"), "j": F.pmod(F.xxhash64("id"), "all")})
+    # A task holds one block of a cell's own vectors (i) and one of all of its vectors (j). A vector goes to all tasks of its block j,
+    # and if it is at home here to those of its block i; where both meet it is one row.
+    every_i, every_j = F.sequence(F.lit(0), F.col("own") - 1), F.sequence(F.lit(0), F.col("all") - 1)
+    as_other = F.transform(every_i, lambda i: F.struct(i.alias("i"), F.col("j").cast("int").alias("j"), (F.col("home") & (i == F.col("i"))).alias("as_own"), F.lit(True).alias("as_other")))
+    as_own = F.transform(F.filter(every_j, lambda j: F.col("home") & (j != F.col("j"))), lambda j: F.struct(F.col("i").cast("int").alias("i"), j.alias("j"), F.lit(True).alias("as_own"), F.lit(False).alias("as_other")))
+    tiles = dealt.select("cell", "id", "m", "vector", F.explode(F.concat(as_other, as_own)).alias("t")).select("cell", "t.*", "id", "m", "vector")
     found = durable(tiles.groupBy("cell", "i", "j").applyInArrow(_tile(threshold), "id long, links long, root long"), "links")
 
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

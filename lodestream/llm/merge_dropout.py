@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import small_batches
 from ._text import U, mix, text_bytes
 from ._tokens import PieceCache
 
@@ -161,6 +162,7 @@ def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, var
             ids = worker.encode(text_bytes(batch.column("text")), batch.column("doc_id").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -186,4 +188,5 @@ def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1,
             rows = [(len(x), zlib.crc32(x.astype("<u4").tobytes()), hashlib.sha256(worker.model.decode(x.tolist())).hexdigest()) for x in ids]
             yield pa.record_batch([batch.column("doc_id"), *(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string())))], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string")

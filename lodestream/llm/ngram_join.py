@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, durable
+from ._spark import connected_components, durable, small_batches
 from ._text import U, lists, mix, shingles, text_bytes
 
 #: Rows and slots of the sketch; its 4 MB do not depend on the input.
@@ -140,6 +140,7 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
     if not 0 < limit <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(token_sketch(texts, width))
     prepared = durable(texts.mapInArrow(_prepare(width, limit, sketch), _PREPARED), "prefixes")

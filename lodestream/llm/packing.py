@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import durable
+from ._spark import durable, small_batches
 from ._text import text_bytes
 from ._tokens import encoder
 
@@ -128,6 +128,7 @@ def _cut(tokenizer: str, end_id: int, capacity: int, carried: list[str], ids: bo
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, ids: bool = True, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Rows ``piece, start, length, ids_crc32`` (and ``ids``) of the token ids of each text with ``end_id`` after them."""
+    small_batches(docs.sparkSession)
     carried = tuple(dict.fromkeys(("doc_id", *carried)))
     fields = [docs.schema[c] for c in carried]
     fields += [T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))]

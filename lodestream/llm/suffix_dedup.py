@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import small_batches
 from ._text import U, grouped, mix, text_bytes
 
 GRAM, SHALLOW = 32, 24
@@ -304,6 +305,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
+    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = {"n_bytes", "n_removed", "n_spans", "kept"}
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select([c for c in docs.columns if c not in made])

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import small_batches
 from ._text import grouped, span_hashes, text_bytes
 
 MARK = "▁"
@@ -127,6 +128,7 @@ def _worker(path: str) -> TokenCounter:
 
 def count_tokens(docs: DataFrame, model: str, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` columns of ``carried`` with n_words and n_tokens of each whole text."""
+    small_batches(docs.sparkSession)
     fields = [*(docs.schema[c] for c in carried), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,5 +159,6 @@ def pretoken_counts(docs: DataFrame, model: str) -> DataFrame:
                 times = np.bincount(codes, minlength=len(names))
                 yield pa.record_batch([pa.array([x.decode() for x in names], pa.string()), pa.array(each), pa.array(times)], ["pretoken", "n_tokens", "occurrences"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select("text").mapInArrow(run, "pretoken string, n_tokens long, occurrences long")
     return rows.groupBy("pretoken").agg(F.first("n_tokens").alias("n_tokens"), F.sum("occurrences").alias("occurrences"))

@@ -28,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import durable, new_path
+from ._spark import durable, new_path, small_batches
 from ._text import text_bytes
 from ._tokens import encoder
 
@@ -206,6 +206,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder:
     Manifest: part, shard, path, documents, ids, first_id (the ids of all shards before).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or new_path(spark, "tokens")
     store, name = _store(folder)
     store.create_dir(name, recursive=True)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._spark import small_batches
 from ._text import U, grouped, lists, text_bytes
 
 #: Buckets (as bits), n-gram lengths, labelled texts per class, features kept, and smoothing of counts.
@@ -34,7 +35,7 @@ _GAP = bytes(8)
 
 def _buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of all n-grams of a run of texts, for each length, and the places where texts end."""
-    for lo, hi in grouped(texts):
+    for lo, hi in grouped(texts, 1 << 19):
         data = _LOWER[np.frombuffer(_GAP.join(texts[lo:hi]) + _GAP, np.uint8)]
         words = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
         stops = np.cumsum([len(t) + 8 for t in texts[lo:hi]])
@@ -137,6 +138,7 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``."""
+    small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), "doc_id")
@@ -161,6 +163,7 @@ def _score(model, names: list[str]):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on); columns of these names give way."""
+    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in names]
