@@ -399,6 +399,17 @@ def multi_field_max(spark, sf_dir):
 
 
 # Keeping the index.
+@_query("select page_id, case when lower(ext) = 'pdf' then 'pdf' when lower(ext) in ('png', 'jpg', 'jpeg', 'tif', 'tiff') then 'image' end as kind from (select page_id, ['PDF', 'Jpg', 'txt', 'TIFF', 'png'][(page_id % 5 + 1)::int] as ext from pages)")
+def file_kinds(spark, sf_dir):
+    extension = F.element_at(F.array(*map(F.lit, ("PDF", "Jpg", "txt", "TIFF", "png"))), (F.col("page_id") % 5 + 1).cast("int"))
+    return _t(spark, sf_dir, "pages").select("page_id", files.kind(F.concat(F.lit("a.b/file."), extension)).alias("kind"))
+
+
+@_query("select doc_id, case when lang in ('en', 'mr', 'hi') then lang end as hint from documents")
+def language_hints(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", text.language_hint(F.concat(F.lit(" "), F.upper("lang"), F.lit("\n"))).alias("hint"))
+
+
 @_query("select source, count(*) as n from documents group by source")
 def count_by_source(spark, sf_dir):
     return _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
