@@ -11,7 +11,7 @@ edit in a text without line ends leaves the rest of its fingerprint alone. Empty
 
 Defined cases: null and empty texts have the fingerprint of no paragraph; two such are alike (1), one such and another are
 not (0); rows that repeat a doc_id are each fingerprinted, in the order of their texts; an empty table gives an empty result;
-other columns are ignored. A single row's next document is itself.
+other columns are ignored. Rows without a doc_id come after all others; a single row's next document is itself.
 """
 
 from __future__ import annotations

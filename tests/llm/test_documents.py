@@ -239,8 +239,13 @@ def test_fingerprints(spark, messy, none, sf):
         assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
     assert len(set(seen.values())) == len(seen)
     assert np.mean([r["near_edited"] > r["near_next"] for r in got.values()]) > 0.9
-    messy = messy.where("doc_id is not null")
-    assert fingerprint.fingerprint_documents(messy).count() == messy.count()
+    rows = sorted(rows_of(messy), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""), reverse=True)
+    want = Counter()
+    for k, (d, t) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        want[d, len(t), hashlib.sha256((t[: len(t) - half] + following[:half]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in fingerprint.fingerprint_documents(messy).collect()) == want
     assert fingerprint.fingerprint_documents(none).count() == 0
 
 
