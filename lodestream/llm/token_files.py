@@ -214,8 +214,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     placed = texts.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text")).withColumn("__part", F.spark_partition_id())
     shards = durable(placed.mapInArrow(_write(folder, tokenizer, end_id), _MANIFEST), "manifest")
-    before = Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)  # a row per shard of a million ids
-    return durable(shards.withColumn("first_id", F.coalesce(F.sum("ids").over(before), F.lit(0))), "manifest")
+    # Shards are added up within their part, and parts, of which there are as many as shuffle partitions, among themselves.
+    earlier = (Window.unboundedPreceding, -1)
+    parts = shards.groupBy("part").agg(F.sum("ids").alias("n")).select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(*earlier)), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum("ids").over(Window.partitionBy("part").orderBy("shard").rowsBetween(*earlier)), F.lit(0))
+    return durable(shards.withColumn("__within", within).join(parts, "part").select(*shards.columns, (F.col("__within") + F.col("__base")).alias("first_id")), "manifest")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
