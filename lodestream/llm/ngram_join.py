@@ -25,11 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._counts import BLOCKS, blocks, total
 from ._spark import connected_components, durable, small_batches
 from ._text import U, lists, mix, shingles, text_bytes
 
 #: Rows and slots of the sketch; its 4 MB do not depend on the input.
-SKETCH_ROWS, SKETCH_BITS, SKETCH_BLOCK = 2, 19, 1 << 13
+SKETCH_ROWS, SKETCH_BITS = 2, 19
 _SEEDS = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25))
 _PREPARED = "doc_id long, n_shingles long, set_hash binary, p1 array<bigint>, p2 array<int>, p3 array<int>"
 
@@ -57,34 +58,14 @@ def _count(width: int):
                     waiting, size = [], 0
         if waiting:
             add()
-        yield from _blocks({i: b for i, b in enumerate(sketch.reshape(-1, SKETCH_BLOCK)) if b.any()})
+        yield from blocks(sketch)
 
     return run
 
 
-def _blocks(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if sums:
-        packed = [np.minimum(b, 0xFFFFFFFF).astype("<u4").tobytes() for b in sums.values()]
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array(packed, pa.binary())], ["block", "counts"])
-
-
-def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            more = np.frombuffer(counts, "<u4").astype(np.int64)
-            sums[block] = sums[block] + more if block in sums else more
-    yield from _blocks(sums)
-
-
 def token_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Count-min sketch of how many documents hold each shingle, over all documents. 4 MB at any size of input."""
-    parts = docs.select("text").mapInArrow(_count(width), "block int, counts binary")
-    rows = parts.repartition(16, "block").mapInArrow(_sum, "block int, counts binary").collect()
-    sketch = np.zeros((SKETCH_ROWS << SKETCH_BITS) // SKETCH_BLOCK * SKETCH_BLOCK, np.uint32).reshape(-1, SKETCH_BLOCK)
-    for row in rows:
-        sketch[row["block"]] = np.frombuffer(row["counts"], "<u4")
-    return sketch.reshape(SKETCH_ROWS, -1)
+    return total(docs.select("text").mapInArrow(_count(width), BLOCKS), (SKETCH_ROWS, 1 << SKETCH_BITS))
 
 
 def _prefix_length(n: int, limit: Fraction) -> int:

@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import small_batches
+from ._counts import BLOCKS, blocks, total
+from ._spark import durable, small_batches
 from ._text import U, grouped, lists, text_bytes
 
 #: Buckets (as bits), n-gram lengths, labelled texts per class, features kept, and smoothing of counts.
@@ -31,6 +32,7 @@ BITS, LENGTHS, SAMPLE, FEATURES, SMOOTHING = 20, (4, 5, 6), 1_500, 8_192, 1.0
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _GAP = bytes(8)
+_FEATURES = "toxic int, buckets array<int>"
 
 
 def _buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -74,11 +76,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float], rounds: int = 150, penalty: float = 1e-4) -> Model:
-    """Naive Bayes ratios, then logistic regression by accelerated gradient steps on the scaled features.
+def choose(counts: np.ndarray, shares: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets to keep and their log ratios, from how many texts of class 0 and 1 hold each.
 
-    ``shares``: how many labels of class 0 and 1 each row of that class stands for.
+    ``shares``: how many labels of class 0 and 1 each text of that class stands for.
     """
+    held = [counts[1] * shares[1] + SMOOTHING, counts[0] * shares[0] + SMOOTHING]
+    ratio = np.log(held[0] / held[0].sum()) - np.log(held[1] / held[1].sum())
+    # What a bucket can add: its ratio, weighted by how many texts it can move.
+    force = np.where(counts.sum(axis=0) >= 3, np.abs(ratio) * np.sqrt(held[0]), 0)
+    kept = np.flatnonzero(force > 0)
+    kept = kept[np.argsort(-force[kept], kind="stable")[:FEATURES]]
+    return kept, ratio[kept]
+
+
+def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float], kept: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> Model:
+    """Logistic regression by accelerated gradient steps on the buckets ``kept``, scaled by their log ratios."""
     size = 1 << BITS
     weight = np.where(toxic == 1, shares[1], shares[0])
     share = float((weight * toxic).sum() / max(weight.sum(), 1e-12))
@@ -86,21 +99,11 @@ def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, flo
         return Model(np.zeros(size, np.float32), 40.0 if share >= 1 else -40.0)
     flat = np.concatenate(rows)
     sizes = np.array([len(r) for r in rows])
-    of_toxic = np.repeat(toxic == 1, sizes)
-    counts = [np.bincount(flat[of_toxic], minlength=size), np.bincount(flat[~of_toxic], minlength=size)]
-    seen = counts[0] + counts[1]
-    held = [counts[0] * shares[1] + SMOOTHING, counts[1] * shares[0] + SMOOTHING]
-    ratio = np.log(held[0] / held[0].sum()) - np.log(held[1] / held[1].sum())
-    # What a bucket can add: its ratio, weighted by how many texts it can move.
-    force = np.where(seen >= 3, np.abs(ratio) * np.sqrt(held[0]), 0)
-    kept = np.flatnonzero(force > 0)
-    kept = kept[np.argsort(-force[kept], kind="stable")[:FEATURES]]
     number = np.full(size, -1, np.int32)
     number[kept] = np.arange(len(kept), dtype=np.int32)
     column = number[flat]
     inside = column >= 0
     row, column = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[inside], column[inside]
-    scale = ratio[kept]
     value = scale[column]
     weight = weight / weight.sum()
 
@@ -136,8 +139,34 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("toxic"), lists(rows, pa.int32())], ["toxic", "buckets"])
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    counts = np.zeros((2, 1 << BITS), np.int64)
+    for batch in batches:
+        buckets = batch.column("buckets")
+        flat, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
+        for toxic, lo, hi in zip(batch.column("toxic").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            counts[toxic, flat[lo:hi]] += 1  # a text's buckets are distinct
+    yield from blocks(counts)
+
+
+def _only(kept: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[kept] = True
+        for batch in batches:
+            buckets = batch.column("buckets")
+            flat, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
+            rows = [flat[lo:hi][wanted[flat[lo:hi]]] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            yield pa.record_batch([batch.column("toxic"), lists(rows, pa.int32())], ["toxic", "buckets"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit on ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``."""
+    """Fit on ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``.
+
+    The driver gets at most ``FEATURES`` bucket numbers of each of 2 * ``SAMPLE`` texts, however long those are.
+    """
     small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -145,11 +174,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     # At most 2 * SAMPLE ids are broadcast; texts become bucket numbers before they leave their tasks.
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text")
-    table = picked.mapInArrow(_collect, "toxic int, buckets array<int>").toArrow()
-    toxic = table.column("toxic").to_numpy().astype(np.float64)
-    rows = [x for chunk in table.column("buckets").chunks for x in np.split(chunk.values.to_numpy()[: chunk.offsets[-1].as_py()], chunk.offsets.to_numpy()[1:-1])] if len(table) else []
-    there = [max(1.0, float((toxic == c).sum())) for c in (0, 1)]
-    return fit_rows(rows, toxic, (many.get(0, 0) / there[0], many.get(1, 0) / there[1]))
+    table = durable(picked.mapInArrow(_collect, _FEATURES), "features")
+    there = {r["toxic"]: r["n"] for r in table.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    shares = tuple(many.get(c, 0) / max(1.0, there.get(c, 0)) for c in (0, 1))
+    kept, scale = choose(total(table.mapInArrow(_count, BLOCKS), (2, 1 << BITS)), shares)
+    sent = table.mapInArrow(_only(kept), _FEATURES).toArrow()
+    rows = [x for chunk in sent.column("buckets").chunks for x in np.split(chunk.values.to_numpy()[: chunk.offsets[-1].as_py()], chunk.offsets.to_numpy()[1:-1])] if len(sent) else []
+    return fit_rows(rows, sent.column("toxic").to_numpy().astype(np.float64), shares, kept, scale)
 
 
 def _score(model, names: list[str]):
