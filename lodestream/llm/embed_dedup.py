@@ -1,11 +1,9 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products within cells, one vector kept per group.
 
-Cells alone would miss pairs on either side of a border, so every vector is also a guest of each cell whose border (the
-plane between the two centres) is near. How near: two linked vectors are sqrt(2 - 2 t) apart at most, and the part of
-that which points across a given border is, for differences in no particular direction, around a sqrt(width)-th of it; ``SPREAD``
-times that is the default, so one of some ten thousand links may be missed. With ``exact=True`` the whole distance is taken, and
-the result is that of comparing all pairs, at the cost of far more guests. Centres are fitted on a sample of at most ``SAMPLE``
-vectors; every vector is placed.
+Cells alone would miss pairs on either side of a border, so of each two cells one takes the other's vectors near the border (the
+plane between the two centres) as guests: all that lie as near as two linked vectors can be apart, sqrt(2 - 2 t). A pair of two cells
+is compared in that one cell and counts for both of its vectors, so the result is that of comparing all pairs. Centres are
+fitted on a sample of at most ``SAMPLE`` vectors; where they lie decides how much work there is, not what is found.
 
 Equal vectors are one row with a count. A cell is dealt out by blocks of at most ``BLOCK`` of its own vectors and ``OTHERS`` that
 they are compared with, so a group with a third of all rows is spread over many tasks; a task returns each row's number of links and a
@@ -28,8 +26,8 @@ from pyspark.sql import functions as F
 from ._spark import connected_components, durable, small_batches
 
 #: Vectors that centres are fitted on, vectors that a cell should have, cells at most, and vectors of a task on either side.
-SAMPLE, CELL, MOST_CELLS, BLOCK, OTHERS = 16_384, 2_048, 1_024, 4_096, 32_768
-SPREAD, _TILE = 4.0, 1_024
+SAMPLE, CELL, MOST_CELLS, BLOCK, OTHERS = 16_384, 4_096, 1_024, 4_096, 32_768
+_TILE = 1_024
 
 
 def spherical_kmeans(rows: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -51,9 +49,16 @@ def _unit(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _assign(centres: np.ndarray, threshold: float, exact: bool):
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) * (1.0 if exact else min(1.0, SPREAD / np.sqrt(centres.shape[1]))) + 1e-9
+def _hosts(k: int) -> np.ndarray:
+    """Whether cell b (column) takes guests from cell a (row): of each two cells one does, and each cell from about half of the others."""
+    ahead = (np.arange(k)[None, :] - np.arange(k)[:, None]) % k
+    return (ahead > 0) & (2 * ahead < k) | (2 * ahead == k) & (np.arange(k)[:, None] < np.arange(k)[None, :])
+
+
+def _assign(centres: np.ndarray, threshold: float):
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
     apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    hosts, itself = _hosts(len(centres)), np.eye(len(centres), dtype=bool)
 
     def run(batches):
         for batch in batches:
@@ -64,7 +69,7 @@ def _assign(centres: np.ndarray, threshold: float, exact: bool):
             near = rows @ centres.T
             home = np.argmax(near, axis=1)
             best = near[np.arange(len(rows)), home]
-            at, cell = np.nonzero(best[:, None] - near <= reach * apart[home] + 1e-12)
+            at, cell = np.nonzero((best[:, None] - near <= reach * apart[home] + 1e-12) & hosts[home] | itself[home])
             for lo in range(0, len(at), 20_000):
                 part = slice(lo, lo + 20_000)
                 index = pa.array(at[part])
@@ -79,7 +84,7 @@ def _assign(centres: np.ndarray, threshold: float, exact: bool):
 def _tile(threshold: float):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("id")  # places are in the order of ids
-        ids, m, at_home = (table.column(c).to_numpy() for c in ("id", "m", "as_own"))
+        ids, m, at_home, home = (table.column(c).to_numpy() for c in ("id", "m", "as_own", "home"))
         own, other = np.flatnonzero(at_home), np.flatnonzero(table.column("as_other").to_numpy())
         rows = _unit(table.column("vector").combine_chunks())
         links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
@@ -92,8 +97,10 @@ def _tile(threshold: float):
                 differ = a != b
                 a, b = a[differ], b[differ]
                 links += np.bincount(a, m[b], len(ids)).astype(np.int64)
+                guests = ~home[b]  # a pair of one cell is met from either side, one with a guest only here
+                links += np.bincount(b[guests], m[a[guests]], len(ids)).astype(np.int64)
                 root = _united(root, a, b)
-        keep = (at_home & (links > 0)) | (root != np.arange(len(ids)))
+        keep = (links > 0) | (root != np.arange(len(ids)))
         return pa.table({"id": ids[keep], "links": links[keep], "root": ids[root][keep]})
 
     return run
@@ -112,7 +119,7 @@ def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return top[root]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.95, exact: bool = False) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -131,7 +138,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, exact: bool = F
     rows = _unit(pa.array([x for x in sample.to_pylist() if len(x) == width], pa.list_(pa.float64())))
     k = int(np.clip(classes.count() // CELL, 1, min(MOST_CELLS, len(rows))))
     centres = spherical_kmeans(rows, k)
-    placed = durable(classes.mapInArrow(_assign(centres, threshold, exact), f"cell int, home boolean, id long, m long, vector array<{kind}>"), "cells")
+    placed = durable(classes.mapInArrow(_assign(centres, threshold), f"cell int, home boolean, id long, m long, vector array<{kind}>"), "cells")
 
     # Cells are few (MOST_CELLS at most), and so are these counts.
     sizes = placed.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / OTHERS).cast("int").alias("all"))
@@ -141,7 +148,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, exact: bool = F
     every_i, every_j = F.sequence(F.lit(0), F.col("own") - 1), F.sequence(F.lit(0), F.col("all") - 1)
     as_other = F.transform(every_i, lambda i: F.struct(i.alias("i"), F.col("j").cast("int").alias("j"), (F.col("home") & (i == F.col("i"))).alias("as_own"), F.lit(True).alias("as_other")))
     as_own = F.transform(F.filter(every_j, lambda j: F.col("home") & (j != F.col("j"))), lambda j: F.struct(F.col("i").cast("int").alias("i"), j.alias("j"), F.lit(True).alias("as_own"), F.lit(False).alias("as_other")))
-    tiles = dealt.select("cell", "id", "m", "vector", F.explode(F.concat(as_other, as_own)).alias("t")).select("cell", "t.*", "id", "m", "vector")
+    tiles = dealt.select("cell", "home", "id", "m", "vector", F.explode(F.concat(as_other, as_own)).alias("t")).select("cell", "t.*", "home", "id", "m", "vector")
     found = durable(tiles.groupBy("cell", "i", "j").applyInArrow(_tile(threshold), "id long, links long, root long"), "links")
 
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))

@@ -41,6 +41,17 @@ def test_near_duplicate_vectors(spark, monkeypatch, limit):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_links_over_borders_along_the_line_of_centres(spark, monkeypatch):
+    """Vectors that vary in two directions only: differences point straight across the borders."""
+    monkeypatch.setattr(embed_dedup, "CELL", 60)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 40)
+    angles = np.random.default_rng(6).uniform(0, 2 * np.pi, 600)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))] + [0.0] * 62) for i, a in enumerate(angles)]
+    df = spark.createDataFrame(rows + [(1000 + i, v) for i, v in rows[:9]], "vec_id long, embedding array<double>")
+    want = brute_links([(r["vec_id"], r["embedding"]) for r in df.collect()], 0.95)
+    assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df).collect()} == want
+
+
 def test_warc_round_trip(spark, tmp_path):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     odd = [(9001, None, None), (9002, "a\r\nb", "x" * 100), (9003, "", "x" * 100), (9004, "", "y" * 99), (9005, "", "y" * 99), (9000, "", "x" * 100), (9006, "u", "é" * 3_000_000), (9002, "a\r\nb", "x" * 100)]
