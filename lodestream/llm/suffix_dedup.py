@@ -140,8 +140,10 @@ def _cut(length: int):
                         part = text[at : at + many + length - 1]
                         name = xxhash.xxh3_128_digest(part)
                         here = (doc, (tag << _TAG) + at)
-                        first = seen.setdefault(name, here)
-                        known = first < here
+                        first = seen.get(name)
+                        if first == here:
+                            continue  # a row that repeats a doc_id and text: the same place
+                        known = first is not None and first < here
                         if not known:
                             seen[name] = here
                         route = doc if known else int.from_bytes(name[:8], "little", signed=True) if hot else key
@@ -220,13 +222,13 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int, shallow: int
 
 def repeated(parts: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
     """``(doc_id, place, bytes)`` of the spans of repeated windows in segments ``(doc_id, place, windows, bytes)``."""
-    spans, own, seen = [], [], set()
+    spans, own, seen = [], [], {}
     for doc, place, n, part in sorted(parts):
-        if part in seen:
-            spans.append((doc, place, n + length - 1))
-        else:
-            seen.add(part)
+        if part not in seen:
+            seen[part] = doc, place
             own.append((doc, place, n, part))
+        elif seen[part] != (doc, place):  # rows that repeat a doc_id and text send the same segment
+            spans.append((doc, place, n + length - 1))
     counts = np.array([x[2] for x in own], np.int64)
     sizes = np.array([len(x[3]) for x in own], np.int64)
     data = np.frombuffer(b"".join(x[3] for x in own) + bytes(16), np.uint8)
@@ -316,7 +318,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # The maximum reads every column, and the joins with the texts are outer ones, so that the exchanges are the same.
     counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(F.col("segment").bitwiseAND(1).alias("twice"), "doc_id"))["twice"].alias("t"))
     counts = counts.where("m > 1 or t = 1").select("key", (F.col("m") > HOT).alias("hot"))
-    chosen = anchors.join(counts, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "segment", "hot")).alias("__found"))
+    chosen = anchors.join(counts, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "segment", "hot")).alias("__found"))  # rows may repeat
     parts = placed.join(chosen, "doc_id", "left").mapInArrow(_cut(length), _SEGMENT)
     spans = parts.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort(length), "doc_id long, place long, bytes long")
     spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bytes")).alias("__spans"))

@@ -129,6 +129,19 @@ def test_suffix_edges(messy, none):
     assert cut.columns == ["doc_id", "text", "lang"] and cut.count() == messy.count()
 
 
+@pytest.mark.parametrize("hot", [200_000, 1])
+def test_suffix_repeated_rows_keep_one_copy(spark, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    one, two = " ".join(f"alpha{i}" for i in range(60)), " ".join(f"beta{i}" for i in range(60))
+    rows = [(1, one)] * 2 + [(2, "before " + one + " after")] + [(3, two)] * 5 + [(4, "a" * 300)] * 2 + [(5, two + one)] * 3
+    want = brute_repeats(rows)
+    assert want[1][1] == want[3][1] == 0 < want[4][1]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got) == Counter((d, *want[d]) for d, _ in rows)
+    parts = [(1, 0, 301, two.encode()[:400]), (1, 0, 301, two.encode()[:400]), (2, 7, 301, two.encode()[:400])]
+    assert suffix_dedup.repeated(parts, 100) == [(2, 7, 400)]
+
+
 def test_deep_shallow_groups():
     rng = np.random.default_rng(3)
     for length in (32, 40, 100):
