@@ -1,10 +1,11 @@
 """SentencePiece encoding with seeded merge-dropout, and decoding that gives the text back.
 
 Merge-type models put characters together, best-scored pair first, from an agenda of candidate merges. Here each candidate
-that comes up is skipped with probability ``dropout``, decided by a hash of the seed, the word's variant and the place of
-the candidate: the same seed gives the same ids on any cluster, another seed or occurrence another segmentation.
-No piece of the model reaches over the start of a run of spaces, so words are worked on one by one; ``variants`` of
-each word are drawn by a keyed hash of doc_id and position, which lets a worker keep what it has worked out.
+that comes up is skipped with probability ``dropout``, decided by a hash of the seed, the doc_id, the word's number in the text and the
+place of the candidate: the same seed gives the same ids on any cluster, another seed or occurrence another segmentation.
+No piece of the model reaches over the start of a run of spaces, so words are worked on one by one. Every occurrence draws for itself;
+what occurrences share is the work after the draw: what the agenda does with a word depends only on which of its candidates
+are skipped, so a worker keeps, for a word and the candidates skipped so far, the candidates that follow and the ids.
 
 Decoding joins the pieces' bytes; characters that the model lacks, and the model's own space mark in a text, go through byte
 pieces, so every text comes back byte by byte.
@@ -20,22 +21,18 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import small_batches
-from ._text import U, mix, text_bytes
-from ._tokens import PieceCache
+from ._text import U, grouped, mix, span_hashes, text_bytes
 
+#: Outcomes of words kept by a worker at once, and characters of a word beyond which each occurrence is worked on by itself.
+KEPT, LONGEST = 600_000, 32
 MARK = "▁"
-_M = (1 << 64) - 1
-
-
-def _hash(x: int) -> int:
-    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & _M
-    x = (x ^ x >> 27) * 0x94D049BB133111EB & _M
-    return x ^ x >> 31
+_M, _FACTOR = (1 << 64) - 1, 0xBF58476D1CE4E5B9
 
 
 class MergeModel:
@@ -62,9 +59,12 @@ class MergeModel:
                 self.ids[piece], self.ranks[piece] = i, -model.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
 
-    def encode_word(self, word: str, key: int, dropout: float) -> list[int]:
-        """Ids of one word whose spaces are marks; ``key`` decides which candidates are skipped."""
-        n, limit, rank = len(word), int(dropout * (_M + 1)), self.ranks.get
+    def encode_word(self, word: str, key: int, limit: int, skipped: tuple[int, ...] | None = None) -> tuple[list[int], list[int]]:
+        """Ids of one word whose spaces are marks; a candidate whose hash with ``key`` is below ``limit`` is skipped.
+
+        With ``skipped``, those are the numbers of the candidates to skip, and all candidates are returned too.
+        """
+        n, rank, met = len(word), self.ranks.get, []
         # A part is named by where it begins; ``ends`` tells where it stops, and ``befores`` where the part before it begins.
         ends, befores = list(range(1, n + 2)), list(range(-1, n))
         agenda = [(r, i, i + 1, i + 2) for i in range(n - 1) if (r := rank(word[i : i + 2])) is not None]
@@ -73,9 +73,15 @@ class MergeModel:
             _, i, middle, end = heapq.heappop(agenda)
             if ends[i] != middle or ends[middle] != end:
                 continue  # one side has been merged since
-            x = key ^ (i << 32 | end - i)
-            if (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & _M < limit:  # the key is mixed already
-                continue
+            name = i << 32 | end - i
+            if skipped is None:
+                x = key ^ name
+                if (x ^ x >> 29) * _FACTOR & _M < limit:  # the key is mixed already
+                    continue
+            else:
+                met.append(name)
+                if len(met) - 1 in skipped:
+                    continue
             ends[i], ends[middle] = end, -1
             if end < n:
                 befores[end] = i
@@ -90,7 +96,7 @@ class MergeModel:
             known = self.ids.get(part)
             found += [known] if known is not None else [self.byte_ids[b] for c in part for b in c.encode("utf-8", "surrogatepass")]
             i = ends[i]
-        return found
+        return found, met
 
     def decode(self, ids: list[int]) -> bytes:
         table = self.bytes
@@ -98,15 +104,76 @@ class MergeModel:
         return text[1:] if text[:1] == b" " else text
 
 
-class DropoutEncoder(PieceCache):
-    """Texts to ids; every text gets the model's leading space."""
-
-    def __init__(self, path: str, dropout: float, seed: int, variants: int):
-        self.model, self._dropout, self._seed, self._many = MergeModel(path), dropout, seed, variants
-        self._docs = np.zeros(0, np.uint64)
+class _Rows:
+    """Lists of numbers, added one by one and read together."""
+
+    def __init__(self, kind):
+        self._flat, self._ends, self._kind = np.zeros(1 << 16, kind), np.zeros(1 << 14, np.int64), kind
+        self.clear()
+
+    def clear(self) -> None:
+        self.many, self._waiting, self._counts = 0, [], []
+
+    def add(self, row: list[int]) -> None:
+        self._waiting += row
+        self._counts.append(len(row))
+
+    def take(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The rows ``at``, all in one, and where each ends."""
+        if self._counts:
+            size = int(self._ends[self.many])
+            counts = np.cumsum(np.array(self._counts, np.int64)) + size
+            while len(self._flat) < counts[-1]:
+                self._flat = np.concatenate([self._flat, np.zeros_like(self._flat)])
+            while len(self._ends) <= self.many + len(counts):
+                self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
+            self._flat[size : counts[-1]] = np.array(self._waiting, self._kind)
+            self._ends[self.many + 1 : self.many + 1 + len(counts)] = counts
+            self.many += len(counts)
+            self._waiting, self._counts = [], []
+        begin = self._ends[at]
+        counts = self._ends[at + 1] - begin
+        ends = np.cumsum(counts)
+        return self._flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - counts), counts)], ends
+
+
+class DropoutEncoder:
+    """Texts to ids; every text gets the model's leading space.
+
+    An outcome is a word and the numbers of the candidates skipped so far; it has the candidates that follow as long as no
+    other one is skipped, and the ids if none is. Occurrences go from outcome to outcome, all of a run of texts at once.
+    """
+
+    def __init__(self, path: str, dropout: float, seed: int):
+        self.model, self._limit, self._seed = MergeModel(path), min(_M, int(dropout * (_M + 1))), seed
+        self._candidates, self._ids = _Rows(np.uint64), _Rows(np.int32)
         self._clear()
 
-    def _pieces(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _clear(self) -> None:
+        self._candidates.clear(), self._ids.clear()
+        self._of: list[tuple[str, tuple[int, ...]]] = []
+        self._roots: dict[int, int] = {}
+        self._next: dict[int, int] = {}
+
+    def _outcome(self, word: str, skipped: tuple[int, ...]) -> int:
+        ids, met = self.model.encode_word(word, 0, 0, skipped)
+        self._candidates.add(met[skipped[-1] + 1 if skipped else 0 :])
+        self._ids.add(ids)
+        self._of.append((word, skipped))
+        return len(self._of) - 1
+
+    def _alone(self, text: str, key: int) -> int:
+        """The outcome of a single occurrence; a mark of the text itself is written in bytes."""
+        ids: list[int] = []
+        for k, part in enumerate(text.split(MARK)):
+            own = int(mix(np.array([key + k & _M], np.uint64))[0]) if k else key
+            ids += ([self.model.byte_ids[b] for b in MARK.encode()] if k else []) + self.model.encode_word(part.replace(" ", MARK), own, self._limit)[0]
+        self._candidates.add([])
+        self._ids.add(ids)
+        self._of.append(("", ()))
+        return len(self._of) - 1
+
+    def _words(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cut = np.zeros(len(data) + 1, bool)
         cut[begins] = True
         cut[ends] = True
@@ -115,31 +182,65 @@ class DropoutEncoder(PieceCache):
         starts = np.flatnonzero(cut[:-1])
         return starts, np.append(starts[1:], len(data))
 
-    def _variants(self, owner: np.ndarray, step: np.ndarray) -> np.ndarray:
-        return (mix(self._docs[self._first + owner] ^ mix(step.astype(np.uint64) + U(self._seed & _M))) % U(self._many)).astype(np.int64)
-
-    def _encode(self, pieces: list[bytes], variants: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        found = []
-        for raw, variant in zip(pieces, variants or [0] * len(pieces), strict=True):
-            text = raw.decode("utf-8")
-            key = _hash(zlib.crc32(raw) << 32 ^ self._seed * 0x9E3779B97F4A7C15 + variant & _M)
-            if MARK in text:  # a mark of the text itself is written in bytes
-                ids: list[int] = []
-                for k, part in enumerate(text.split(MARK)):
-                    ids += ([self.model.byte_ids[b] for b in MARK.encode()] if k else []) + self.model.encode_word(part.replace(" ", MARK), key + k, self._dropout)
-                found.append(ids)
-            else:
-                found.append(self.model.encode_word(text.replace(" ", MARK), key, self._dropout))
-        flat = np.fromiter((i for x in found for i in x), np.int32)
-        return flat, np.array([len(x) for x in found], np.int64)
+    def _part(self, texts: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row, and for each text the end of its own."""
+        joined = b"".join(texts)
+        if not joined:
+            return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        if len(self._of) > KEPT:
+            self._clear()
+        sizes = np.array([len(t) for t in texts], np.int64)
+        stops = np.cumsum(sizes)
+        data = np.frombuffer(joined, np.uint8)
+        starts, ends = self._words(data, stops - sizes, stops)
+        text_ends = np.searchsorted(starts, stops)
+        counted = np.diff(text_ends, prepend=0)
+        step = np.arange(len(starts)) - np.repeat(text_ends - counted, counted)
+        keys = mix(np.repeat(docs, counted) ^ mix(step.astype(np.uint64) + U(self._seed & _M)))
+        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        root = np.empty(len(distinct), np.int64)
+        for i, (name, j, many) in enumerate(zip(distinct.tolist(), first.tolist(), np.bincount(codes).tolist(), strict=True)):
+            at = self._roots.get(name)
+            if at is None and many == 1:
+                self._roots[name] = at = -1  # most words that are met once are not met again
+            elif at is None or at < 0:
+                word = joined[starts[j] : ends[j]].decode("utf-8")
+                at = -1 if len(word) > LONGEST or MARK in word else self._outcome(word.replace(" ", MARK), ())
+                self._roots[name] = at
+            root[i] = at
+        now = root[codes]
+        for j in np.flatnonzero(now < 0).tolist():
+            now[j] = self._alone(joined[starts[j] : ends[j]].decode("utf-8"), int(keys[j]))
+        open_ = np.arange(len(now)) if self._limit else np.zeros(0, np.int64)
+        while len(open_):
+            names, stop = self._candidates.take(now[open_])
+            counts = np.diff(stop, prepend=0)
+            x = np.repeat(keys[open_], counts) ^ names
+            at = np.flatnonzero((x ^ x >> U(29)) * U(_FACTOR) < U(self._limit))
+            owner = np.searchsorted(stop, at, "right")
+            head = np.diff(owner, prepend=-1) > 0  # the first candidate that is skipped
+            at, owner = at[head], owner[head]
+            open_ = open_[owner]
+            pairs, which = np.unique(now[open_] << 16 | at - (stop - counts)[owner], return_inverse=True)
+            following = np.empty(len(pairs), np.int64)
+            for i, pair in enumerate(pairs.tolist()):
+                found = self._next.get(pair)
+                if found is None:
+                    word, skipped = self._of[pair >> 16]
+                    found = self._next[pair] = self._outcome(word, (*skipped, (skipped[-1] + 1 if skipped else 0) + (pair & 0xFFFF)))
+                following[i] = found
+            now[open_] = following[which]
+        ids, stop = self._ids.take(now)
+        return ids, np.concatenate(([0], stop))[text_ends]
 
     def encode(self, texts: list[bytes], docs: list[int | None]) -> list[np.ndarray]:
         out: list[np.ndarray] = []
-        self._docs = mix(np.array([(d or 0) & _M for d in docs], np.uint64))
-        self._first = 0
-        for lo in range(0, len(texts), 256):
-            self._first = lo
-            ids, ends = self._part([b" " + t if t else b"" for t in texts[lo : lo + 256]])
+        named = mix(np.array([(d or 0) & _M for d in docs], np.uint64))
+        texts = [b" " + t if t else b"" for t in texts]
+        for lo, hi in grouped(texts, 1 << 20):
+            ids, ends = self._part(texts[lo:hi], named[lo:hi])
             out += np.split(ids, ends[:-1])
         return out
 
@@ -153,11 +254,11 @@ def _worker(*key) -> DropoutEncoder:
     return _encoders[key]
 
 
-def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """``(doc_id, ids)`` of ``docs(doc_id, text)`` under the SentencePiece merge model at ``model``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _worker(model, dropout, seed, variants)
+        worker = _worker(model, dropout, seed)
         for batch in batches:
             ids = worker.encode(text_bytes(batch.column("text")), batch.column("doc_id").to_pylist())
             yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -171,18 +272,18 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def text(ids):
-        found = _worker(model, 0.0, 0, 1).model
+        found = _worker(model, 0.0, 0).model
         return ids.map(lambda x: None if x is None else found.decode(x.tolist()).decode("utf-8", "replace"))
 
     return encoded.withColumn("text", text("ids"))
 
 
-def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def round_trip(docs: DataFrame, model: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """``(doc_id, n_ids, ids_crc32, decoded_sha256)``: what encoding gives, and a digest of the text decoded from it."""
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        worker = _worker(model, dropout, seed, variants)
+        worker = _worker(model, dropout, seed)
         for batch in batches:
             ids = worker.encode(text_bytes(batch.column("text")), batch.column("doc_id").to_pylist())
             rows = [(len(x), zlib.crc32(x.astype("<u4").tobytes()), hashlib.sha256(worker.model.decode(x.tolist())).hexdigest()) for x in ids]

@@ -306,6 +306,29 @@ def test_merge_dropout(spark, messy, none):
     assert merge_dropout.round_trip(none, path).count() == 0
 
 
+def test_merge_dropout_draws_for_every_occurrence():
+    path, word = public_tokenizers.path("piece_bpe_32k.model"), b"internationalization"
+    model = merge_dropout.MergeModel(path)
+    ids = merge_dropout.DropoutEncoder(path, 0.1, 1).encode([word] * 500, list(range(500)))
+    assert all(model.decode(x.tolist()) == word for x in ids) and len({x.tobytes() for x in ids}) > 4
+    ids = merge_dropout.DropoutEncoder(path, 0.1, 1).encode([b" ".join([word] * 500)], [7])[0]
+    ends = np.flatnonzero([b" " in model.bytes[i][:1] for i in ids])
+    assert len({x.tobytes() for x in np.split(ids, ends)}) > 4
+
+
+def test_merge_dropout_is_that_of_single_words():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    for dropout in (0.1, 0.5):
+        encoder, limit = merge_dropout.DropoutEncoder(path, dropout, 3), int(dropout * (1 << 64))
+        texts = [b"the international cat sat on the mat, the dog did not"] * 40
+        for doc, ids in zip(range(-5, 35), encoder.encode(texts, list(range(-5, 35))), strict=True):
+            want = []
+            for k, word in enumerate(texts[0].decode().split(" ")):
+                key = merge_dropout.mix(merge_dropout.mix(np.array([doc & (1 << 64) - 1], np.uint64)) ^ merge_dropout.mix(np.array([k + 3], np.uint64)))
+                want += encoder.model.encode_word("▁" + word, int(key[0]), limit)[0]
+            assert ids.tolist() == want
+
+
 def test_no_dropout_is_the_models_own_encoding(sf, spark):
     from sentencepiece import SentencePieceProcessor
 
