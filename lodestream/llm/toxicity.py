@@ -57,6 +57,8 @@ def _features(texts: list[bytes], keep: np.ndarray | None = None) -> list[np.nda
         else:
             at = np.nonzero(keep[rows])
             owner = np.searchsorted(stops, at[1], "right")
+            inside = at[1] < stops[owner] - 8  # none that begins in the gap, which reaches into the next text
+            at, owner = (at[0][inside], at[1][inside]), owner[inside]
             pairs = np.unique(owner.astype(np.int64) << BITS | rows[at].astype(np.int64))
             ends = np.searchsorted(pairs >> BITS, np.arange(len(stops)), "right")
             out += np.split((pairs & (1 << BITS) - 1).astype(np.int32), ends[:-1])

@@ -285,6 +285,13 @@ def test_toxicity_held_out(spark):
     assert np.mean([g >= 0.5 for g in good]) < 0.01
 
 
+def test_toxicity_features_are_those_of_the_text_alone():
+    texts = [b"", b"first text", b"", b"A second one", b"x", b"first text"]
+    alone = [toxicity._features([t])[0].tolist() for t in texts]
+    assert [x.tolist() for x in toxicity._features(texts, np.ones(1 << toxicity.BITS, bool))] == alone
+    assert alone[0] == [] and alone[1] == alone[5]
+
+
 def test_toxicity_edges(spark, messy, none):
     labels = spark.createDataFrame([(9, 1), (10, 1), (11, 0), (6, 0), (4, None), (None, 1), (999, 1)], "doc_id long, toxic int")
     model = toxicity.fit(messy, labels)
