@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._spark import in_tasks
+
 BLOCK = 1 << 13
 #: What tasks give to ``total``.
 BLOCKS = "block int, counts binary"
@@ -35,7 +37,7 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def total(parts: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     """The sum of all tasks' counts: ``shape`` numbers of four bytes, at any size of input."""
-    rows = parts.repartition(16, "block").mapInArrow(_sum, BLOCKS).collect()
+    rows = parts.repartition(16, "block").transform(in_tasks, _sum, BLOCKS).collect()
     out = np.zeros(shape, np.uint32)
     for row in rows:
         out.reshape(-1, BLOCK)[row["block"]] = np.frombuffer(row["counts"], "<u4")

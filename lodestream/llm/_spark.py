@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,12 +19,14 @@ _written: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only a session that has none, as in tests on one machine, gets a folder of its own.
+    Only a session on one machine that has none, as in tests, gets a folder of its own.
     """
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="lodestream-")
     return _own_dir
@@ -47,6 +52,27 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(conf, "8m")
 
 
+def _tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """Give memory that a task has freed back to the system: a worker that waits for its next task holds none."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return task
+
+
+def in_tasks(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size, for ``df.transform(in_tasks, run, schema)``."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(_tidy(run), schema)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder through Hadoop's file system, whatever store it is in."""
     jvm = spark.sparkContext._jvm
@@ -63,7 +89,10 @@ def _clean() -> None:
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later work doesn't depend on executors' disks."""
+    """Write ``df`` to the shared folder and read it back: later work doesn't depend on executors' disks.
+
+    ``release`` deletes the table once what is made of it has been written; at the latest the driver does when it ends.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     conf, before = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
@@ -73,25 +102,56 @@ def durable(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(conf) if before is None else spark.conf.set(conf, before)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._lodestream_path = path
+    return table
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``durable`` that no plan still to be run reads."""
+    for table in tables:
+        path = table.__dict__.pop("_lodestream_path", None)
+        if path is not None:
+            remove(table.sparkSession, path)
+            _written[:] = [x for x in _written if x[1] != path]
+
+
+#: Rows of one key that one task gets in ``spread_join``, and keys that are spread at most.
+SHARE, HOT_KEYS = 2_000, 1_000
+
+
+def spread_join(many: DataFrame, one: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key and says in ``count`` how many rows of ``many`` have it.
+
+    The keys with most rows (``HOT_KEYS`` at most, so any other has less than that part of all rows) are spread: their row of
+    ``one`` is copied, and each row of ``many`` goes to one copy. Only those keys and their numbers of copies are broadcast.
+    """
+    hot = one.where(F.col(count) > SHARE).select(*keys, count).orderBy(F.desc(count), *keys).limit(HOT_KEYS)
+    hot = F.broadcast(hot.select(*keys, F.ceil(F.col(count) / SHARE).cast("int").alias("__copies")))
+    # Rows of a hot key are dealt out by a hash of all of their columns.
+    salt = F.when(F.col("__copies").isNull(), 0).otherwise(F.pmod(F.xxhash64(*many.columns), "__copies")).cast("int")
+    left = many.join(hot, keys, "left").withColumn("__salt", salt).drop("__copies")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("__copies", F.lit(1)) - 1))
+    right = one.join(hot, keys, "left").withColumn("__salt", copies).drop("__copies", count)
+    return left.join(right, [*keys, "__salt"]).drop("__salt")
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; a component is named by its smallest node.
 
     Alternates the large-star and small-star steps: each node's neighbours are tied to the smallest of them.
-    Every step is a grouped minimum (summed before the shuffle, so hubs are no hot group) and an equi-join,
-    and each round is written to the shared folder. Self-loops keep lone nodes.
+    Every step is a grouped minimum (taken before the shuffle as far as it can be, so hubs are no hot group) and an equi-join
+    that spreads hubs, and each round is written to the shared folder. Self-loops keep lone nodes.
     """
-    spark = edges.sparkSession
 
     def both(df: DataFrame) -> DataFrame:
         return df.select(F.col("a").alias("u"), F.col("b").alias("v")).union(df.select(F.col("b").alias("u"), F.col("a").alias("v")))
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         near = both(df) if large else df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        tied = near.join(low, "u")
+        low = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
+        tied = spread_join(near, low, ["u"], "n")
+        low = low.drop("n")
         if large:
             out = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -104,8 +164,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         df = durable(star(star(now, True), False), "stars")
         mark = df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if last is not None:
-            remove(spark, last)
-        last, now = (df.inputFiles() or [""])[0].rpartition("/")[0], df
+            release(last)
+        last = now = df
         if mark == before or not mark[0]:
             break
         before = mark

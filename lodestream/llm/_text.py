@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 U = np.uint64
@@ -28,14 +29,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the multiplier and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_MULT, _INVERSE)):
-            row = np.full(n, base, np.uint64)
-            row[0] = 1
-            _powers[i] = np.multiply.accumulate(row)
-    return _powers[0], _powers[1]
+def _pow(n: int) -> list[np.ndarray]:
+    """The first n powers of the multiplier and of its inverse, modulo 2**64; only short rows of them are kept."""
+    global _powers
+    if len(_powers[0]) >= n:
+        return _powers
+    rows = []
+    for base in (_MULT, _INVERSE):
+        row = np.full(max(n, 1 << 20), base, np.uint64)
+        row[0] = 1
+        rows.append(np.multiply.accumulate(row))
+    if n <= 1 << 21:
+        _powers = rows
+    return rows
 
 
 def text_bytes(column: pa.Array) -> list[bytes]:
@@ -43,7 +49,7 @@ def text_bytes(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def grouped(texts: list[bytes], limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def grouped(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``limit`` bytes together (or one longer text)."""
     begin = size = 0
     for i, text in enumerate(texts):
@@ -63,6 +69,31 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every span holds the same bytes as span number ``other``."""
+    sizes = ends - starts
+    if (sizes != sizes[other]).any():
+        return False
+    kind = np.int32 if len(data) < 1 << 31 else np.int64
+    before = np.cumsum(sizes) - sizes
+    at = np.arange(int(sizes.sum()), dtype=kind)
+    mine, theirs = (at + np.repeat((x - before).astype(kind), sizes) for x in (starts, starts[other]))
+    return bool((data[mine] == data[theirs]).all())
+
+
+def distinct_spans(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which distinct span each span of ``data`` (the bytes of ``raw``) is, and the first place of each."""
+    codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+    for _ in range(2):
+        first = np.empty(len(distinct), np.int64)
+        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        if same_bytes(data, starts, ends, first[codes]):
+            return codes, first
+        # Two spans have one hash: tell them apart by themselves.
+        codes, distinct = pd.factorize(np.fromiter((raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), object, len(starts)))
+    raise AssertionError("equal bytes differ")
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words ``[^\\x20\\x09-\\x0D]+`` (A-Z in lower case), and the number of words up to each text's end."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
