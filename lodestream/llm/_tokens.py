@@ -1,9 +1,10 @@
 """Encoding of whole texts with a public tokenizer, each distinct piece once per worker.
 
-The pre-tokenizers of the supported files never join characters over the start of a run of white space, nor a letter or
-digit with a full stop or comma after it. So a text's ids are those of its pieces between such places in a row. Pieces
-are told apart by a 64-bit hash and their ids kept in a bounded cache; texts with white space other than ASCII's, or
-which could hold a special token, go to the tokenizer whole.
+The pre-tokenizers of the supported files never join characters over the start of a run of white space, nor ASCII letters,
+digits and other ASCII characters with each other (but for an apostrophe and what stands beside it). So a text's ids are those of its
+pieces between such places in a row. Equal pieces of a run of texts are found by a 64-bit hash and then compared byte by byte;
+their ids are kept by their bytes in a bounded cache. Pieces of ASCII letters, which the pre-tokenizer would leave as they
+are, go straight to the tokenizer's model. Texts with white space other than ASCII's, or which could hold a special token, go to the tokenizer whole.
 """
 
 from __future__ import annotations
@@ -11,45 +12,62 @@ from __future__ import annotations
 import json
 import os
 import re
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 
-from ._text import mix, span_hashes
+from ._text import distinct_spans
 
-#: Pieces kept by a worker at once, and bytes worked on at once.
-KEPT, AT_ONCE = 600_000, 1 << 21
-_SPACE, _STOP, _ALNUM = 1, 2, 3
-_KINDS = np.zeros(256, np.uint8)
+#: Pieces kept by a worker at once, their bytes and ids at most, and bytes worked on at once.
+KEPT, KEPT_BYTES, AT_ONCE = 300_000, 16 << 20, 1 << 20
+_SPACE, _LETTER, _DIGIT, _OTHER, _QUOTE = 1, 2, 3, 4, 5  # 0: not ASCII
+_KINDS = np.array([_OTHER] * 128 + [0] * 128, np.uint8)
 _KINDS[[32, 9, 10, 11, 12, 13]] = _SPACE
-_KINDS[[44, 46]] = _STOP
-_KINDS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _ALNUM
+_KINDS[[*range(65, 91), *range(97, 123)]] = _LETTER
+_KINDS[48:58] = _DIGIT
+_KINDS[39] = _QUOTE
+#: Whether a piece may end between two kinds.
+_CUTS = np.zeros((8, 8), bool)
+_CUTS[[_LETTER, _LETTER, _LETTER, _DIGIT, _DIGIT, _DIGIT, _OTHER, _OTHER], [_DIGIT, _OTHER, _QUOTE, _LETTER, _OTHER, _QUOTE, _LETTER, _DIGIT]] = True
 _MARKS = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Texts that are one word to either pre-tokenizer; a byte-level one writes a space as U+0120.
+_PLAIN = re.compile("[a-z]+| [A-Za-z]+").fullmatch
 
 
-class PieceCache:
-    """Ids of texts from those of their pieces; subclasses say where pieces are and what their ids are.
-
-    A piece may come in variants, told apart by a number that ``_variants`` gives each occurrence.
-    """
+class WordEncoder:
+    """Ids of texts by the ``tokenizers`` file at ``path``, without special tokens added."""
 
-    _folds = False
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def _clear(self) -> None:
-        self._places: dict[int, int] = {}
+        with open(path) as f:
+            text = f.read()
+        self._tokenizer = Tokenizer.from_str(text)
+        kinds = json.loads(text)
+        steps = [x["type"] for x in (kinds["normalizer"] or {}).get("normalizers", [])]
+        #: Case and white space make no difference to the ids.
+        self._folds = "Lowercase" in steps and kinds["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
+        #: Without normalizer and pre-tokenizer.
+        self._bare = Tokenizer(self._tokenizer.model)
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all pieces."""
+        self._places: dict[bytes, int] = {}
+        self._held = 0
         self._ids, self._starts = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def _pieces(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        raise NotImplementedError
-
-    def _encode(self, pieces: list[bytes], variants: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        raise NotImplementedError
-
-    def _variants(self, owner: np.ndarray, step: np.ndarray) -> np.ndarray | None:
-        return None
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces, all in a row, and how many each has."""
+        texts = [t.decode("utf-8", "replace") for t in pieces]
+        plain = [_PLAIN(t) is not None for t in texts]
+        words = self._bare.encode_batch_fast([t.replace(" ", "\u0120") for t, p in zip(texts, plain, strict=True) if p], add_special_tokens=False)
+        others = self._tokenizer.encode_batch_fast([t for t, p in zip(texts, plain, strict=True) if not p], add_special_tokens=False)
+        words, others = iter(words), iter(others)
+        found = [next(words if p else others).ids for p in plain]
+        return np.fromiter(chain.from_iterable(found), np.int32), np.array([len(x) for x in found], np.int64)
 
     def _part(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         joined = b"".join(texts)
@@ -57,65 +75,36 @@ class PieceCache:
         stops = np.cumsum(sizes)
         if not joined:
             return np.zeros(0, np.int32), np.zeros(len(texts), np.int64)
+        joined = joined.lower() if self._folds else joined  # ASCII only
         data = np.frombuffer(joined, np.uint8)
         starts, ends = self._pieces(data, stops - sizes, stops)
-        names = span_hashes(_LOWER[data] if self._folds else data, starts, ends)
         text_ends = np.searchsorted(starts, stops)
-        counted = np.diff(text_ends, prepend=0)
-        chosen = self._variants(np.repeat(np.arange(len(texts)), counted), np.arange(len(starts)) - np.repeat(text_ends - counted, counted))
-        if chosen is not None:
-            names = mix(names + chosen.astype(np.uint64))
-        codes, distinct = pd.factorize(names)
-        first = np.empty(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
-        if len(self._places) > KEPT:
-            self._clear()
-        places, listed = self._places, distinct.tolist()
-        fresh = [i for i, name in enumerate(listed) if name not in places]
+        codes, first = distinct_spans(joined, data, starts, ends)
+        if len(self._places) > KEPT or self._held > KEPT_BYTES:
+            self.clear()
+        places = self._places
+        listed = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        fresh = [x for x in listed if x not in places]
         if fresh:
-            at = first[fresh]
-            variants = None if chosen is None else chosen[at].tolist()
-            more, counts = self._encode([joined[starts[j] : ends[j]] for j in at.tolist()], variants)
-            known = len(places)
-            places.update((listed[i], known + k) for k, i in enumerate(fresh))
+            more, counts = self._encode(fresh)
+            places.update(zip(fresh, range(len(places), len(places) + len(fresh)), strict=True))
+            self._held += sum(map(len, fresh)) + 4 * len(more)
             self._ids = np.concatenate([self._ids, more])
             self._starts = np.concatenate([self._starts, self._starts[-1] + np.cumsum(counts)])
-        at = np.array([places[x] for x in listed], np.int64)[codes]
+        at = np.fromiter(map(places.__getitem__, listed), np.int64, len(listed))[codes]
         begin = self._starts[at]
         counts = self._starts[at + 1] - begin
         total = np.concatenate(([0], np.cumsum(counts)))
         ids = self._ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], counts)]
         return ids, total[text_ends]
 
-
-class WordEncoder(PieceCache):
-    """Ids of texts by the ``tokenizers`` file at ``path``, without special tokens added."""
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        with open(path) as f:
-            text = f.read()
-        self._tokenizer = Tokenizer.from_str(text)
-        kinds = json.loads(text)
-        steps = [x["type"] for x in (kinds["normalizer"] or {}).get("normalizers", [])]
-        #: Case and white space make no difference to the ids.
-        self._folds = "Lowercase" in steps and kinds["pre_tokenizer"]["pretokenizers"][0].get("behavior") == "Removed"
-        self._clear()
-
-    def _encode(self, texts: list[bytes], variants: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self._tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-        flat = np.fromiter((i for x in found for i in x), np.int32)
-        return flat, np.array([len(x) for x in found], np.int64)
-
     def _pieces(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kinds = _KINDS[data]
         space, fence = kinds == _SPACE, np.zeros(len(data) + 1, bool)
         fence[begins] = True
         fence[ends] = True
         cut = fence.copy()
-        cut[1:-1] |= (kinds[1:] == _STOP) & (kinds[:-1] == _ALNUM)
+        cut[1:-1] |= _CUTS.ravel()[kinds[:-1] << 3 | kinds[1:]]
         if not self._folds:
             cut[1:-1] |= space[1:] & ~space[:-1]
             starts = np.flatnonzero(cut[:-1])

@@ -5,9 +5,14 @@ So Spark counts the lengths, the driver packs the counts (pieces of one length a
 segment tree over remaining capacities), and every piece learns its place from its rank among the pieces of its length. The
 result is that of packing all pieces one by one; the driver's work and the table of moves do not grow with the documents.
 
-Defined cases: null and empty texts are the end id alone; a document longer than the capacity is cut so that its first
-piece takes the remainder; rows that repeat a doc_id are packed each for itself; ties are ranked by doc_id and piece; an
-empty table gives an empty result; of other columns only those asked for are carried along.
+A piece's rank is its number among the pieces of its length that its task wrote, which the task counts as it writes, and how many
+pieces of that length the tasks before it wrote. Those sums are a row for each task and length: up to ``BROADCAST`` of them are sent
+to where the pieces lie, so that no ids are shuffled; beyond that pieces and sums are joined by task.
+
+Defined cases: null and empty texts are the end id alone; a document longer than the capacity, however long, is cut so that its
+first piece takes the remainder; rows that repeat a doc_id, or have none, are packed each for itself; among pieces of one length
+the one that was written first takes the first place; an empty table gives an empty result; of other columns only those asked
+for are carried along, and those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -17,16 +22,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import durable, small_batches
+from ._spark import durable, in_tasks
 from ._text import text_bytes
 from ._tokens import encoder
 
-#: Into so many groups the pieces of one length are dealt to be ranked.
-SALTS = 64
+#: Rows of sums (a task and a length each) that are broadcast at most: some 30 MB.
+BROADCAST = 500_000
 
 
 class CapacityTree:
@@ -99,9 +105,34 @@ def best_fit_moves(counts: dict[int, int], capacity: int) -> list[tuple[int, int
     return moves
 
 
+class _Numbers:
+    """Numbers pieces among those of their length that this task has met."""
+
+    def __init__(self):
+        self._seen = np.zeros(1, np.int64)
+        self._part = TaskContext.get().partitionId()
+
+    def columns(self, lengths: np.ndarray) -> list[pa.Array]:
+        """``__part`` and ``__nth``."""
+        counts = np.bincount(lengths, minlength=len(self._seen))
+        self._seen = np.concatenate([self._seen, np.zeros(len(counts) - len(self._seen), np.int64)])
+        order = np.argsort(lengths, kind="stable")
+        nth = np.empty(len(lengths), np.int64)
+        nth[order] = np.arange(len(lengths)) - np.repeat(np.cumsum(counts) - counts, counts)
+        nth += self._seen[lengths]
+        self._seen += counts
+        return [pa.array(np.full(len(lengths), self._part, np.int32)), pa.array(nth)]
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = _Numbers()
+    for batch in batches:
+        yield pa.record_batch([*batch.columns, *numbers.columns(batch.column("length").to_numpy())], [*batch.schema.names, "__part", "__nth"])
+
+
 def _cut(tokenizer: str, end_id: int, capacity: int, carried: list[str], ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer)
+        encode, numbers = encoder(tokenizer), _Numbers()
         for batch in batches:
             flat, stops = encode(text_bytes(batch.column("text")))
             rows, places, begin = [], [], 0
@@ -120,20 +151,25 @@ def _cut(tokenizer: str, end_id: int, capacity: int, carried: list[str], ids: bo
             at = pa.array(places, pa.int64())
             made = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.int64(), pa.int64()))]
             made += [pa.array(owned, pa.list_(pa.int32()))] if ids else []
-            names = ["piece", "start", "length", "ids_crc32", *(["ids"] if ids else [])]
+            made += numbers.columns(np.array([r[2] for r in rows], np.int64))
+            names = ["piece", "start", "length", "ids_crc32", *(["ids"] if ids else []), "__part", "__nth"]
             yield pa.record_batch([*(batch.column(c).take(at) for c in carried), *made], [*carried, *names])
 
     return run
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, ids: bool = True, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Rows ``piece, start, length, ids_crc32`` (and ``ids``) of the token ids of each text with ``end_id`` after them."""
-    small_batches(docs.sparkSession)
-    carried = tuple(dict.fromkeys(("doc_id", *carried)))
+    """Rows ``piece, start, length, ids_crc32`` (and ``ids``) of the token ids of each text with ``end_id`` after them.
+
+    ``__part`` and ``__nth`` number the pieces of a length for ``best_fit_pack``; they hold for a written table.
+    """
+    made = ("piece", "start", "length", "ids_crc32", "ids", "__part", "__nth")
+    carried = tuple(c for c in dict.fromkeys(("doc_id", *carried)) if c not in made)
     fields = [docs.schema[c] for c in carried]
     fields += [T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))]
     fields += [T.StructField("ids", T.ArrayType(T.IntegerType()))] if ids else []
-    return docs.select(*carried, *(["text"] if "text" not in carried else [])).mapInArrow(_cut(tokenizer, end_id, capacity, list(carried), ids), T.StructType(fields))
+    fields += [T.StructField("__part", T.IntegerType()), T.StructField("__nth", T.LongType())]
+    return docs.select(*carried, *(["text"] if "text" not in carried else [])).transform(in_tasks, _cut(tokenizer, end_id, capacity, list(carried), ids), T.StructType(fields))
 
 
 def _place(moves):
@@ -152,25 +188,27 @@ def _place(moves):
 
 
 def best_fit_pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
-    """``pieces(doc_id, piece, length, ...)`` with ``sequence_id`` and ``offset``; no length may be over ``capacity``.
+    """``pieces(length, ...)`` with ``sequence_id`` and ``offset``; no length may be over ``capacity``.
 
-    Pieces should come from a written table: they are read twice.
+    Pieces of ``token_pieces`` must come from a written table: they are read twice. Others are numbered and written here.
     """
     spark = pieces.sparkSession
-    salted = pieces.withColumn("__salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = durable(salted.groupBy("length", "__salt").agg(F.count("*").alias("n")), "lengths")  # capacity * SALTS rows at most
-    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
+    pieces = pieces.select([c for c in pieces.columns if c not in ("sequence_id", "offset")])
+    if "__nth" not in pieces.columns:
+        schema = T.StructType([*pieces.schema.fields, T.StructField("__part", T.IntegerType()), T.StructField("__nth", T.LongType())])
+        pieces = durable(pieces.withColumn("length", F.col("length").cast("long")).transform(in_tasks, _number, schema), "pieces")
+    columns = [c for c in pieces.columns if c not in ("__part", "__nth")]
+    counts = durable(pieces.groupBy("__part", "length").agg((F.max("__nth") + 1).alias("n")), "lengths")
+    total = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # capacity rows at most
     if any(not 0 < x <= capacity for x in total):
         raise ValueError("a piece is empty or longer than the capacity")
-    table = np.array(sorted(best_fit_moves(total, capacity)), np.int64).reshape(-1, 6).T
-    moves = spark.sparkContext.broadcast(table)
-    before = Window.partitionBy("length").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("length", "__salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
-    order = Window.partitionBy("length", "__salt").orderBy("doc_id", "piece", *(c for c in ("ids_crc32",) if c in pieces.columns))
-    ranked = salted.withColumn("__rank", F.row_number().over(order).cast("long")).join(F.broadcast(base), ["length", "__salt"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") - 1 + F.col("__base")).select(*pieces.columns, "__rank")
-    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_place(moves), schema)
+    moves = spark.sparkContext.broadcast(np.array(sorted(best_fit_moves(total, capacity)), np.int64).reshape(-1, 6).T)
+    before = Window.partitionBy("length").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("__part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__base"))
+    base = F.broadcast(base) if counts.count() <= BROADCAST else base.hint("shuffle_hash")
+    ranked = pieces.join(base, ["__part", "length"]).select(*columns, (F.col("__nth") + F.col("__base")).alias("__rank"))
+    fields = [pieces.schema[c] for c in columns]
+    return ranked.transform(in_tasks, _place(moves), T.StructType([*fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, ids: bool = True, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
