@@ -1,15 +1,15 @@
 """Toxicity scores: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-A text's features are which byte n-grams (ASCII letters in lower case) it holds, hashed into ``1 << BITS`` buckets. Each is scaled
-by the log ratio of its smoothed shares in toxic and other texts; a logistic regression on the scaled features gives
-the score. It is fitted on at most ``SAMPLE`` labelled texts of either class, chosen by a hash of the doc_id and
-weighted so that the classes count as they do among all labels. The strongest ``FEATURES`` buckets are kept, so the
-model that is broadcast is of fixed size. Every whole text is scored, in one pass without a shuffle.
-
-Defined cases: null and empty texts have no features and score as the model's bias says; rows without a label, or with a null
-one, are only scored; repeated labels of a document count once each in the class they name; without labels of
-both classes every score is the share of toxic labels (0 without any); an empty table gives an empty result; other columns
-can be carried along.
+A text's features are which n-grams of characters (ASCII letters in lower case, the text's begin and end as a character of their own)
+it holds, hashed into ``1 << BITS`` buckets. Each is scaled by the log ratio of its smoothed shares in toxic and other texts; a
+logistic regression on the scaled features gives the score. It is fitted on at most ``SAMPLE`` labelled texts of either
+class, chosen by a hash of the doc_id and weighted so that the classes count as they do among all labels. All buckets
+have a weight: the model that is broadcast is 4 MB whatever it was fitted on. Every whole text is scored, in one pass without a shuffle.
+
+Defined cases: null and empty texts have no features and score as the model's bias says; very long texts count whole; equal texts
+have equal scores; rows without a label, or with a null one, are only scored; repeated labels of a document count once each in the
+class they name; of labels with equal hashes the smaller doc_id is chosen first; without labels of both classes every score is the
+share of toxic labels (0 without any); an empty table gives an empty result; other columns can be carried along.
 """
 
 from __future__ import annotations
@@ -23,166 +23,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._counts import BLOCKS, blocks, total
-from ._spark import durable, small_batches
+from ._spark import durable, in_tasks, release
 from ._text import U, grouped, lists, text_bytes
 
-#: Buckets (as bits), n-gram lengths, labelled texts per class, features kept, and smoothing of counts.
-BITS, LENGTHS, SAMPLE, FEATURES, SMOOTHING = 20, (4, 5, 6), 1_500, 8_192, 1.0
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_GAP = bytes(8)
+#: Buckets (as bits), n-gram lengths, labelled texts per class, and texts of the smaller class that are added to every count.
+BITS, LENGTHS, SAMPLE, SMOOTHING = 20, (4, 5, 6), 1_000, 5.0
+#: Feature entries that one step of fitting holds at once.
+_AT_ONCE = 1 << 20
 _FEATURES = "toxic int, buckets array<int>"
 
 
-def _buckets(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of all n-grams of a run of texts, for each length, and the places where texts end."""
-    for lo, hi in grouped(texts, 1 << 19):
-        data = _LOWER[np.frombuffer(_GAP.join(texts[lo:hi]) + _GAP, np.uint8)]
-        words = np.ndarray(len(data) - 7, "<u8", data.data, strides=(1,))
-        stops = np.cumsum([len(t) + 8 for t in texts[lo:hi]])
-        rows = [((words & U((1 << 8 * n) - 1)) * U(0x9E3779B97F4A7C15 + 2 * n)) >> U(64 - BITS) for n in LENGTHS]
-        yield stops, np.stack(rows)
-
-
-def _features(texts: list[bytes], keep: np.ndarray | None = None) -> list[np.ndarray]:
-    """The distinct buckets of each text, only those of ``keep`` if given."""
-    out = []
-    for stops, rows in _buckets(texts):
-        if keep is None:
-            begin = 0
-            for stop in stops.tolist():
-                out.append(np.unique(rows[:, begin : max(begin, stop - 8)]).astype(np.int32))
-                begin = stop
-        else:
-            at = np.nonzero(keep[rows])
-            owner = np.searchsorted(stops, at[1], "right")
-            inside = at[1] < stops[owner] - 8  # none that begins in the gap, which reaches into the next text
-            at, owner = (at[0][inside], at[1][inside]), owner[inside]
-            pairs = np.unique(owner.astype(np.int64) << BITS | rows[at].astype(np.int64))
-            ends = np.searchsorted(pairs >> BITS, np.arange(len(stops)), "right")
-            out += np.split((pairs & (1 << BITS) - 1).astype(np.int32), ends[:-1])
-    return out
+def _features(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """The distinct buckets of each text, in no order."""
+    stamp = np.zeros(1 << BITS, np.int32)
+    for lo, hi in grouped(texts, 1 << 18):
+        decoded = ["\0" + t.decode("utf-8", "replace") + "\0" for t in texts[lo:hi]]
+        points = np.frombuffer(("".join(decoded) + "\0" * max(LENGTHS)).encode("utf-32-le"), "<u4").astype(np.uint64)
+        points[(points >= 65) & (points <= 90)] += U(32)
+        size = len(points) - max(LENGTHS)
+        gram, buckets = np.zeros(size, np.uint64), []
+        for k in range(max(LENGTHS)):
+            gram += (points[k : k + size] + U(1)) * U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
+            if k + 1 in LENGTHS:
+                mixed = gram ^ gram >> U(31)
+                buckets.append(((mixed * U(0xD6E8FEB86659FD93)) >> U(64 - BITS)).astype(np.int32))
+        begin = 0
+        for text in decoded:
+            stop = begin + len(text)
+            if len(text) == 2:
+                yield np.zeros(0, np.int32)
+            else:
+                found = np.concatenate([b[begin : max(begin, stop - n + 1)] for n, b in zip(LENGTHS, buckets, strict=True)])
+                count = np.arange(len(found), dtype=np.int32)
+                stamp[found] = count  # the last of equal buckets stays
+                yield found[stamp[found] == count]
+            begin = stop
 
 
 @dataclass
 class Model:
-    """Weights by bucket, zero for those that are not kept, and the bias."""
+    """Weights by bucket, and the bias."""
 
     weights: np.ndarray
     bias: float
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
-        found = _features(texts, self.weights != 0)
-        raw = np.array([self.weights[x].sum(dtype=np.float64) for x in found]) + self.bias
+        raw = np.array([np.sort(self.weights[x]).sum(dtype=np.float64) for x in _features(texts)]) + self.bias
         return 1 / (1 + np.exp(-np.clip(raw, -500, 500)))
 
 
-def choose(counts: np.ndarray, shares: tuple[float, float]) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets to keep and their log ratios, from how many texts of class 0 and 1 hold each.
+def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float], rounds: int = 30, penalty: float = 1e-3) -> Model:
+    """Logistic regression by accelerated gradient steps on buckets scaled by their naive Bayes log ratios.
 
     ``shares``: how many labels of class 0 and 1 each text of that class stands for.
     """
-    held = [counts[1] * shares[1] + SMOOTHING, counts[0] * shares[0] + SMOOTHING]
-    ratio = np.log(held[0] / held[0].sum()) - np.log(held[1] / held[1].sum())
-    # What a bucket can add: its ratio, weighted by how many texts it can move.
-    force = np.where(counts.sum(axis=0) >= 3, np.abs(ratio) * np.sqrt(held[0]), 0)
-    kept = np.flatnonzero(force > 0)
-    kept = kept[np.argsort(-force[kept], kind="stable")[:FEATURES]]
-    return kept, ratio[kept]
-
-
-def fit_rows(rows: list[np.ndarray], toxic: np.ndarray, shares: tuple[float, float], kept: np.ndarray, scale: np.ndarray, rounds: int = 150, penalty: float = 1e-4) -> Model:
-    """Logistic regression by accelerated gradient steps on the buckets ``kept``, scaled by their log ratios."""
     size = 1 << BITS
     weight = np.where(toxic == 1, shares[1], shares[0])
     share = float((weight * toxic).sum() / max(weight.sum(), 1e-12))
     if not 0 < share < 1:
         return Model(np.zeros(size, np.float32), 40.0 if share >= 1 else -40.0)
-    flat = np.concatenate(rows)
-    sizes = np.array([len(r) for r in rows])
-    number = np.full(size, -1, np.int32)
-    number[kept] = np.arange(len(kept), dtype=np.int32)
-    column = number[flat]
-    inside = column >= 0
-    row, column = np.repeat(np.arange(len(rows), dtype=np.int32), sizes)[inside], column[inside]
-    value = scale[column]
     weight = weight / weight.sum()
+    # Texts are worked on in parts of about as many features each.
+    sizes = np.array([len(r) for r in rows])
+    group = (np.cumsum(sizes) - sizes) // _AT_ONCE
+    parts = [(slice(int(x[0]), int(x[-1]) + 1), np.concatenate([rows[i] for i in x.tolist()])) for x in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(group)) + 1)]
 
     def forward(v: np.ndarray) -> np.ndarray:
-        return np.bincount(row, value * v[column], len(rows))
+        out = np.zeros(len(rows))
+        for own, flat in parts:
+            sums = np.concatenate(([0.0], np.cumsum(v[flat])))
+            ends = np.cumsum(sizes[own])
+            out[own] = sums[ends] - sums[ends - sizes[own]]
+        return out
 
     def back(u: np.ndarray) -> np.ndarray:
-        return np.bincount(column, value * u[row], len(kept))
-
+        out = np.zeros(size)
+        for own, flat in parts:
+            out += np.bincount(flat, np.repeat(u[own], sizes[own]), size)
+        return out
+
+    # Shares of the texts of a class that hold a bucket; what is added to them is the same for both, so that a bucket of no text has ratio 0.
+    many = [float(shares[c] * (toxic == c).sum()) for c in (0, 1)]
+    held = [back(np.where(toxic == c, shares[c] / many[c], 0.0)) + SMOOTHING / min(many) for c in (0, 1)]
+    scale = np.log(held[1] / held[0])
     # The step comes from the largest curvature, by power iteration (the bias counts as one more feature).
-    v, bias = np.ones(len(kept)), 1.0
-    for _ in range(12):
-        size_of = np.sqrt(v @ v + bias * bias)
-        u = weight * (forward(v / size_of) + bias / size_of)
-        v, bias = back(u), u.sum()
+    v, bias = scale.copy(), 1.0
+    for _ in range(8):
+        length = np.sqrt(v @ v + bias * bias)
+        u = weight * (forward(scale * v / length) + bias / length)
+        v, bias = scale * back(u), u.sum()
     step = 1 / (0.3 * np.sqrt(v @ v + bias * bias) + penalty)
-    beta, bias = np.zeros(len(kept)), np.log(share / (1 - share))
+    beta, bias = np.zeros(size), np.log(share / (1 - share))
     ahead, ahead_bias, t = beta, bias, 1.0
     for _ in range(rounds):
-        miss = weight * (1 / (1 + np.exp(-np.clip(forward(ahead) + ahead_bias, -500, 500))) - toxic)
-        new, new_bias = ahead - step * (back(miss) + penalty * ahead), ahead_bias - step * miss.sum()
+        miss = weight * (1 / (1 + np.exp(-np.clip(forward(scale * ahead) + ahead_bias, -500, 500))) - toxic)
+        new, new_bias = ahead - step * (scale * back(miss) + penalty * ahead), ahead_bias - step * miss.sum()
         following = (1 + np.sqrt(1 + 4 * t * t)) / 2
         ahead, ahead_bias = new + (t - 1) / following * (new - beta), new_bias + (t - 1) / following * (new_bias - bias)
         beta, bias, t = new, new_bias, following
-    weights = np.zeros(size, np.float32)
-    weights[kept] = beta * scale
-    return Model(weights, float(bias))
+    return Model((beta * scale).astype(np.float32), float(bias))
 
 
 def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = _features(text_bytes(batch.column("text")))
+        rows = list(_features(text_bytes(batch.column("text"))))
         yield pa.record_batch([batch.column("toxic"), lists(rows, pa.int32())], ["toxic", "buckets"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros((2, 1 << BITS), np.int64)
-    for batch in batches:
-        buckets = batch.column("buckets")
-        flat, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
-        for toxic, lo, hi in zip(batch.column("toxic").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-            counts[toxic, flat[lo:hi]] += 1  # a text's buckets are distinct
-    yield from blocks(counts)
-
-
-def _only(kept: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[kept] = True
-        for batch in batches:
-            buckets = batch.column("buckets")
-            flat, ends = buckets.values.to_numpy(), buckets.offsets.to_numpy()
-            rows = [flat[lo:hi][wanted[flat[lo:hi]]] for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-            yield pa.record_batch([batch.column("toxic"), lists(rows, pa.int32())], ["toxic", "buckets"])
-
-    return run
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``.
 
-    The driver gets at most ``FEATURES`` bucket numbers of each of 2 * ``SAMPLE`` texts, however long those are.
+    The driver gets the bucket numbers of at most 2 * ``SAMPLE`` texts, at most ``1 << BITS`` of each however long it is.
     """
-    small_batches(docs.sparkSession)
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
     many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     # At most 2 * SAMPLE ids are broadcast; texts become bucket numbers before they leave their tasks.
     picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text")
-    table = durable(picked.mapInArrow(_collect, _FEATURES), "features")
-    there = {r["toxic"]: r["n"] for r in table.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    shares = tuple(many.get(c, 0) / max(1.0, there.get(c, 0)) for c in (0, 1))
-    kept, scale = choose(total(table.mapInArrow(_count, BLOCKS), (2, 1 << BITS)), shares)
-    sent = table.mapInArrow(_only(kept), _FEATURES).toArrow()
-    rows = [x for chunk in sent.column("buckets").chunks for x in np.split(chunk.values.to_numpy()[: chunk.offsets[-1].as_py()], chunk.offsets.to_numpy()[1:-1])] if len(sent) else []
-    return fit_rows(rows, sent.column("toxic").to_numpy().astype(np.float64), shares, kept, scale)
+    table = durable(picked.transform(in_tasks, _collect, _FEATURES), "features")
+    rows, toxic = [], []
+    for batch in table.toArrow().to_batches():
+        column = batch.column("buckets")
+        rows += [column.values[a:b].to_numpy() for a, b in zip(column.offsets[:-1].to_pylist(), column.offsets[1:].to_pylist(), strict=True)]
+        toxic += batch.column("toxic").to_pylist()
+    release(table)
+    shares = tuple(many.get(c, 0) / max(1, toxic.count(c)) for c in (0, 1))
+    return fit_rows(rows, np.array(toxic, np.float64), shares)
 
 
 def _score(model, names: list[str]):
@@ -196,12 +163,11 @@ def _score(model, names: list[str]):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on); columns of these names give way."""
-    small_batches(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("score", "predicted")]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in names]
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(names).mapInArrow(_score(shared, names), schema)
+    return docs.select(names).transform(in_tasks, _score(shared, names), schema)
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
