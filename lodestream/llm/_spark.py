@@ -140,8 +140,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; a component is named by its smallest node.
 
     Alternates the large-star and small-star steps: each node's neighbours are tied to the smallest of them.
-    Every step is a grouped minimum (taken before the shuffle as far as it can be, so hubs are no hot group) and an equi-join
-    that spreads hubs, and each round is written to the shared folder. Self-loops keep lone nodes.
+    Every step is a grouped minimum (taken before the shuffle as far as it can be, so hubs are no hot group) and an equi-join of
+    pairs of numbers, in which adaptive execution splits a hub that is too large for one task; each round is written to the shared
+    folder. Self-loops keep lone nodes.
     """
 
     def both(df: DataFrame) -> DataFrame:
@@ -149,9 +150,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         near = both(df) if large else df.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        low = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count("*").alias("n"))
-        tied = spread_join(near, low, ["u"], "n")
-        low = low.drop("n")
+        low = near.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        tied = near.join(low, "u")
         if large:
             out = tied.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:

@@ -8,11 +8,14 @@ unless they share prefix tokens under the other orders too; what is left is veri
 
 Equal sets are one candidate. Links are first sought to one hub of each token (its document with the fewest rarer
 tokens), then between documents that are still in different components: no linked pair across components is lost, and
-a group of copies is never expanded into all its pairs.
+a group of copies is never expanded into all its pairs. Joins on sets, tokens and hubs spread the keys with most rows over
+tasks, and the documents of one token that are still apart are compared in blocks of ``BLOCK``.
 
 Defined cases: null, empty or word-free texts have ``n_shingles`` 0 and are components of their own; texts with fewer
-words than the width have their whole sequence as one shingle; rows that repeat a doc_id count as one document for links
-(each keeps its own row and count); rows without a doc_id link with nothing and have no component; an empty table gives an empty result; other columns are ignored.
+words than the width have their whole sequence as one shingle; very long texts count whole; tokens with equal counts are in the
+order of their hashes, hubs that are alike in the order of their doc_ids; a similarity equal to the threshold is a link; rows that
+repeat a doc_id count as one document for links (each keeps its own row and count); rows without a doc_id link with nothing and have no
+component; an empty table gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._counts import BLOCKS, blocks, total
-from ._spark import connected_components, durable, small_batches
+from ._spark import connected_components, durable, in_tasks, release, spread_join
 from ._text import U, lists, mix, shingles, text_bytes
 
 #: Rows and slots of the sketch; its 4 MB do not depend on the input.
 SKETCH_ROWS, SKETCH_BITS = 2, 19
+#: Documents of a token that a task compares with as many others.
+BLOCK = 2_000
 _SEEDS = (U(0xA24BAED4963EE407), U(0x9FB21C651E98DF25))
 _PREPARED = "doc_id long, n_shingles long, set_hash binary, p1 array<bigint>, p2 array<int>, p3 array<int>"
 
@@ -65,7 +70,7 @@ def _count(width: int):
 
 def token_sketch(docs: DataFrame, width: int) -> np.ndarray:
     """Count-min sketch of how many documents hold each shingle, over all documents. 4 MB at any size of input."""
-    return total(docs.select("text").mapInArrow(_count(width), BLOCKS), (SKETCH_ROWS, 1 << SKETCH_BITS))
+    return total(docs.select("text").transform(in_tasks, _count(width), BLOCKS), (SKETCH_ROWS, 1 << SKETCH_BITS))
 
 
 def _prefix_length(n: int, limit: Fraction) -> int:
@@ -104,10 +109,12 @@ def _sets(width: int):
 
 
 def _with_sides(pairs: DataFrame, table: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` with the columns of ``table(id, ...)`` for either side."""
+    """Pairs ``(a, b)`` of a written table with the columns of ``table(id, ...)`` for either side; ids in many pairs are spread."""
+    out = pairs
     for side in "ab":
-        pairs = pairs.join(table.select([F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in table.columns]), side)
-    return pairs
+        one = table.select([F.col(c).alias(side if c == "id" else f"{c}_{side}") for c in table.columns])
+        out = spread_join(out, one.join(pairs.groupBy(side).agg(F.count("*").alias("__n")), side), [side], "__n")
+    return out
 
 
 def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0.8) -> DataFrame:
@@ -121,20 +128,17 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
     if not 0 < limit <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = spark.sparkContext.broadcast(token_sketch(texts, width))
-    prepared = durable(texts.mapInArrow(_prepare(width, limit, sketch), _PREPARED), "prefixes")
+    prepared = durable(texts.transform(in_tasks, _prepare(width, limit, sketch), _PREPARED), "prefixes")
 
     full = prepared.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"))
-    classes = durable(classes.select("id", "n_shingles", "set_hash"), "classes")
+    classes = durable(full.groupBy("n_shingles", "set_hash").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "classes")
     chosen = full.join(classes.select(F.col("id").alias("doc_id"), "n_shingles", "set_hash"), ["doc_id", "n_shingles", "set_hash"], "left_semi")
     postings = chosen.select(F.posexplode("p1").alias("pos", "token"), F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
-    # One exchange by token serves both the grouped hub and the join with it.
-    postings = postings.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "token")
-    hubs = postings.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1").drop("m")
-    shared = durable(postings.join(hubs, "token"), "postings")
+    hubs = durable(postings.groupBy("token").agg(F.min(F.struct("pos", "id", "n")).alias("hub"), F.count("*").alias("m")).where("m > 1"), "hubs")
+    shared = durable(spread_join(postings, hubs, ["token"], "m"), "postings")
+    release(hubs)
 
     def bounded(a: str, b: str) -> F.Column:
         """Bounds on length, and on what can still overlap after a first common token at these positions."""
@@ -146,31 +150,42 @@ def ngram_components(docs: DataFrame, width: int = 5, threshold: float | str = 0
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that are links: prefixes under the other orders first, whole sets of the documents that are left then."""
         orders = chosen.select(F.col("doc_id").alias("id"), "p2", "p3")
-        near = _with_sides(pairs.distinct(), orders).where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
+        pairs = durable(pairs.distinct(), "pairs")
+        near = _with_sides(pairs, orders).where(F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"))
         near = durable(near.select("a", "b").distinct(), "candidates")
+        release(pairs)
         wanted = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         own = texts.withColumnRenamed("doc_id", "id").join(wanted.hint("merge"), "id", "left_semi")  # the same plan at every size
-        sets = durable(own.mapInArrow(_sets(width), "id long, tokens array<bigint>"), "sets")
+        sets = durable(own.transform(in_tasks, _sets(width), "id long, tokens array<bigint>"), "sets")
         both = _with_sides(near, sets)
         common, total = F.size(F.array_intersect("tokens_a", "tokens_b")), F.size("tokens_a") + F.size("tokens_b")
         both = both.select("a", "b", common.cast("long").alias("common"), total.cast("long").alias("total"))
-        return both.where(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b").distinct()
+        links = durable(both.where(F.col("common") * den >= (F.col("total") - F.col("common")) * num).select("a", "b").distinct(), "links")
+        release(near, sets)
+        return links
 
     to_hub = shared.select(F.struct("id", "n", "pos").alias("x"), F.col("hub").alias("y")).where("x.id <> y.id").where(bounded("x", "y"))
-    first = durable(verified(to_hub.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))), "links")
+    first = verified(to_hub.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
     parts = durable(connected_components(first), "components")
 
     placed = shared.drop("hub").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    split = placed.groupBy("token").agg((F.min("component") < F.max("component")).alias("open")).where("open").select("token")
-    open_ = durable(placed.join(split, "token"), "open")
-    x, y = open_.alias("x"), open_.alias("y")
-    across = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component")) & bounded("x", "y"))
+    split = placed.groupBy("token").agg((F.min("component") < F.max("component")).alias("open"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    open_ = durable(placed.join(split.where("open").drop("open"), "token"), "open")
+    release(shared)
+    # Block i of a token's documents meets block j in a task of their own.
+    own, every = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    x, y = open_.withColumn("i", own).withColumn("j", every).alias("x"), open_.withColumn("j", own).withColumn("i", every).alias("y")
+    met = (F.col("x.token") == F.col("y.token")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j"))
+    across = x.join(y, met & (F.col("x.component") < F.col("y.component")) & bounded("x", "y"))
     second = verified(across.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")))
-    parts = connected_components(durable(first.unionByName(second), "links"))
-
-    named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "set_hash", F.coalesce("component", "id").alias("component_id"))
-    rows = prepared.select("doc_id", "n_shingles", "set_hash").join(named, ["n_shingles", "set_hash"], "left")
-    return rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    release(open_, parts)
+    parts = durable(connected_components(first.unionByName(second)), "components")
+    release(first, second)
+
+    named = classes.join(parts.withColumnRenamed("node", "id"), "id", "left").select("n_shingles", "set_hash", "copies", F.coalesce("component", "id").alias("component_id"))
+    rows = spread_join(full.select("doc_id", "n_shingles", "set_hash"), durable(named, "named"), ["n_shingles", "set_hash"], "copies")
+    rest = prepared.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.select("doc_id", "n_shingles", "component_id").unionByName(rest)
 
 
 def keep_one(docs: DataFrame, width: int = 5, threshold: float | str = 0.8) -> DataFrame:
