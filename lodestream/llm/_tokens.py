@@ -19,7 +19,7 @@ import numpy as np
 from ._text import distinct_spans
 
 #: Pieces kept by a worker at once, their bytes and ids at most, and bytes worked on at once.
-KEPT, KEPT_BYTES, AT_ONCE = 300_000, 16 << 20, 1 << 20
+KEPT, KEPT_BYTES, AT_ONCE = 600_000, 32 << 20, 1 << 20
 _SPACE, _LETTER, _DIGIT, _OTHER, _QUOTE = 1, 2, 3, 4, 5  # 0: not ASCII
 _KINDS = np.array([_OTHER] * 128 + [0] * 128, np.uint8)
 _KINDS[[32, 9, 10, 11, 12, 13]] = _SPACE
@@ -29,7 +29,8 @@ _KINDS[39] = _QUOTE
 #: Whether a piece may end between two kinds.
 _CUTS = np.zeros((8, 8), bool)
 _CUTS[[_LETTER, _LETTER, _LETTER, _DIGIT, _DIGIT, _DIGIT, _OTHER, _OTHER], [_DIGIT, _OTHER, _QUOTE, _LETTER, _OTHER, _QUOTE, _LETTER, _DIGIT]] = True
-_MARKS = (b"<|", b"\x1c", b"\x1d", b"\x1e", b"\x1f")
+_LEADS = np.zeros(256, bool)
+_LEADS[[0x3C, 0x1C, 0x1D, 0x1E, 0x1F, 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
 _WHOLE = re.compile(rb"<\||[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 #: Texts that are one word to either pre-tokenizer; a byte-level one writes a space as U+0120.
 _PLAIN = re.compile("[a-z]+| [A-Za-z]+").fullmatch
@@ -118,8 +119,10 @@ class WordEncoder:
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and for each text (UTF-8) the end of its own."""
         joined = b"".join(texts)
-        odd = any(x in joined for x in _MARKS)
-        whole = {i: t for i, t in enumerate(texts) if (odd or not t.isascii()) and _WHOLE.search(t)}
+        # Only texts with a byte that such places begin with are searched for them.
+        leads = np.flatnonzero(_LEADS[np.frombuffer(joined, np.uint8)])
+        owners = np.unique(np.searchsorted(np.cumsum([len(t) for t in texts]), leads, "right"))
+        whole = {i: texts[i] for i in owners.tolist() if _WHOLE.search(texts[i])}
         plain = [b"" if i in whole else t for i, t in enumerate(texts)]
         parts, ends, lo, done = [], [], 0, 0
         while lo < len(plain):

@@ -6,11 +6,13 @@ both are worked out once for all words that begin so. A word's number of tokens
 which also keeps how often the word was seen. Every batch of texts only adds nodes for prefixes its worker hasn't met;
 the trie is dropped when it has ``NODES`` nodes, so memory is bounded. Nothing is shuffled for counts per document.
 
-Scores: pieces come from a public model; its merge ranks stand in for unigram probabilities by Zipf's law, -ln(rank + 2).
+Scores: pieces come from a public model. None of the public files is a unigram model, and tokenizers are not trained here, so a
+piece's log-probability is that which Zipf's law gives its merge rank, -ln(rank + 2).
 Characters that no piece spells cost one token for each UTF-8 byte. Equal scores: fewer tokens win.
 
-Defined cases: null and empty texts, and those of white space alone, have no pre-tokens and 0 tokens; rows that repeat a
-doc_id are counted each for itself; an empty table gives an empty result; other columns can be carried along.
+Defined cases: null and empty texts, and those of white space alone, have no pre-tokens and 0 tokens; very long texts and words
+count whole; rows that repeat a doc_id, or have none, are counted each for itself; an empty table gives an empty result; other columns
+can be carried along, and those named like a result column give way to it.
 """
 
 from __future__ import annotations
@@ -19,14 +21,13 @@ from collections.abc import Iterator
 from math import log
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import small_batches
-from ._text import grouped, span_hashes, text_bytes
+from ._spark import in_tasks
+from ._text import distinct_spans, grouped, text_bytes
 
 MARK = "▁"
 NODES = 1_000_000
@@ -85,11 +86,11 @@ class CountTrie:
 
 
 class TokenCounter:
-    """Counts of whole texts; distinct words are told apart by a 64-bit hash."""
+    """Counts of whole texts. Equal words of a run of texts are found by a 64-bit hash and then compared byte by byte."""
 
     def __init__(self, path: str):
         self._trie = CountTrie(*zipf_scores(path))
-        self._known: dict[int, int] = {}
+        self._known: dict[bytes, int] = {}
 
     def words(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
         """For the words of a run of texts: which distinct word each is, where texts end, the distinct words and their tokens."""
@@ -99,20 +100,18 @@ class TokenCounter:
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         edge = edge if space[0] else np.concatenate(([0], edge))
         starts, ends = edge[0::2], edge[1::2]
-        codes, distinct = pd.factorize(span_hashes(data, starts, ends))
-        first = np.empty(len(distinct), np.int64)
-        first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
+        codes, first = distinct_spans(joined, data, starts, ends)
         if len(self._trie) > NODES:
             self._trie.clear()
             self._known.clear()
-        times = np.bincount(codes, minlength=len(distinct)).tolist()
+        times = np.bincount(codes, minlength=len(first)).tolist()
         known, tokens, names = self._known, [], []
-        for name, at, many in zip(distinct.tolist(), first.tolist(), times, strict=True):
-            raw = joined[starts[at] : ends[at]]
+        for begin, end, many in zip(starts[first].tolist(), ends[first].tolist(), times, strict=True):
+            raw = joined[begin:end]
             names.append(raw)
-            n = known.get(name)
+            n = known.get(raw)
             if n is None:
-                n = known[name] = self._trie.insert(MARK + raw.decode("utf-8"), many)
+                n = known[raw] = self._trie.insert(MARK + raw.decode("utf-8"), many)
             tokens.append(n)
         return codes, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts])), names, np.array(tokens, np.int64)
 
@@ -128,7 +127,7 @@ def _worker(path: str) -> TokenCounter:
 
 def count_tokens(docs: DataFrame, model: str, carried: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``docs`` columns of ``carried`` with n_words and n_tokens of each whole text."""
-    small_batches(docs.sparkSession)
+    carried = tuple(c for c in dict.fromkeys(carried) if c not in ("n_words", "n_tokens"))
     fields = [*(docs.schema[c] for c in carried), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +143,7 @@ def count_tokens(docs: DataFrame, model: str, carried: tuple[str, ...] = ("doc_i
             made = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (words, tokens)]
             yield pa.record_batch([*(batch.column(c) for c in carried), *made], [*carried, "n_words", "n_tokens"])
 
-    return docs.select(*carried, *(["text"] if "text" not in carried else [])).mapInArrow(run, T.StructType(fields))
+    return docs.select(*carried, *(["text"] if "text" not in carried else [])).transform(in_tasks, run, T.StructType(fields))
 
 
 def pretoken_counts(docs: DataFrame, model: str) -> DataFrame:
@@ -159,6 +158,5 @@ def pretoken_counts(docs: DataFrame, model: str) -> DataFrame:
                 times = np.bincount(codes, minlength=len(names))
                 yield pa.record_batch([pa.array([x.decode() for x in names], pa.string()), pa.array(each), pa.array(times)], ["pretoken", "n_tokens", "occurrences"])
 
-    small_batches(docs.sparkSession)
-    rows = docs.select("text").mapInArrow(run, "pretoken string, n_tokens long, occurrences long")
+    rows = docs.select("text").transform(in_tasks, run, "pretoken string, n_tokens long, occurrences long")
     return rows.groupBy("pretoken").agg(F.first("n_tokens").alias("n_tokens"), F.sum("occurrences").alias("occurrences"))
