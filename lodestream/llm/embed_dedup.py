@@ -5,13 +5,15 @@ plane between the two centres) as guests: all that lie as near as two linked vec
 is compared in that one cell and counts for both of its vectors, so the result is that of comparing all pairs. Centres are
 fitted on a sample of at most ``SAMPLE`` vectors; where they lie decides how much work there is, not what is found.
 
-Equal vectors are one row with a count. A cell is dealt out by blocks of at most ``BLOCK`` of its own vectors and ``OTHERS`` that
+Equal vectors are one class with a number of its own, whatever their vec_ids; rows find their class by 128 bits of a hash of the
+vector, so vectors are shuffled once to make the classes and then only as members of cells. A cell is dealt out by blocks of at most ``BLOCK`` of its own vectors and ``OTHERS`` that
 they are compared with, so a group with a third of all rows is spread over many tasks; a task returns each row's number of links and a
 spanning forest of the links it saw, never the pairs.
 
 Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than most of
-the sample link with nothing (n_links 0, their own component); rows that repeat a vec_id are vectors of their own; rows
-without a vec_id link with nothing and have no component; an empty table gives an empty result; other columns are ignored.
+the sample link with nothing (n_links 0, their own component); rows that repeat a vec_id are vectors of their own, each with its
+own links, and a component is named by the smallest vec_id of its rows; rows without a vec_id link with nothing and have no
+component; a cosine equal to the threshold is a link; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import connected_components, durable, small_batches
+from ._spark import connected_components, durable, in_tasks, release, spread_join
 
-#: Vectors that centres are fitted on, vectors that a cell should have, cells at most, and vectors of a task on either side.
-SAMPLE, CELL, MOST_CELLS, BLOCK, OTHERS = 16_384, 4_096, 1_024, 4_096, 32_768
+#: Vectors that centres are fitted on, vectors that a cell should have, cells at most (beyond so many times ``CELL`` vectors cells have more
+#: of them), and vectors of a task on either side.
+SAMPLE, CELL, MOST_CELLS, BLOCK, OTHERS = 16_384, 4_096, 2_048, 4_096, 32_768
 _TILE = 1_024
 
 
@@ -57,7 +60,7 @@ def _hosts(k: int) -> np.ndarray:
 
 def _assign(centres: np.ndarray, threshold: float):
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
-    apart = np.linalg.norm(centres[:, None] - centres[None], axis=2)
+    apart = np.sqrt(np.maximum(0.0, 2 - 2 * centres @ centres.T) + 1e-12)  # rounded up: a little too far only adds guests
     hosts, itself = _hosts(len(centres)), np.eye(len(centres), dtype=bool)
 
     def run(batches):
@@ -66,17 +69,18 @@ def _assign(centres: np.ndarray, threshold: float):
                 continue
             column = batch.column("embedding")
             rows = _unit(column)
-            near = rows @ centres.T
-            home = np.argmax(near, axis=1)
-            best = near[np.arange(len(rows)), home]
-            at, cell = np.nonzero((best[:, None] - near <= reach * apart[home] + 1e-12) & hosts[home] | itself[home])
-            for lo in range(0, len(at), 20_000):
-                part = slice(lo, lo + 20_000)
-                index = pa.array(at[part])
-                yield pa.record_batch(
-                    [pa.array(cell[part].astype(np.int32)), pa.array(home[at[part]] == cell[part]), batch.column("id").take(index), batch.column("m").take(index), column.take(index)],
-                    ["cell", "home", "id", "m", "vector"],
-                )
+            for begin in range(0, len(rows), 512):
+                near = rows[begin : begin + 512] @ centres.T
+                home = np.argmax(near, axis=1)
+                best = near[np.arange(len(near)), home]
+                at, cell = np.nonzero((best[:, None] - near <= reach * apart[home] + 1e-12) & hosts[home] | itself[home])
+                for lo in range(0, len(at), 20_000):
+                    part = slice(lo, lo + 20_000)
+                    index = pa.array(begin + at[part])
+                    yield pa.record_batch(
+                        [pa.array(cell[part].astype(np.int32)), pa.array(home[at[part]] == cell[part]), batch.column("id").take(index), batch.column("m").take(index), column.take(index)],
+                        ["cell", "home", "id", "m", "vector"],
+                    )
 
     return run
 
@@ -122,23 +126,24 @@ def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
     spark = vectors.sparkSession
-    small_batches(spark)
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = every.where(F.coalesce(usable & fine, F.lit(False)))
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    alone = every.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not len(sample):
+    width = Counter(len(x) for x in sample).most_common(1)[0][0] if len(sample) else 0
+    fine = F.coalesce(usable & fine & (F.size("embedding") == width), F.lit(False))
+    alone = every.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    if not width:
         return alone
-    width = Counter(len(x) for x in sample).most_common(1)[0][0]
-    good = good.where(F.size("embedding") == width)
-    classes = durable(good.groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count("*").alias("m")), "vectors")
+    good = every.where(fine).withColumns({f"h{i}": F.xxhash64(F.lit(i), "embedding") for i in (1, 2)})
+    classes = good.groupBy("h1", "h2", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"))
+    classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
     rows = _unit(pa.array([x for x in sample.to_pylist() if len(x) == width], pa.list_(pa.float64())))
     k = int(np.clip(classes.count() // CELL, 1, min(MOST_CELLS, len(rows))))
     centres = spherical_kmeans(rows, k)
-    placed = durable(classes.mapInArrow(_assign(centres, threshold), f"cell int, home boolean, id long, m long, vector array<{kind}>"), "cells")
+    placed = durable(classes.transform(in_tasks, _assign(centres, threshold), f"cell int, home boolean, id long, m long, vector array<{kind}>"), "cells")
 
     # Cells are few (MOST_CELLS at most), and so are these counts.
     sizes = placed.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / BLOCK).cast("int").alias("own"), F.ceil(F.count("*") / OTHERS).cast("int").alias("all"))
@@ -151,10 +156,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     tiles = dealt.select("cell", "home", "id", "m", "vector", F.explode(F.concat(as_other, as_own)).alias("t")).select("cell", "t.*", "home", "id", "m", "vector")
     found = durable(tiles.groupBy("cell", "i", "j").applyInArrow(_tile(threshold), "id long, links long, root long"), "links")
 
-    parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    parts = durable(connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))), "components")
+    release(placed)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = classes.join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("links"), F.coalesce("component", "id").alias("component"))
-    full = every.withColumn("__key", F.when(usable & fine, F.col("embedding"))).join(named.withColumnRenamed("embedding", "__key"), "__key", "left")
-    component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id"))
-    return full.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
+    named = classes.select("h1", "h2", "id", "low", "m").join(links, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    lowest = named.where("component is not null").groupBy("component").agg(F.min("low").alias("lowest"), F.count("*").alias("n"))
+    linked = spread_join(named.where("component is not null"), lowest, ["component"], "n")
+    named = linked.unionByName(named.where("component is null").withColumn("lowest", F.col("low")))
+    named = durable(named.select("h1", "h2", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("lowest", "low").alias("component_id")), "named")
+    release(found, parts)
+    full = spread_join(good.select("vec_id", "h1", "h2"), named, ["h1", "h2"], "m")
+    return full.select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept")).unionByName(alone)
