@@ -1,17 +1,19 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs, in DataFrame functions only.
 
-A paragraph's vector has 3 * 2 * 20 narrow lanes (a bit of two hashes each) and two wide ones. A document's fingerprint
-is the sum of its paragraphs' vectors, kept in 60-bit words modulo 2**60 with three narrow lanes of 20 bits to a word, and
-the number of paragraphs. So it does not depend on their order, and paragraphs can be added to or taken from a fingerprint
+A paragraph's vector has 3 * 4 * 10 narrow lanes (a bit of four independent 64-bit hashes each) and four wide ones (60 bits of one
+hash each). A document's fingerprint is the sum of its paragraphs' vectors, kept in 60-bit words modulo 2**60 with three narrow lanes
+of 20 bits to a word, and the number of paragraphs. So it does not depend on their order, and paragraphs can be added to or taken from a fingerprint
 without the text. Equal multisets have equal fingerprints. Narrow lanes also tell how alike two multisets are: with a lane's bit
 read as +1 or -1, the products of two documents' lanes estimate their common paragraphs.
 
 Paragraphs are what stands between line ends, divided further after sentence ends and every 256 characters, so that an
-edit in a text without line ends leaves the rest of its fingerprint alone. Empty paragraphs do not count.
+edit in a text without line ends leaves the rest of its fingerprint alone. Empty paragraphs do not count. From 2**20 paragraphs on a
+narrow lane runs over into the next one of its word: sums, differences and equality stay exact, likeness becomes rough.
 
 Defined cases: null and empty texts have the fingerprint of no paragraph; two such are alike (1), one such and another are
-not (0); rows that repeat a doc_id are each fingerprinted, in the order of their texts; an empty table gives an empty result;
-other columns are ignored. Rows without a doc_id come after all others; a single row's next document is itself.
+not (0); very long texts count whole; rows that repeat a doc_id are each fingerprinted, in the order of a hash of their texts and then of
+the texts; rows without a doc_id come after all others, in the same order; a single row's next document is itself; an empty table
+gives an empty result; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HASHES, SHIFTS, BITS, LANES_IN_WORD = 2, 20, 20, 3
+HASHES, SHIFTS, BITS, LANES_IN_WORD = 4, 10, 20, 3
 _WORD = (1 << BITS * LANES_IN_WORD) - 1
 _SPREAD = sum(1 << BITS * i for i in range(LANES_IN_WORD))
 _LANE = (1 << BITS) - 1
-_WIDE = 2
+_WIDE = 4
 #: A paragraph ends at a line end, after a full stop, question or exclamation mark before a space, or when it is 256 characters long.
 PARAGRAPH = r"[^\n]{1,256}?(?:[.?!](?= )|(?=\n)|\z)|[^\n]{256}"
 
@@ -108,25 +110,33 @@ def likeness(same: Column, xy: Column, xx: Column, yy: Column) -> Column:
 def with_next(docs: DataFrame, *columns: str) -> DataFrame:
     """``docs`` with ``next_<column>`` of the next document by descending doc_id; after the last comes the first.
 
-    Documents are dealt into ranges of doc_id, and the first document of each range also follows the last one of the
-    range before it. Range borders are doc_ids (a bounded number of them), found by an approximate percentile: no range is ordered anew.
+    Documents are dealt into ranges, and the first document of each range also follows the last one of the range before it. Ranges go
+    by doc_id and, among rows that share one or have none, by a hash of the text, so no doc_id is a range of its own. Their borders,
+    four for each shuffle partition, are found by an approximate percentile: nothing is ordered as a whole.
     """
     spark = docs.sparkSession
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tops = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] + [1.0], 20 * n)).first()[0]
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 11).cast("double") / float(1 << 53)
+    # Never decreases from one row to the next in ascending order: all doc_ids are above -1e19, and sums are rounded in order.
+    docs = docs.withColumn("__tie", tie).withColumn("__key", F.when(F.col("doc_id").isNull(), F.col("__tie") * 1e17 - 1e19).otherwise(F.col("doc_id").cast("double") + F.col("__tie")))
+    tops = docs.agg(F.percentile_approx("__key", [i / n for i in range(1, n)] + [1.0], 20 * n)).first()[0]
     tops = sorted(set(tops or []))
     if not tops:
-        return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
-    borders = F.array(*(F.lit(t).cast("long") for t in tops))
-    # The range of a doc_id is the number of borders below it; a border itself is the first, in descending order, of its range.
-    place = F.size(F.filter(borders, lambda t: t < F.col("doc_id")))
-    real = F.struct(place.alias("range"), F.lit(False).alias("ghost"))
-    ghost = F.struct(((place + 1) % len(tops)).alias("range"), F.lit(True).alias("ghost"))
-    copies = F.when(F.array_contains(borders, F.col("doc_id")), F.array(real, ghost)).otherwise(F.array(real))
-    order = Window.partitionBy("__at.range").orderBy("__at.ghost", F.desc("doc_id"), F.desc("text"))
+        return docs.drop("__tie", "__key").select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
+    # The range of a key is the number of borders below it: first of whole blocks of borders, then in the block that it falls into.
+    step = max(1, round(len(tops) ** 0.5))
+    key, borders = F.col("__key"), F.array(*map(F.lit, tops))
+    block = F.size(F.filter(F.array(*map(F.lit, tops[step - 1 :: step])), lambda t: t < key))
+    place = block * step + F.size(F.filter(F.slice(borders, block * step + 1, F.lit(step)), lambda t: t < key))
+    docs = docs.withColumn("__range", place)
+    # A border itself is the first, in descending order, of its range.
+    real = F.struct(F.col("__range").alias("range"), F.lit(False).alias("ghost"))
+    ghost = F.struct(((F.col("__range") + 1) % len(tops)).alias("range"), F.lit(True).alias("ghost"))
+    copies = F.when(F.get(borders, F.col("__range")) == key, F.array(real, ghost)).otherwise(F.array(real))
+    order = Window.partitionBy("__at.range").orderBy("__at.ghost", F.desc("doc_id"), F.desc("__tie"), F.desc("text"))
     rows = docs.withColumn("__at", F.explode(copies))
     rows = rows.select("*", *(F.lead(F.struct(c)).over(order)[c].alias(f"next_{c}") for c in columns))
-    return rows.where(~F.col("__at.ghost")).drop("__at")
+    return rows.where(~F.col("__at.ghost")).drop("__at", "__range", "__key", "__tie")
 
 
 def edited(text: Column, following: Column) -> Column:

@@ -65,5 +65,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_toxicity, op2_merge_dropout, op3_document_fingerprints, op4_warc, op5_token_counts, op6_embedding_near_dedup, op7_token_files, op8_best_fit_packing, op9_ngram_jaccard_join, op10_suffix_array_dedup)}
 
 
+_OP4 = """with p as (select page_id, coalesce(html, '') as h from pages), d as (select page_id, strlen(h)::bigint as n, sha256(h) as digest from p),
+f as (select digest, min(page_id) as first from d where n >= 100 group by digest)
+select page_id, n as payload_bytes, digest as payload_digest, case when first <> page_id then 'revisit' else 'response' end as record_type, case when first <> page_id then first end as refers_to from d left join f using (digest)"""
+
+#: Which nodes are reached from node a by links (a, b).
+_REACH = "reach as (select a, a as b from nodes union select r.a, l.b from reach r join links l on r.b = l.a)"
+
+_OP6 = f"""with recursive v as (select vec_id, embedding::double[] as e from embeddings),
+good as (select vec_id, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) as u from v where vec_id is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and list_dot_product(e, e) > 0),
+links as (select x.vec_id as a, y.vec_id as b from good x join good y on x.vec_id <> y.vec_id and list_dot_product(x.u, y.u) >= 0.95), nodes as (select vec_id as a from v), {_REACH},
+c as (select a, min(b) as component_id from reach group by a), n as (select a, count(*) as n from links group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, component_id = vec_id as kept from v join c on c.a = vec_id left join n on n.a = vec_id"""
+
+_OP9 = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from w),
+t as (select doc_id, len(s) as n, unnest(s) as token from s),
+links as (select x.doc_id as a, y.doc_id as b from t x join t y on x.token = y.token and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id, x.n, y.n having 100 * count(*) >= 90 * (x.n + y.n - count(*))), nodes as (select doc_id as a from s), {_REACH},
+c as (select a, min(b) as component_id from reach group by a)
+select doc_id, len(s)::bigint as n_shingles, component_id from s join c on c.a = doc_id"""
+
+#: Bytes as pairs of hexadecimal digits, and windows by their place.
+_OP10 = """with b as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, ''))::bigint as n from documents),
+w as (select doc_id, i, md5_number(substr(h, 2 * i::bigint + 1, 200)) as k from (select doc_id, h, unnest(generate_series(0, n - 100)) as i from b where n >= 100)),
+r as (select doc_id, i from w qualify row_number() over (partition by k order by doc_id, i) > 1),
+g as (select doc_id, i, sum(fresh) over (partition by doc_id order by i) as run from (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as fresh from r)),
+spans as (select doc_id, min(i) as lo, max(i) + 100 as hi from g group by doc_id, run),
+edges as (select doc_id, lo, hi, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as before from spans),
+cut as (select doc_id, sum(hi - lo)::bigint as n_removed, count(*)::bigint as n_spans, max(hi) as last, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' order by lo) as kept from edges join b using (doc_id) group by doc_id)
+select doc_id, n as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) as kept_sha256 from b left join cut using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": _OP4, "op6_embedding_near_dedup": _OP6, "op9_ngram_jaccard_join": _OP9, "op10_suffix_array_dedup": _OP10}

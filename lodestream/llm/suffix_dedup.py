@@ -16,7 +16,8 @@ dealt out and sorted as Spark jobs:
 
 Defined cases: null and empty texts have nothing to remove; a text shorter than ``length`` is kept whole; rows without a
 doc_id are kept whole and are never the earlier one; rows that repeat a doc_id with the same text have the same result
-and are not earlier than each other, with another text the order is that of a hash of the text; very long texts are
+and are not earlier than each other, with another text the order is that of a 19-bit hash of the text (two texts of one
+doc_id whose hashes are equal, one pair in half a million, are taken for one); very long texts are
 worked on in pieces that overlap; an empty table gives an empty result; other columns pass through, and those named like
 a result column give way to it.
 """
@@ -33,12 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import small_batches
+from ._spark import in_tasks
 from ._text import U, grouped, mix, text_bytes
 
 GRAM, SHALLOW = 32, 24
 #: Segments of one minimizer beyond which its windows are dealt one by one.
-HOT = 200_000
+HOT = 50_000
+#: Segments by which a task knows what it has sent before.
+SEEN = 200_000
 #: Windows of a segment at most, bytes of a piece of a long text, and segment bytes sorted at once.
 LONGEST, PIECE, SORTED_AT_ONCE = 4095, 1 << 22, 6 << 20
 _TAG = 31  # a place is a hash of the text in the high bits (for rows that share a doc_id) and the start
@@ -129,6 +132,8 @@ def _cut(length: int):
             ends = found.offsets.to_numpy()
             fields = {f: found.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "segment", "hot")}
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True)):
+                if doc is None:
+                    continue
                 own = slice(ends[i], ends[i + 1])
                 tag = _tag(text) >> _TAG
                 for key, segment, hot in zip(*(fields[f][own].tolist() for f in ("key", "segment", "hot")), strict=True):
@@ -149,7 +154,7 @@ def _cut(length: int):
                         route = doc if known else int.from_bytes(name[:8], "little", signed=True) if hot else key
                         for column, value in zip(rows, (route, *here, many, None if known else part), strict=True):
                             column.append(value)
-                if len(seen) > 2_000_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 if len(rows[0]) > 50_000:
                     yield _batch(rows)
@@ -280,11 +285,11 @@ def _remove(names: list[str]):
             found = batch.column("__spans")
             ends, flat = found.offsets.to_numpy(), [found.values.field(f).to_numpy(zero_copy_only=False) for f in ("place", "bytes")]
             total, gone, runs, kept = [], [], [], []
-            for i, text in enumerate(text_bytes(batch.column("text"))):
+            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True)):
                 begin, many = (x[ends[i] : ends[i + 1]] for x in flat)
                 total.append(len(text))
                 tag = _tag(text) >> _TAG
-                own = begin >> _TAG == tag
+                own = (begin >> _TAG == tag) & (doc is not None)
                 begin, many = begin[own] - (tag << _TAG), many[own]
                 if not len(begin):
                     gone.append(0), runs.append(0), kept.append(text)
@@ -307,24 +312,24 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
-    small_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     made = {"n_bytes", "n_removed", "n_spans", "kept"}
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).select([c for c in docs.columns if c not in made])
     # The three uses of the texts share one exchange by doc_id, and both uses of the segments one by minimizer.
-    placed = docs.repartition(n, "doc_id")
+    # Rows without a doc_id have a place by their text, and nothing that is found there concerns them.
+    placed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text"))).repartition(n, "__key")
     kinds = T.StructType([T.StructField(c, T.LongType(), False) for c in ("key", "doc_id", "segment")])
-    anchors = placed.mapInArrow(_anchors(length), kinds).repartition(n, "key")
+    anchors = placed.transform(in_tasks, _anchors(length), kinds).repartition(n, "key")
     # The maximum reads every column, and the joins with the texts are outer ones, so that the exchanges are the same.
     counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(F.col("segment").bitwiseAND(1).alias("twice"), "doc_id"))["twice"].alias("t"))
     counts = counts.where("m > 1 or t = 1").select("key", (F.col("m") > HOT).alias("hot"))
-    chosen = anchors.join(counts, "key").groupBy("doc_id").agg(F.collect_set(F.struct("key", "segment", "hot")).alias("__found"))  # rows may repeat
-    parts = placed.join(chosen, "doc_id", "left").mapInArrow(_cut(length), _SEGMENT)
-    spans = parts.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_sort(length), "doc_id long, place long, bytes long")
-    spans = spans.groupBy("doc_id").agg(F.collect_list(F.struct("place", "bytes")).alias("__spans"))
-    joined = placed.join(spans, "doc_id", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<place:long,bytes:long>>")))
+    chosen = anchors.join(counts, "key").groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("key", "segment", "hot")).alias("__found"))  # rows may repeat
+    parts = placed.join(chosen, "__key", "left").transform(in_tasks, _cut(length), _SEGMENT)
+    spans = parts.repartition(n, "route").sortWithinPartitions("route").transform(in_tasks, _sort(length), "doc_id long, place long, bytes long")
+    spans = spans.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("place", "bytes")).alias("__spans"))
+    joined = placed.join(spans, "__key", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<place:long,bytes:long>>")))
     extra = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
-    return joined.mapInArrow(_remove(docs.columns), T.StructType([*docs.schema.fields, *extra]))
+    return joined.transform(in_tasks, _remove(docs.columns), T.StructType([*docs.schema.fields, *extra]))
 
 
 def without_repeats(docs: DataFrame, length: int = 100) -> DataFrame:

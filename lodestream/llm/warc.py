@@ -3,20 +3,22 @@
 Reading plans one partition per stretch of a file; a manifest that the writer leaves holds record-aligned places at which
 files may be entered, and files without one are read whole. Filters on record type and on header columns are pushed into
 the source: headers are parsed first, and the payload of a record that is not wanted is skipped by its Content-Length and
-never decompressed or decoded. With the option ``payload`` set to false no payload is read at all.
+never decoded (in a compressed file it is passed over as it is inflated, and not kept). With the option ``payload`` set to false no payload is read at all.
 
 Writing (``write_pages``) puts a record for every page: of pages with equal payloads of at least ``min_revisit`` bytes the
 one with the smallest page_id is a response, the others are revisits that name it; smaller ones are all responses.
 Files get names of their own from each task attempt, and only those that the job commits are in the manifest, so a
 lost executor or a second attempt leaves nothing behind that is read.
 
-Defined cases: a null html is an empty payload; a null url is an empty target; rows that repeat the page_id and payload of a
-response are responses too; rows without a page_id have none in the archive, and are responses; an empty table gives no
-files and an empty result; other columns are not written.
+Defined cases: a null html is an empty payload; a null url is an empty target; very long payloads are one record each; rows that
+repeat the page_id and payload of a response are responses too, and their records share an id, which is made of both; rows without a
+page_id have none in the archive, and are responses; an empty table gives no files and an empty result; other columns, whatever
+their names, are not written.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 import uuid
@@ -84,7 +86,7 @@ class WarcReader(DataSourceReader):
             for file, places in listed:
                 found += [_Stretch(f"{self._path}/{file}", a, b) for a, b in zip(places, places[1:]) if b > a]
         else:
-            found += [_Stretch(f"{self._path}/{x.base_name}", 0, x.size) for x in store.get_file_info(fs.FileSelector(name)) if x.base_name.endswith(".warc")]
+            found += [_Stretch(f"{self._path}/{x.base_name}", 0, x.size) for x in store.get_file_info(fs.FileSelector(name)) if x.base_name.endswith((".warc", ".warc.gz"))]
         return found or [_Stretch("", 0, 0)]
 
     def _wanted(self, row: dict) -> bool:
@@ -110,61 +112,156 @@ class WarcReader(DataSourceReader):
         store, name = _store(partition.path)
         rows, size = [], 0
         with store.open_input_file(name) as raw:
-            at, ahead, base = partition.begin, b"", partition.begin
-            while at < partition.end:
-                # Headers are found in a small read-ahead; a payload is fetched only if it is wanted.
-                if at < base or at >= base + len(ahead) or (cut := ahead.find(b"\r\n\r\n", at - base)) < 0:
-                    step = 1 << 16
-                    while True:
-                        raw.seek(at)
-                        ahead, base = raw.read(step), at
-                        cut = ahead.find(b"\r\n\r\n")
-                        if cut >= 0 or len(ahead) < step:
-                            break
-                        step *= 4
-                    if cut < 0:
-                        raise ValueError(f"{partition.path}: no record begins at {at}")
-                lines = ahead[at - base : cut].decode("utf-8").split("\r\n")
-                if not lines[0].startswith("WARC/"):
-                    raise ValueError(f"{partition.path}: no record begins at {at}")
+            records = (_Inflated if name.endswith(".gz") else _Plain)(raw, partition)
+            while (lines := records.head()) is not None:
                 head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
                 row = {c: head.get(h.lower()) for c, h in _HEADERS.items()}
                 for c in _NUMBERS:
                     row[c] = None if row[c] is None else int(row[c])
-                body, length = base + cut + 4, int(head["content-length"])
-                if self._wanted(row):
-                    row["payload"] = None
-                    if self._payload and row["record_type"] != "revisit":
-                        if body + length > base + len(ahead):
-                            raw.seek(body)
-                            row["payload"] = _decode(raw.read(length), head)
-                        else:
-                            row["payload"] = _decode(ahead[body - base : body - base + length], head)
-                        size += len(row["payload"])
-                    rows.append(row)
-                    if size > 8 << 20 or len(rows) >= 10_000:
-                        yield _batch(rows)
-                        rows, size = [], 0
-                at = body + length + 4
+                wanted = self._wanted(row)
+                block = records.body(int(head["content-length"]), wanted and self._payload and row["record_type"] != "revisit")
+                if not wanted:
+                    continue
+                row["payload"] = None if block is None else _decode(block, head)
+                size += len(row["payload"] or b"")
+                rows.append(row)
+                if size > 8 << 20 or len(rows) >= 10_000:
+                    yield _batch(rows)
+                    rows, size = [], 0
         if rows:
             yield _batch(rows)
 
 
+class _Plain:
+    """Records of a stretch of a file. Headers are found in a small read-ahead; a block is fetched only if it is wanted."""
+
+    def __init__(self, raw, stretch: _Stretch):
+        self._raw, self._stretch, self._at = raw, stretch, stretch.begin
+        self._base, self._ahead = stretch.begin, b""
+
+    def head(self) -> list[str] | None:
+        """The lines of the next record's header."""
+        at = self._at
+        if at >= self._stretch.end:
+            return None
+        if not self._base <= at < self._base + len(self._ahead) or (cut := self._ahead.find(b"\r\n\r\n", at - self._base)) < 0:
+            step = 1 << 16
+            while True:
+                self._raw.seek(at)
+                self._ahead, self._base = self._raw.read(step), at
+                cut = self._ahead.find(b"\r\n\r\n")
+                if cut >= 0 or len(self._ahead) < step:
+                    break
+                step *= 4
+        lines = self._ahead[at - self._base : max(cut, 0)].decode("utf-8").split("\r\n")
+        if cut < 0 or not lines[0].startswith("WARC/"):
+            raise ValueError(f"{self._stretch.path}: no record begins at {at}")
+        self._at = self._base + cut + 4
+        return lines
+
+    def body(self, length: int, wanted: bool) -> bytes | None:
+        """The record's block, or None if it is not wanted."""
+        begin, self._at = self._at, self._at + length + 4
+        if not wanted:
+            return None
+        if begin + length <= self._base + len(self._ahead):
+            return self._ahead[begin - self._base : begin - self._base + length]
+        self._raw.seek(begin)
+        return self._raw.read(length)
+
+
+class _Inflated:
+    """Records of a stretch of a compressed file, which begins with a gzip member."""
+
+    def __init__(self, raw, stretch: _Stretch):
+        raw.seek(stretch.begin)
+        self._raw, self._left, self._path = raw, stretch.end - stretch.begin, stretch.path
+        self._member, self._ahead = zlib.decompressobj(31), b""
+
+    def _more(self) -> bytes:
+        """What comes next in the inflated stream; empty at its end."""
+        while True:
+            if self._member.eof:
+                rest, self._member = self._member.unused_data, zlib.decompressobj(31)
+            else:
+                rest = self._member.unconsumed_tail
+                if not rest and (found := self._member.decompress(b"", 1 << 20)):
+                    return found  # held back for want of room
+            if not rest:
+                rest = self._raw.read(min(1 << 16, self._left))
+                self._left -= len(rest)
+                if not rest:
+                    return b""
+            found = self._member.decompress(rest, 1 << 20)
+            if found:
+                return found
+
+    def head(self) -> list[str] | None:
+        while (cut := self._ahead.find(b"\r\n\r\n")) < 0:
+            found = self._more()
+            if not found:
+                if self._ahead.strip():
+                    raise ValueError(f"{self._path}: a record is cut short")
+                return None
+            self._ahead += found
+        lines, self._ahead = self._ahead[:cut].decode("utf-8").split("\r\n"), self._ahead[cut + 4 :]
+        if not lines[0].startswith("WARC/"):
+            raise ValueError(f"{self._path}: no record begins where one should")
+        return lines
+
+    def body(self, length: int, wanted: bool) -> bytes | None:
+        parts, need = [], length + 4
+        while True:
+            part = self._ahead[:need]
+            need -= len(part)
+            self._ahead = self._ahead[len(part) :]
+            if wanted:
+                parts.append(part)
+            if not need:
+                return b"".join(parts)[:length] if wanted else None
+            self._ahead = self._more()
+            if not self._ahead:
+                raise ValueError(f"{self._path}: a record is cut short")
+
+
 def _decode(block: bytes, head: dict[str, str]) -> bytes:
-    """The payload of a record's block: an HTTP message's body, inflated if need be, or the block itself."""
+    """The payload of a record's block: an HTTP message's body, put together and inflated if need be, or the block itself."""
     if not head.get("content-type", "").startswith("application/http"):
         return block
     top, _, body = block.partition(b"\r\n\r\n")
-    if b"content-encoding: deflate" in top.lower():
-        body = zlib.decompress(body)
+    fields = {k.strip().lower(): v.strip().lower() for k, _, v in (x.partition(b":") for x in top.split(b"\r\n")[1:])}
+    if fields.get(b"transfer-encoding") == b"chunked":
+        body = _unchunked(body)
+    coding = fields.get(b"content-encoding")
+    if coding in (b"gzip", b"x-gzip"):
+        body = gzip.decompress(body)
+    elif coding == b"deflate":
+        try:
+            body = zlib.decompress(body)
+        except zlib.error:  # some servers leave out the wrapper
+            body = zlib.decompress(body, -15)
     return body
 
 
+def _unchunked(body: bytes) -> bytes:
+    parts, at = [], 0
+    while (line := body.find(b"\r\n", at)) >= 0:
+        size = int(body[at:line].split(b";")[0], 16)
+        if not size:
+            break
+        parts.append(body[line + 2 : line + 2 + size])
+        at = line + 4 + size
+    return b"".join(parts)
+
+
 def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[c] for r in rows], k) for c, k in _KINDS.items()], list(_KINDS))
 
 
 def _record(page_id: int | None, url: str, digest: str, length: int, refers: int | None, payload: bytes, level: int) -> bytes:
+    def name(page: int | None) -> str:
+        return f"<urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page}|{digest}'.encode()).digest())}>"
+
     kind = "response" if refers is None else "revisit"
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if kind == "response":
@@ -172,17 +269,19 @@ def _record(page_id: int | None, url: str, digest: str, length: int, refers: int
     else:
         block = http + b"\r\n"
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{uuid.UUID(bytes=hashlib.md5(f'{page_id}|{digest}'.encode()).digest())}>", f"WARC-Target-URI: {url}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Target-URI: {url}",
         "WARC-Date: 2024-01-01T00:00:00Z", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Payload-Length: {length}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     head += [] if page_id is None else [f"WARC-Page-ID: {page_id}"]
-    head += [] if refers is None else [f"WARC-Refers-To-Page-ID: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+    head += [] if refers is None else [f"WARC-Refers-To: {name(refers)}", f"WARC-Refers-To-Page-ID: {refers}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     return "\r\n".join(head).encode("utf-8") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 class WarcWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self._path, self._level = options["path"], int(options.get("level", "1"))
+        #: Compressed files have a gzip member for each record, and payloads as they are.
+        self._gzip = options.get("gzip", "false").lower() == "true"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
         store, folder = _store(self._path)
@@ -194,10 +293,11 @@ class WarcWriter(DataSourceArrowWriter):
                 columns = (batch.column(c).to_pylist() for c in ("page_id", "url", "digest", "length", "refers_to", "payload"))
                 for page_id, url, digest, length, refers, payload in zip(*columns, strict=True):
                     if out is None:
-                        name = f"pages-{uuid.uuid4().hex}.warc"
-                        out, places, at = store.open_output_stream(f"{folder}/{name}"), [0], 0
+                        name = f"pages-{uuid.uuid4().hex}.warc{'.gz' if self._gzip else ''}"
+                        out, places, at = store.open_output_stream(f"{folder}/{name}", compression=None), [0], 0
                     clean = " ".join((url or "").split())
-                    record = _record(page_id, clean, digest, length, refers, payload or b"", self._level)
+                    record = _record(page_id, clean, digest, length, refers, payload or b"", 0 if self._gzip else self._level)
+                    record = gzip.compress(record, self._level) if self._gzip else record
                     out.write(record)
                     at += len(record)
                     if at - places[-1] >= STRETCH:
@@ -230,7 +330,7 @@ class WarcWriter(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """``spark.read.format("warc").load(folder or file)``; options: payload (true, false), for writing level (0 to 9)."""
+    """``spark.read.format("warc").load(folder or file)``; options: payload (true, false), for writing level (0 to 9) and gzip (true, false)."""
 
     @classmethod
     def name(cls) -> str:
@@ -252,7 +352,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WarcDataSource)
 
 
-def write_pages(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, level: int = 1) -> str:
+def write_pages(pages: DataFrame, folder: str | None = None, min_revisit: int = 100, level: int = 1, gzip: bool = False) -> str:
     """Write ``pages(page_id, url, html)`` as WARC files; returns the folder."""
     spark = pages.sparkSession
     register(spark)
@@ -266,7 +366,7 @@ def write_pages(pages: DataFrame, folder: str | None = None, min_revisit: int =
     out = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
     out = out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     out = out.select("page_id", "url", "digest", "length", "refers_to", "payload")
-    out.write.format("warc").option("level", level).mode("append").save(folder)
+    out.write.format("warc").options(level=level, gzip=str(gzip).lower()).mode("append").save(folder)
     return folder
 
 
@@ -276,12 +376,11 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of the archive's records.
+    """``(page_id, payload_bytes, payload_digest, record_type, refers_to)`` of the archive's responses and revisits, in one pass.
 
-    Responses are measured on the payloads read back; of revisits only the headers are read.
+    Responses are measured on the payloads read back; revisits have none, and their headers say what they refer to.
     """
-    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-    whole = read_warc(spark, folder).where("record_type = 'response'")
-    whole = whole.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", F.sha2("payload", 256))
-    heads = read_warc(spark, folder, payload=False).where("record_type = 'revisit'").withColumn("payload_digest", F.regexp_replace("payload_digest", "^sha256:", ""))
-    return whole.select(columns).unionByName(heads.select(columns))
+    rows = read_warc(spark, folder).where("record_type in ('response', 'revisit')")
+    size = F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_bytes"))
+    digest = F.coalesce(F.sha2("payload", 256), F.regexp_replace("payload_digest", "^sha256:", ""))
+    return rows.select("page_id", size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")

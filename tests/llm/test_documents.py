@@ -206,6 +206,30 @@ def test_packing(messy, none):
     assert packing.pack_documents(none, path, 2, 64).count() == 0
 
 
+def test_packing_numbers_pieces_over_tasks(spark, messy, monkeypatch):
+    """Sums that are joined instead of broadcast, tables from elsewhere, and columns with clashing names."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(packing, "BROADCAST", 0)
+    got = packing.pack_documents(messy.repartition(5), path, 2, 64, carried=("doc_id", "length", "score", "ids")).collect()
+    assert set(got[0].asDict()) == {"doc_id", "score", "piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset"}
+    lengths = [int(x) for x in np.random.default_rng(9).integers(1, 65, 400)]
+    rows = spark.createDataFrame([(i, n, "x") for i, n in enumerate(lengths)], "doc_id long, length long, offset string").repartition(3)
+    for placed in (got, packing.best_fit_pack(rows, 64).collect()):
+        places = {}
+        for r in placed:
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for p in places.values():
+            p.sort()
+            assert p[0][0] == 0 and p[-1][0] + p[-1][1] <= 64 and all(a[0] + a[1] == b[0] for a, b in zip(p, p[1:], strict=False))
+    bins = []
+    for n in sorted(lengths, reverse=True):
+        fit = [(r, i) for i, r in enumerate(bins) if r >= n]
+        bins.append(64 - n) if not fit else bins.__setitem__(min(fit)[1], min(fit)[0] - n)
+    assert len(placed) == 400 and len(places) == len(bins)
+    with pytest.raises(ValueError, match="longer than the capacity"):
+        packing.best_fit_pack(rows, 32)
+
+
 def test_token_files(spark, messy, none, monkeypatch):
     monkeypatch.setattr(token_files, "SHARD_IDS", 2_000)
     path = public_tokenizers.path("word_bpe_49k.json")
@@ -226,16 +250,38 @@ def test_re_pair_round_trip(tmp_path):
     rng = np.random.default_rng(2)
     for n in (0, 1, 5, 400, 5000):
         ids = np.append(rng.integers(0, 9, n), 1).astype(np.uint32)
-        symbols, rules, base = token_files.re_pair(ids, 1, least=3)
-        assert (token_files.expand(symbols, rules, base) == ids).all()
-        assert token_files.expansion_lengths(rules, base).tolist() == [len(token_files.expand(np.array([base + i]), rules, base)) for i in range(len(rules))]
-        if n == 5000:
-            assert len(symbols) < 0.6 * n
-        ends = np.flatnonzero(ids == 1) + 1
-        token_files.write_shard(str(tmp_path / f"s{n}"), np.arange(len(ends)), ends, ids, 1)
+        symbols, rules = token_files.re_pair(ids, 9, 1)
+        assert (token_files.expand(symbols, rules, 9) == ids).all()
+        assert token_files.expansion_lengths(rules, 9).tolist() == [len(token_files.expand(np.array([9 + i]), rules, 9)) for i in range(len(rules))]
+        # Worked to the end: no pair outside of an end is left that would pay for its rule.
+        left = Counter()
+        k = 0
+        while k + 1 < len(symbols):
+            pair = (int(symbols[k]), int(symbols[k + 1]))
+            left[pair] += 1
+            k += 1
+        assert n < 5000 or len(symbols) < 0.66 * n and max((c for p, c in left.items() if 1 not in p), default=0) < 3 * token_files.LEAST
+        ids = (ids * 5000).astype(np.uint32)
+        ends = np.flatnonzero(ids == 5000) + 1
+        size = token_files.write_shard(str(tmp_path / f"s{n}"), np.arange(len(ends)), ends, ids, 5000, min(1, n))
+        assert size == (tmp_path / f"s{n}").stat().st_size
         shard = token_files.Shard(str(tmp_path / f"s{n}"))
+        assert shard.without_id == min(1, n)
         for i in range(len(ends)):
-            assert (shard.documents(i, i + 1) == ids[(ends[i - 1] if i else 0) : ends[i]]).all()
+            own = ids[(ends[i - 1] if i else 0) : ends[i]]
+            assert (shard.documents(i, i + 1) == own).all()
+            for lo, hi in ((0, 1), (0, len(own)), (len(own) // 3, len(own) // 2 + 1), (len(own) - 1, len(own) + 5), (3, 3)):
+                assert (shard.ids(i, lo, hi) == own[lo:hi]).all()
+
+
+def test_bit_packing():
+    rng = np.random.default_rng(4)
+    for bits in (1, 3, 8, 14, 17, 32):
+        values = rng.integers(0, 1 << bits, 1003)
+        raw = token_files.pack(values, bits)
+        assert len(raw) == token_files.packed_size(1003, bits)
+        for lo, hi in ((0, 1003), (5, 6), (999, 1003), (8, 8)):
+            assert (token_files.unpack(raw[lo * bits // 8 : -(-hi * bits // 8)], bits, lo, hi - lo) == values[lo:hi]).all()
 
 
 def test_fingerprints(spark, messy, none, sf):
@@ -286,10 +332,52 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_features_are_those_of_the_text_alone():
-    texts = [b"", b"first text", b"", b"A second one", b"x", b"first text"]
-    alone = [toxicity._features([t])[0].tolist() for t in texts]
-    assert [x.tolist() for x in toxicity._features(texts, np.ones(1 << toxicity.BITS, bool))] == alone
-    assert alone[0] == [] and alone[1] == alone[5]
+    texts = ["", "first text", "", "A second öne", "x", "first text", "FIRST TEXT", "aaaaaaaaaaaa"]
+    found = [set(x.tolist()) for x in toxicity._features([t.encode() for t in texts])]
+    alone = [set(next(iter(toxicity._features([t.encode()]))).tolist()) for t in texts]
+    assert found == alone and found[0] == set() and found[1] == found[5] == found[6]
+    # As many buckets as there are distinct n-grams of characters, begin and end included.
+    for text, own in zip(texts, found, strict=True):
+        padded = f"\0{text.lower()}\0"
+        grams = {padded[i : i + n] for n in toxicity.LENGTHS for i in range(len(padded) - n + 1)} if text else set()
+        assert len(own) == len(grams)
+
+
+def test_toxicity_scores_are_those_of_plain_dictionaries():
+    """Log-count ratios and the same descent on dictionaries of n-grams, bucket by bucket."""
+    rng = np.random.default_rng(8)
+    words = ["good", "bad", "vile", "tree", "sky", "ugly", "river", "stone"]
+    texts = [" ".join(rng.choice(words, 12)) + (" vile ugly" if i % 3 == 0 else "") for i in range(30)]
+    toxic = np.array([float(i % 3 == 0) for i in range(30)])
+    toxic[4] = 1
+    shares = (2.5, 1.0)
+    model = toxicity.fit_rows(list(toxicity._features([t.encode() for t in texts])), toxic, shares, rounds=12)
+    rows = [set(x.tolist()) for x in toxicity._features([t.encode() for t in texts])]
+    many = [shares[c] * sum(toxic == c) for c in (0, 1)]
+    ratio = {}
+    for b in set().union(*rows):
+        held = [sum(shares[c] / many[c] for r, t in zip(rows, toxic, strict=True) if t == c and b in r) + toxicity.SMOOTHING / min(many) for c in (0, 1)]
+        ratio[b] = np.log(held[1] / held[0])
+    weight = np.array([shares[int(t)] for t in toxic])
+    weight /= weight.sum()
+    share = float((weight * toxic).sum())
+    v, vb = dict(ratio), 1.0
+    for _ in range(8):
+        size = np.sqrt(sum(x * x for x in v.values()) + vb * vb)
+        u = weight * np.array([(sum(ratio[b] * v[b] for b in r) + vb) / size for r in rows])
+        v, vb = {b: ratio[b] * sum(x for x, r in zip(u, rows, strict=True) if b in r) for b in ratio}, u.sum()
+    step = 1 / (0.3 * np.sqrt(sum(x * x for x in v.values()) + vb * vb) + 1e-3)
+    beta, bias, t = dict.fromkeys(ratio, 0.0), np.log(share / (1 - share)), 1.0
+    ahead, ahead_bias = dict(beta), bias
+    for _ in range(12):
+        miss = weight * (np.array([1 / (1 + np.exp(-sum(ratio[b] * ahead[b] for b in r) - ahead_bias)) for r in rows]) - toxic)
+        new = {b: ahead[b] - step * (ratio[b] * sum(m for m, r in zip(miss, rows, strict=True) if b in r) + 1e-3 * ahead[b]) for b in ratio}
+        new_bias, following = ahead_bias - step * miss.sum(), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = {b: new[b] + (t - 1) / following * (new[b] - beta[b]) for b in ratio}
+        ahead_bias = new_bias + (t - 1) / following * (new_bias - bias)
+        beta, bias, t = new, new_bias, following
+    want = [1 / (1 + np.exp(-sum(ratio[b] * beta[b] for b in r) - bias)) for r in rows]
+    assert np.allclose(model.scores([t.encode() for t in texts]), want, atol=1e-6)
 
 
 def test_toxicity_edges(spark, messy, none):
@@ -315,25 +403,47 @@ def test_merge_dropout(spark, messy, none):
 
 def test_merge_dropout_draws_for_every_occurrence():
     path, word = public_tokenizers.path("piece_bpe_32k.model"), b"internationalization"
-    model = merge_dropout.MergeModel(path)
-    ids = merge_dropout.DropoutEncoder(path, 0.1, 1).encode([word] * 500, list(range(500)))
-    assert all(model.decode(x.tolist()) == word for x in ids) and len({x.tobytes() for x in ids}) > 4
-    ids = merge_dropout.DropoutEncoder(path, 0.1, 1).encode([b" ".join([word] * 500)], [7])[0]
-    ends = np.flatnonzero([b" " in model.bytes[i][:1] for i in ids])
+    encoder = merge_dropout.DropoutEncoder(path, 0.1, 1)
+    ids = encoder.encode([word] * 500, list(range(500)))
+    assert all(encoder.model.decode(x.tolist()) == word for x in ids) and len({x.tobytes() for x in ids}) > 4
+    ids = encoder.encode([b" ".join([word] * 500)], [7])[0]
+    ends = np.flatnonzero([b" " in encoder.model.bytes[i][:1] for i in ids])
     assert len({x.tobytes() for x in np.split(ids, ends)}) > 4
 
 
-def test_merge_dropout_is_that_of_single_words():
+def naive_agenda(model, scores, word, key, limit):
+    """All candidates of a word looked at in every step; those that were skipped are remembered by place and size."""
+    parts, skipped = [(i, c) for i, c in enumerate(word)], set()
+    while True:
+        found = [(-scores[a + b], i, a + b) for (i, a), (_, b) in zip(parts, parts[1:]) if a + b in scores and (i, a, b) not in skipped]
+        if not found:
+            return [p for _, p in parts]
+        _, place, piece = min(found)
+        x = key ^ (place << 32 | len(piece))
+        at = next(k for k, (i, _) in enumerate(parts) if i == place)
+        if (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64) < limit:
+            skipped.add((place, parts[at][1], parts[at + 1][1]))
+        else:
+            parts[at : at + 2] = [(place, piece)]
+
+
+@pytest.mark.parametrize("dropout", [0.0, 0.1, 0.5, 1.0])
+def test_merge_dropout_is_that_of_a_naive_agenda(sf, spark, dropout):
+    from sentencepiece import SentencePieceProcessor
+
     path = public_tokenizers.path("piece_bpe_32k.model")
-    for dropout in (0.1, 0.5):
-        encoder, limit = merge_dropout.DropoutEncoder(path, dropout, 3), int(dropout * (1 << 64))
-        texts = [b"the international cat sat on the mat, the dog did not"] * 40
-        for doc, ids in zip(range(-5, 35), encoder.encode(texts, list(range(-5, 35))), strict=True):
-            want = []
-            for k, word in enumerate(texts[0].decode().split(" ")):
-                key = merge_dropout.mix(merge_dropout.mix(np.array([doc & (1 << 64) - 1], np.uint64)) ^ merge_dropout.mix(np.array([k + 3], np.uint64)))
-                want += encoder.model.encode_word("▁" + word, int(key[0]), limit)[0]
-            assert ids.tolist() == want
+    model = SentencePieceProcessor(model_file=path)
+    ids = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))}
+    scores = {p: model.get_score(i) for p, i in ids.items()}
+    texts = [t for _, t in sorted(rows_of(spark.read.parquet(f"{sf}/documents.parquet")))[:40]] + ["été ☃ 漢字漢字  q", "a" * 90, "x" * 33 + "internationalization" * 4, "\n\n \t don't"]
+    encoder, limit, mask = merge_dropout.DropoutEncoder(path, dropout, 3), min((1 << 64) - 1, int(dropout * (1 << 64))), (1 << 64) - 1
+    for doc, (text, got) in enumerate(zip(texts, encoder.encode([t.encode() for t in texts], list(range(-5, len(texts) - 5))), strict=True), -5):
+        want = []
+        for k, word in enumerate(re.findall(r"\n| +[^ \n]*|[^ \n]+", " " + text)):
+            key = merge_dropout.mix(merge_dropout.mix(np.array([doc & mask], np.uint64)) ^ merge_dropout.mix(np.array([k + 3], np.uint64)))
+            for part in naive_agenda(model, scores, word.replace(" ", "▁"), int(key[0]), limit):
+                want += [ids[part]] if part in ids else [encoder.model.byte_ids[x] for x in part.encode()]
+        assert got.tolist() == want
 
 
 def test_no_dropout_is_the_models_own_encoding(sf, spark):

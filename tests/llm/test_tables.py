@@ -1,6 +1,10 @@
 """Operators on vectors and pages, and the pipeline, against brute force."""
 
+import gzip
 import hashlib
+import re
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -41,6 +45,26 @@ def test_near_duplicate_vectors(spark, monkeypatch, limit):
     assert embed_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_repeated_and_missing_vec_ids(spark):
+    """Vectors that share a vec_id have links of their own, and a row without one has none."""
+    base = np.eye(64)
+    near = [(base[i] + 0.05 * base[i + 1]).tolist() for i in range(8)]
+    rows = [(5, base[0].tolist()), (5, base[4].tolist()), (6, near[0]), (7, near[4]), (None, base[0].tolist()), (None, None), (9, near[6]), (9, near[6]), (3, near[6])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = Counter(tuple(r) for r in embed_dedup.near_duplicates(df).collect())
+    assert got == Counter([(5, 1, 5, True), (5, 1, 5, True), (6, 1, 5, False), (7, 1, 5, False), (None, 0, None, True), (None, 0, None, True), (9, 2, 3, False), (9, 2, 3, False), (3, 2, 3, True)])
+
+
+def test_hot_vectors_are_spread(spark, monkeypatch):
+    from lodestream.llm import _spark
+
+    monkeypatch.setattr(_spark, "SHARE", 10)
+    one = np.eye(64)[0].tolist()
+    df = spark.createDataFrame([(i, one) for i in range(100)] + [(100 + i, np.eye(64)[1 + i % 9].tolist()) for i in range(50)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embed_dedup.near_duplicates(df).collect()}
+    assert len(got) == 150 and all(got[i] == (99, 0) for i in range(100)) and all(got[100 + i][1] == 100 + i % 9 for i in range(50))
+
+
 def test_links_over_borders_along_the_line_of_centres(spark, monkeypatch):
     """Vectors that vary in two directions only: differences point straight across the borders."""
     monkeypatch.setattr(embed_dedup, "CELL", 60)
@@ -52,11 +76,12 @@ def test_links_over_borders_along_the_line_of_centres(spark, monkeypatch):
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(df).collect()} == want
 
 
-def test_warc_round_trip(spark, tmp_path):
+@pytest.mark.parametrize("packed", [False, True])
+def test_warc_round_trip(spark, tmp_path, packed):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     odd = [(9001, None, None), (9002, "a\r\nb", "x" * 100), (9003, "", "x" * 100), (9004, "", "y" * 99), (9005, "", "y" * 99), (9000, "", "x" * 100), (9006, "u", "é" * 3_000_000), (9002, "a\r\nb", "x" * 100)]
     pages = pages.unionByName(spark.createDataFrame(odd, pages.schema)).withColumn("digest", F.lit("clash"))
-    folder = warc.write_pages(pages, str(tmp_path / "warc"))
+    folder = warc.write_pages(pages, str(tmp_path / "warc"), gzip=packed)
     rows = [(r["page_id"], r["html"]) for r in pages.collect()]
     first = {}
     for i, h in rows:
@@ -71,10 +96,28 @@ def test_warc_round_trip(spark, tmp_path):
     read = warc.read_warc(spark, folder)
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in read.where("record_type = 'response'").collect()} == {i: h or "" for i, h in rows if first[h] == i or len(h or "") < 100}
     assert read.where("page_id in (9002, 9003) and refers_to = 9000").count() == 3
+    (tmp_path / "warc" / warc.MANIFEST).unlink()  # without a manifest files are read whole
+    assert sorted((tuple(r) for r in warc.read_pages(spark, folder).collect()), key=str) == sorted(want, key=str)
+    revisit = next((tmp_path / "warc").glob("*.warc*"))
+    raw = b"".join((gzip.decompress(f.read_bytes()) if packed else f.read_bytes()) for f in (tmp_path / "warc").glob("*.warc*"))
+    ids = set(re.findall(rb"WARC-Record-ID: (\S+)", raw))
+    assert revisit and ids >= set(re.findall(rb"WARC-Refers-To: (\S+)", raw)) != set()
     empty = warc.write_pages(pages.limit(0), str(tmp_path / "none"))
     assert warc.read_pages(spark, empty).count() == 0
 
 
+def test_warc_bodies_as_servers_send_them():
+    page, http = b"<p>some page</p>" * 9, {"content-type": "application/http; msgtype=response"}
+    raw = zlib.compressobj(wbits=-15)
+    raw = raw.compress(page) + raw.flush()
+    for coding, body in (("gzip", gzip.compress(page)), ("deflate", zlib.compress(page)), ("deflate", raw), ("identity", page)):
+        chunks = b"".join(b"%x;x=y\r\n%s\r\n" % (len(body[i : i + 7]), body[i : i + 7]) for i in range(0, len(body), 7)) + b"0\r\n\r\n"
+        top = f"HTTP/1.1 200 OK\r\ncontent-encoding: {coding}\r\n".encode()
+        assert warc._decode(top + b"\r\n" + body, http) == page
+        assert warc._decode(top + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, http) == page
+    assert warc._decode(page, {"content-type": "text/html"}) == page
+
+
 def test_warc_skips_unwanted_payloads(spark, tmp_path, monkeypatch):
     folder = warc.write_pages(spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"))
     decoded = []
@@ -104,6 +147,60 @@ def test_pipeline_stages(spark, tmp_path):
     want = brute_repeats(rows)
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == {d: w[3].decode("utf-8", "replace") for d, w in want.items()}
     packed = stages["best_fit_packing"](spark, cut, sf)
+    assert_packed(packed.collect(), [(r["doc_id"], r["text"]) for r in cut.collect()], 1024)
     whole = corpus_pipeline.run(spark, sf)
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert sorted(map(tuple, packed.select(key).collect())) == sorted(map(tuple, whole.select(key).collect()))
+
+
+def assert_packed(got, rows, capacity):
+    """Pieces are those of the tokenizer's ids, sequences have no gaps, and there are as many as best-fit decreasing makes piece by piece."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for d, t in rows:
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        bounds = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+        want.update((d, k, a, tuple(ids[a:b])) for k, (a, b) in enumerate(zip(bounds, bounds[1:])))
+    assert Counter((r["doc_id"], r["piece"], r["start"], tuple(r["ids"])) for r in got) == want
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for p in places.values():
+        p.sort()
+        assert p[0][0] == 0 and p[-1][0] + p[-1][1] <= capacity and all(a[0] + a[1] == b[0] for a, b in zip(p, p[1:]))
+    bins = []
+    for n in sorted((len(k[3]) for k in want.elements()), reverse=True):
+        fit = [(r, i) for i, r in enumerate(bins) if r >= n]
+        if fit:
+            bins[min(fit)[1]] -= n
+        else:
+            bins.append(capacity - n)
+    assert len(places) == len(bins)
+
+
+def test_pipeline_stages_on_messy_documents(spark):
+    """Nulls, empty and very long texts, repeated rows, rows without a doc_id and clashing columns go through every stage."""
+    import corpus_pipeline
+    from tests.llm.test_documents import LONG, brute_components, brute_repeats
+
+    sf = "/root/testdata/sf0.001"
+    passage = " ".join(f"shared{i}" for i in range(40))
+    texts = [(1, None), (2, ""), (3, "one two"), (4, LONG), (5, "x " + passage), (6, passage + " y"), (6, passage + " y"), (7, "The cat sat on the mat today. " * 30), (8, "the CAT sat on the mat today. " * 30), (None, "nobody " * 40)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1, 0.5, "l", "k") for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long, score double, length string, kept string")
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, docs, sf)
+    assert clean.columns == docs.columns and clean.count() == len(texts)
+    kept = stages["ngram_jaccard_join"](spark, docs, sf)
+    first = {d for d, (_, c) in brute_components([x for x in texts if x[0] is not None], 5, 8, 10).items() if d == c}
+    assert kept.columns == docs.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == sorted([str(d) for d, _ in texts if d is None or d in first])
+    cut = stages["suffix_array_dedup"](spark, kept, sf)
+    want = brute_repeats([x for x in texts if x[0] in first])
+    rows = cut.collect()
+    assert cut.columns == docs.columns
+    assert all((r["text"] or "") == (want[r["doc_id"]][3].decode() if r["doc_id"] is not None else "nobody " * 40) for r in rows)
+    packed = stages["best_fit_packing"](spark, cut, sf)
+    assert_packed(packed.collect(), [(r["doc_id"], r["text"]) for r in rows], 1024)
+    for stage in stages.values():
+        assert stage(spark, docs.limit(0), sf).count() == 0
