@@ -1,4 +1,10 @@
-"""Documents to packed training sequences: toxic ones go, near copies go, repeated passages go, the rest is packed."""
+"""Documents to packed training sequences: toxic ones go, near copies go, repeated passages go, the rest is packed.
+
+Defined cases: null and empty texts pass the first three stages as they are and are packed as the end id alone; very long texts are
+worked on whole; rows that repeat a doc_id and text stay together, and are packed each for itself; rows without a doc_id are
+scored and packed, and are neither near copies nor hold repeated passages of others; an empty table gives no sequences; other columns
+go through all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestream.llm import ngram_join, packing, suffix_dedup, toxicity
-from lodestream.llm._spark import durable
+from lodestream.llm._spark import durable, release
 
 #: SQL can't express the learned scores, so the pipeline is tested against a brute-force version of its stages.
 ORACLE_SQL = None
@@ -42,5 +48,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each on a table that the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), name)
+        before, docs = docs, durable(stage(spark, docs, sf_dir), name)
+        release(before)
     return STAGES[-1][1](spark, docs, sf_dir)

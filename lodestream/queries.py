@@ -1,6 +1,6 @@
 """The registered queries of the engine's operators, each over its whole tables, and their SQL for DuckDB.
 
-``documents`` stand in for blocks: 20 sources, page = doc_id / 20 + 1. ``benchmark`` gives queries (first five words), the vectors
+``documents`` stand in for blocks: 20 sources, page = doc_id / 20 + 1. ``benchmark`` gives queries (whole texts), the vectors
 of ``embeddings`` belong to the document of the same number.
 """
 
@@ -141,8 +141,8 @@ def text_quality(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", F.round(text.text_quality(F.col("text")), 6).alias("quality"))
 
 
-@_query(f"""with a as (select doc_id, length({_re('text', '[^\\pL]', '')}) as l, length({_re('text', '[^a-zA-Z]', '')}) as e from documents)
-select doc_id, round(case when l > 0 then e / l::double else 0 end, 6) as latin, 0.0::double as devanagari from a""")
+@_query(f"""with a as (select doc_id, length({_re('text', '[^\\pL]', '')}) as l, length({_re('text', '[^a-zA-Z]', '')}) as e, length({_re(_re('text', '[^\\x{900}-\\x{97F}]', ''), '[^\\pL]', '')}) as d from documents)
+select doc_id, round(case when l > 0 then e / l::double else 0 end, 6) as latin, round(case when l > 0 then d / l::double else 0 end, 6) as devanagari from a""")
 def script_ratios(spark, sf_dir):
     t = F.col("text")
     return _t(spark, sf_dir, "documents").select("doc_id", F.round(text.latin_ratio(t), 6).alias("latin"), F.round(text.devanagari_ratio(t), 6).alias("devanagari"))
@@ -259,11 +259,11 @@ def tfidf_keywords(spark, sf_dir):
 
 
 # Search.
-_ASKED = r"asked as (select item_id as query_id, array_to_string(regexp_extract_all(lower(text), '[\pL\pM\pN_]+')[:5], ' ') as query from benchmark)"
+_ASKED = r"asked as (select item_id as query_id, array_to_string(regexp_extract_all(lower(text), '[\pL\pM\pN_]+'), ' ') as query from benchmark)"
 
 
 def _asked(spark, sf_dir) -> DataFrame:
-    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(text.tok_std(F.col("text")), 1, 5), " ").alias("query"))
+    return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(text.tok_std(F.col("text")), " ").alias("query"))
 
 
 def _bm25(spark, sf_dir) -> DataFrame:
@@ -299,10 +299,11 @@ def knn_topk(spark, sf_dir):
 
 
 @_query()
-def lsh_knn(spark, sf_dir):
+def cell_knn(spark, sf_dir):
+    """Every vector whose number is divisible by 20 is a query; 60 % of all vectors are looked at, which finds over nine tenths here."""
     vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    asked = vectors.join(_t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return search.lsh_knn(vectors, asked, 64, 30, "doc_id", "embedding")
+    asked = vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search.cell_knn(vectors, asked, 30, "doc_id", "embedding", share=0.6)
 
 
 def _fused(spark, sf_dir) -> DataFrame:
@@ -317,7 +318,7 @@ def rrf_fuse(spark, sf_dir):
 def _hits(spark, sf_dir) -> DataFrame:
     """Fused hits with what re-ranking looks at; the document's number says what kind it is taken for."""
     docs = _docs(spark, sf_dir).withColumns({
-        "keywords": F.slice(text.tok_word(F.col("content")), 1, 5), "source_index": F.element_at(F.array(*map(F.lit, linking.MODALITIES)), (F.col("doc_id") % 3).cast("int") + 1),
+        "keywords": text.tok_word(F.col("content")), "source_index": F.element_at(F.array(*map(F.lit, linking.MODALITIES)), (F.col("doc_id") % 3).cast("int") + 1),
         "content_type": F.element_at(F.array(*map(F.lit, ("pdf_text", "pdf_table", "pdf_image"))), (F.col("doc_id") % 3).cast("int") + 1), "has_table_on_page": F.col("doc_id") % 2 == 0, "has_image_on_page": F.col("doc_id") % 5 == 0,
     })
     rows = _fused(spark, sf_dir).join(docs, "doc_id").join(_asked(spark, sf_dir), "query_id")
@@ -325,7 +326,7 @@ def _hits(spark, sf_dir) -> DataFrame:
 
 
 _HITS = f"""{_BM25}, {_KNN}, {_RRF}, {_DOCS}, h as (select rrf.*, content, source, page, query, ['text', 'tables', 'images'][(doc_id % 3 + 1)::int] as source_index, doc_id as chunk_id,
-round(score * (1.0 + 0.1 * len(list_intersect(list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> '')), regexp_extract_all(lower(content), '{_W}{{2,}}')[:5]))
+round(score * (1.0 + 0.1 * len(list_intersect(list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> '')), regexp_extract_all(lower(content), '{_W}{{2,}}')))
  + case when doc_id % 3 = 0 then 0.05 when doc_id % 3 = 1 and (contains(query, 'table') or contains(query, 'data') or contains(query, 'numbers') or contains(query, 'statistics')) then 0.15 else 0 end
  + case when doc_id % 2 = 0 then 0.03 else 0 end + case when doc_id % 5 = 0 then 0.02 else 0 end + case when contains(lower(content), lower(query)) then 0.2 else 0 end
  + case when page <> 0 and page <= 5 then 0.05 * (1 - page / 10.0) else 0 end)::double, 8) as rerank_score from rrf join docs using (doc_id) join asked using (query_id))"""
@@ -376,9 +377,21 @@ def xref_expand(spark, sf_dir):
     return fusion.expand_links(top, _linked(spark, sf_dir), ["query_id"])
 
 
+def _fields(spark, sf_dir) -> DataFrame:
+    """Documents with the fields of an index: their first 50 different words are their keywords."""
+    return _docs(spark, sf_dir).select(F.lit("text").alias("source_index"), "doc_id", "content", "source", F.array_distinct(F.slice(text.tok_word(F.col("content")), 1, 50)).alias("keywords"))
+
+
 @_query()
 def phrase_slop(spark, sf_dir):
-    return search.phrase_hits(_docs(spark, sf_dir), _asked(spark, sf_dir), key="doc_id")
+    terms = search.index_terms(_fields(spark, sf_dir), "doc_id")
+    return search.phrase_matches(terms, _asked(spark, sf_dir), ["source_index"], "doc_id")
+
+
+@_query()
+def full_text_topk(spark, sf_dir):
+    """All fields, words a few edits away, and phrases."""
+    return search.full_text(search.index_terms(_fields(spark, sf_dir), "doc_id"), _asked(spark, sf_dir), key="doc_id").select("query_id", "doc_id", "score", "rank")
 
 
 @_query("""with v as (select distinct unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) as word from part), t as (select distinct unnest(regexp_extract_all(lower(n_name || ' ' || r_name), '[a-z]{3,}')) as term from nation join region on n_regionkey = r_regionkey
@@ -392,10 +405,56 @@ def fuzzy_terms(spark, sf_dir):
     return search.fuzzy_terms(terms.withColumnRenamed("w", "term"), pick(parts, F.concat_ws(" ", "p_name", "p_type")).withColumnRenamed("w", "word"))
 
 
-@_query(f"with {_BM25} select query_id, doc_id, round(greatest(3 * score, 2 * score), 6) as score from bm")
+def _words(spark, sf_dir) -> DataFrame:
+    """Whole texts of ``benchmark``, and beside each its third word by itself, which keywords can match."""
+    items = _t(spark, sf_dir, "benchmark").select("item_id", text.tok_std(F.col("text")).alias("t"))
+    return items.select((F.col("item_id") * 2).alias("query_id"), F.array_join("t", " ").alias("query")).unionByName(items.select((F.col("item_id") * 2 + 1).alias("query_id"), F.get("t", F.lit(2)).alias("query")).where("query is not null"))
+
+
+@_query(rf"""with items as (select item_id, regexp_extract_all(lower(text), '[\pL\pM\pN_]+') as t from benchmark),
+q as (select item_id * 2 as query_id, array_to_string(t, ' ') as query from items union all select item_id * 2 + 1, t[3] from items where len(t) > 2),
+f as (select doc_id, 'content' as field, regexp_extract_all(lower(text), '[\pL\pM\pN_]+') as t from documents union all select doc_id, 'source', regexp_extract_all(lower(source), '[\pL\pM\pN_]+') from documents
+ union all select doc_id, 'keywords', list_distinct(regexp_extract_all(lower(text), '{_W}{{{{2,}}}}')[:50]) from documents),
+st as (select field, count(*) as n, avg(len(t)) as avgdl from f where len(t) > 0 group by field), tok as (select doc_id, field, len(t) as dl, unnest(t) as term from f),
+w as (select distinct query_id, 'content' as field, unnest(regexp_extract_all(lower(query), '[\pL\pM\pN_]+')) as term from q union all select query_id, 'keywords', query from q),
+want as (select * from w union all select query_id, 'source', term from w where field = 'content'),
+tf as (select doc_id, field, term, dl, count(*)::double as tf from tok semi join want using (field, term) group by all), df as (select field, term, count(*) as df from tf group by all),
+s as (select query_id, doc_id, field, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * case when field = 'keywords' then 1 else tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) end) as s from tf join df using (field, term) join st using (field) join want using (field, term) group by all)
+select query_id, doc_id, round(max(s * case field when 'content' then 3 when 'keywords' then 2 else 1 end)::double, 6) as score from s group by query_id, doc_id""".replace("{{", "{").replace("}}", "}"))
 def multi_field_max(spark, sf_dir):
-    hits = _bm25(spark, sf_dir)
-    return search.multi_field({"content": (hits, 3.0), "keywords": (hits, 2.0)}, "doc_id")
+    terms, asked = search.index_terms(_fields(spark, sf_dir), "doc_id"), _words(spark, sf_dir)
+    wanted = search.query_terms(asked).select("query_id", "term", F.col("term").alias("word"), F.lit(1.0).alias("weight"))
+    scores = search.field_scores(terms, wanted, asked, ["source_index"], "doc_id")
+    return search.best_field(scores, ["source_index"], "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(rf"""with k as (select doc_id, list_distinct(regexp_extract_all(lower(text), '{_W}{{2,}}')[:50]) as k from documents), q as (select item_id as query_id, regexp_extract_all(lower(text), '[\pL\pM\pN_]+')[3] as query from benchmark)
+select query_id, doc_id from q join k on list_contains(k, query)""")
+def keyword_field(spark, sf_dir):
+    asked = _words(spark, sf_dir).where("query_id % 2 = 1").withColumn("query_id", F.floor(F.col("query_id") / 2).cast("long"))
+    terms = search.index_terms(_fields(spark, sf_dir).select("source_index", "doc_id", "keywords"), "doc_id")
+    wanted = asked.select("query_id", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("word"), F.lit(1.0).alias("weight")).limit(0)
+    return search.field_scores(terms, wanted, asked, ["source_index"], "doc_id").select("query_id", "doc_id")
+
+
+@_query("select doc_id, 'doc_' || doc_id || '_' || substr(sha256('a/' || doc_id || '.pdf' || sha256(text)), 1, 8) as document_id from documents")
+def document_ids(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    path = F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".pdf"))
+    return docs.select("doc_id", linking.document_id(path, files.checksum(F.col("text").cast("binary"))).alias("document_id"))
+
+
+@_query()
+def retrieve(spark, sf_dir):
+    """Documents as blocks of three indexes, made into chunks and searched for the benchmark's texts."""
+    from .functions.embedding import embed_column
+    from .plans.ingest import prepare
+    from .plans.retrieve import retrieve as run
+
+    blocks = _docs(spark, sf_dir).select("content", "source", "page", F.element_at(F.array(*map(F.lit, linking.MODALITIES)), (F.col("doc_id") % 3).cast("int") + 1).alias("modality"), F.col("doc_id").cast("int").alias("block_no"))
+    asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant_no"), F.col("text").alias("variant"))
+    found = run(prepare(blocks, EngineConfig()), embed_column(asked, "variant", "vector"))
+    return found.select("query_id", "chunk_id", "source_index", "score", "rerank_score", "is_cross_reference", "rank")
 
 
 # Keeping the index.
@@ -498,14 +557,14 @@ def structured_context(spark, sf_dir):
 
 
 # Recognition results.
-_OCR = "o as (select doc_id as image_id, case when c < 2 then 'en' else 'dev' end as engine, c % 2 as candidate, substr(text, 1 + c * 10, 200) as text, ((doc_id * 7 + c * 13) % 100) / 100.0::double as confidence from documents, (select unnest([0, 1, 2, 3]) as c))"
+_OCR = "o as (select doc_id as image_id, case when c < 2 then 'en' else 'dev' end as engine, c % 2 as candidate, substr(text, 1 + c * 10) as text, ((doc_id * 7 + c * 13) % 100) / 100.0::double as confidence from documents, (select unnest([0, 1, 2, 3]) as c))"
 
 
 def _ocr(spark, sf_dir) -> DataFrame:
     """Parts of documents as results of two engines, two candidates each."""
     rows = _t(spark, sf_dir, "documents").withColumn("c", F.explode(F.array(*map(F.lit, range(4)))))
     confidence = ((F.col("doc_id") * 7 + F.col("c") * 13) % 100 / 100.0).cast("double")
-    return rows.select(F.col("doc_id").alias("image_id"), F.when(F.col("c") < 2, "en").otherwise("dev").alias("engine"), (F.col("c") % 2).alias("candidate"), F.substring(F.col("text"), F.col("c") * 10 + 1, F.lit(200)).alias("text"), confidence.alias("confidence"), F.when(F.col("doc_id") % 5 == 0, " HI ").when(F.col("doc_id") % 5 == 1, "auto").alias("hint"))
+    return rows.select(F.col("doc_id").alias("image_id"), F.when(F.col("c") < 2, "en").otherwise("dev").alias("engine"), (F.col("c") % 2).alias("candidate"), F.substr(F.col("text"), F.col("c") * 10 + 1).alias("text"), confidence.alias("confidence"), F.when(F.col("doc_id") % 5 == 0, " HI ").when(F.col("doc_id") % 5 == 1, "auto").alias("hint"))
 
 
 @_query(f"with {_OCR} select image_id, engine, candidate::int as candidate, confidence from o qualify row_number() over (partition by image_id, engine order by confidence desc, candidate) = 1")

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import IMAGE_EXTENSIONS
+from ..functions.chunking import table_markdown, table_summary
+from ..operators.recognition import recognised_blocks
 
 EXTENSIONS = ["pdf", *IMAGE_EXTENSIONS]
 STATE = "path string, checksum string"
@@ -33,13 +35,33 @@ def kind(path: Column) -> Column:
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """Checksums of files that were read before; none if there is no such table yet."""
+    """Checksums of files that were read before: the latest whole version. None if there is no such table, or it can't be read."""
     from pyspark.errors import AnalysisException
 
-    try:
-        return spark.read.schema(STATE).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], STATE)
+    for version in sorted(_versions(spark, path), reverse=True):
+        try:
+            return spark.read.schema(STATE).parquet(f"{path}/v{version}")
+        except AnalysisException:
+            continue
+    return spark.createDataFrame([], STATE)
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions of the state that were written to the end."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = store.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")) or []
+    return [int(f.getPath().getParent().getName()[1:]) for f in found]
+
+
+def save_state(state: DataFrame, path: str) -> None:
+    """Write a new version beside the older ones; it counts when it is whole. Of the older ones the last is kept."""
+    spark = state.sparkSession
+    held = sorted(_versions(spark, path))
+    state.write.mode("overwrite").parquet(f"{path}/v{held[-1] + 1 if held else 0}")
+    for version in held[:-1]:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/v{version}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def needs_reindex(files: DataFrame, state: DataFrame) -> DataFrame:
@@ -67,27 +89,76 @@ def purge_missing(state: DataFrame, files: DataFrame) -> DataFrame:
     return state.join(files.select("path"), "path", "left_semi")
 
 
-def extract_blocks(files: DataFrame, parser: Callable[[bytes], list[tuple[int, str, str]]]) -> DataFrame:
-    """``source, page, modality, block_no, content`` of files by ``parser``, which gives (page, modality, text) of a file's bytes.
+BLOCKS = "source string, path string, page int, modality string, block_no int, content string, columns array<string>, rows array<array<string>>, image binary"
+
 
-    A file that the parser can't read gives no rows; blank blocks are left out.
+def extract_blocks(files: DataFrame, parser: Callable[[bytes], list[tuple]]) -> DataFrame:
+    """``BLOCKS`` of files by ``parser``, which gives (page, modality, what is there) of a file's bytes.
+
+    What is there: a text; for ``tables`` also a pair of column names and rows; for ``images`` also the image's bytes. A file that
+    the parser can't read gives no rows; blank texts are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.list_(pa.string())), pa.binary())
         for batch in batches:
-            rows = []
+            out = []
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
                 try:
                     found = parser(content)
                 except Exception:  # noqa: BLE001  a broken file must not end the job
                     found = []
-                rows += [(path.rpartition("/")[2], page, modality, i, text) for i, (page, modality, text) in enumerate(found) if text and text.strip()]
-            kinds = (pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
-            yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["source", "page", "modality", "block_no", "content"])
+                for i, (page, modality, what) in enumerate(found):
+                    row = [path.rpartition("/")[2], path, page, modality, i, None, None, None, None]
+                    if isinstance(what, bytes):
+                        row[8] = what
+                    elif isinstance(what, tuple):
+                        row[6], row[7] = [str(c) for c in what[0]], [[None if c is None else str(c) for c in r] for r in what[1]]
+                    elif what and what.strip():
+                        row[5] = what
+                    else:
+                        continue
+                    out.append(row)
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], [f.split()[0] for f in BLOCKS.split(", ")])
+
+    return files.select("path", "content").mapInArrow(run, BLOCKS)
+
+
+def with_tables(blocks: DataFrame) -> DataFrame:
+    """Tables as text: their content between bars, and a summary."""
+    table = F.col("columns").isNotNull()
+    content = F.when(table, table_markdown(F.col("columns"), F.col("rows"))).otherwise(F.col("content"))
+    return blocks.withColumns({"content": content, "table_summary": F.when(table, table_summary(F.col("columns"), F.col("rows")))}).drop("columns", "rows")
+
+
+def with_recognised(blocks: DataFrame, recogniser: Callable[[bytes, str | None], list[tuple[str, str, float]]] | None, hint: str | None = None) -> DataFrame:
+    """The text of images by ``recogniser``, which gives (engine, text, confidence) of an image and a language hint.
+
+    Of several results one is chosen as ``recognition.arbitrate`` does; images without text, or without a recogniser, are left out.
+    """
+    rest = blocks.where("image is null").drop("image").withColumns({"ocr_confidence": F.lit(None).cast("double"), "language": F.lit(None).cast("string")})
+    if recogniser is None:
+        return rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, out = list(zip(*(batch.column(c).to_pylist() for c in ("path", "page", "block_no")), strict=True)), []
+            for (path, page, block), image in zip(keys, batch.column("image").to_pylist(), strict=True):
+                try:
+                    found = recogniser(image, hint)
+                except Exception:  # noqa: BLE001  an image that can't be read has no text
+                    found = []
+                out += [(f"{path}\n{page}\n{block}", engine, i, text, confidence, hint) for i, (engine, text, confidence) in enumerate(found)]
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.string())
+            yield pa.record_batch([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], ["image_id", "engine", "candidate", "text", "confidence", "hint"])
 
-    return files.select("path", "content").mapInArrow(run, "source string, page int, modality string, block_no int, content string")
+    images = blocks.where("image is not null")
+    results = images.select("path", "page", "block_no", "image").mapInArrow(run, "image_id string, engine string, candidate int, text string, confidence double, hint string")
+    read = recognised_blocks(results).select("image_id", "content", F.col("confidence").alias("ocr_confidence"), "language")
+    name = F.concat_ws("\n", "path", F.coalesce(F.col("page").cast("string"), F.lit("None")), F.col("block_no").cast("string"))
+    return rest.unionByName(images.drop("image", "content").withColumn("image_id", name).join(read, "image_id").drop("image_id"))
 
 
-def text_parser(content: bytes) -> list[tuple[int, str, str]]:
+def text_parser(content: bytes) -> list[tuple]:
     """Plain text; form feeds divide pages."""
     return [(i, "text", page) for i, page in enumerate(content.decode("utf-8", "replace").split("\f"), 1)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..sources.files import FILES, checksum, load_state, needs_reindex, scan
 
+LOG = logging.getLogger(__name__)
+
 
 def watch(spark: SparkSession, folder: str, checkpoint: str, ingest: Callable[[DataFrame], None], once: bool = False, pattern: str = "*") -> StreamingQuery:
     """Hand the new files of a folder to ``ingest`` as ``(path, content, checksum)``, micro-batch by micro-batch.
 
+    A batch that ``ingest`` can't take is logged and left, and the stream goes on (for an engine: ``Engine.reindex``).
     The stream's checkpoint keeps what was seen, so a restart goes on where the last batch ended. It knows files by
     their paths: for overwritten ones see ``changed_files``.
     """
@@ -21,7 +25,10 @@ def watch(spark: SparkSession, folder: str, checkpoint: str, ingest: Callable[[D
     files = files.withColumn("checksum", checksum(F.col("content")))
 
     def each(batch: DataFrame, number: int) -> None:
-        ingest(batch)
+        try:
+            ingest(batch)
+        except Exception:  # noqa: BLE001  one bad batch must not end the watch
+            LOG.exception("batch %d could not be ingested", number)
 
     writer = files.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

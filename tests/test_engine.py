@@ -71,10 +71,58 @@ def test_variants(spark):
     assert [r["variant"] for r in failing.collect()] == ["tax"]
 
 
-def test_phrases_and_fuzzy_terms(spark):
-    chunks = spark.createDataFrame([("a", "the quick brown fox"), ("b", "brown quick fox"), ("c", "quick and very slow brown")], "chunk_id string, content string")
-    asked = spark.createDataFrame([(1, "quick brown")], "query_id int, query string")
-    assert sorted(r["chunk_id"] for r in search.phrase_hits(chunks, asked).collect()) == ["a", "b"]
+def brute_phrase(text, query, slop):
+    """Every choice of one position a word, no position twice: the occurrences that begin at s count by their smallest spread."""
+    from itertools import product
+
+    words, asked = text.lower().split(), query.lower().split()
+    places = [[i for i, w in enumerate(words) if w == a] for a in asked]
+    best = {}
+    for choice in product(*places):
+        begins = [c - k for k, c in enumerate(choice)]
+        if len(set(choice)) == len(choice) and max(begins) - min(begins) <= slop:
+            best[min(begins)] = min(best.get(min(begins), 99), max(begins) - min(begins))
+    return round(sum(1 / (1 + d) for d in best.values()), 6)
+
+
+def test_phrases_against_every_choice(spark):
+    import random
+
+    draw = random.Random(4)
+    texts = [" ".join(draw.choice("alpha beta gamma x y".split()) for _ in range(14)) for _ in range(60)]
+    texts += ["alpha x x beta gamma", "beta alpha", "alpha beta gamma", "gamma x x x alpha beta"]
+    asked = ["alpha beta", "alpha beta gamma", "gamma beta", "alpha"]
+    chunks = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    terms = search.index_terms(chunks, by=[])
+    found = search.phrase_matches(terms, spark.createDataFrame(list(enumerate(asked)), "query_id int, query string"), []).collect()
+    want = {(q, f"c{i}"): brute_phrase(t, a, 2) for q, a in enumerate(asked) for i, t in enumerate(texts)}
+    assert {(r["query_id"], r["chunk_id"]): r["freq"] for r in found} == {k: v for k, v in want.items() if v}
+    assert want[1, "c60"] > 0 and want[1, "c63"] == 0 and want[0, "c61"] > 0
+
+
+def test_full_text_takes_the_best_field_and_phrases(spark):
+    rows = [("a", "solar power plants", ["tax rate"], None, "x.txt"), ("b", "plants and power and other solar things far away from it", [], "Table with solar power", "solar.txt"), ("c", "nothing of it", ["solar power"], None, "y.txt"), ("d", "solr panels", [], None, "z.txt")]
+    chunks = spark.createDataFrame([("text", *r) for r in rows], "source_index string, chunk_id string, content string, keywords array<string>, table_summary string, source string")
+    terms = search.index_terms(chunks)
+    ask = spark.createDataFrame([(1, "solar power")], "query_id int, query string")
+    found = {r["chunk_id"]: r["score"] for r in search.full_text(terms, ask).collect()}
+    assert set(found) == {"a", "b", "c", "d"} and max(found, key=found.get) == "a"
+    plain = {r["chunk_id"] for r in search.full_text(terms, ask, fuzzy=False).collect()}
+    assert plain == {"a", "b", "c"}
+
+
+def test_cells_find_nine_tenths_and_all_of_them_everything(spark):
+    vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("content_vector"))
+    asked = vectors.where("chunk_id % 20 = 0").select(F.col("chunk_id").alias("query_id"), F.col("content_vector").alias("vector"))
+    pairs = lambda df: {(r["query_id"], r["chunk_id"]) for r in df.collect()}
+    exact = pairs(search.knn(vectors, asked))
+    assert len(exact & pairs(search.cell_knn(vectors, asked, share=0.6))) >= 0.9 * len(exact)
+    assert pairs(search.cell_knn(vectors, asked, share=1.0)) == exact
+    few = search.cell_knn(vectors, asked, share=0.001).groupBy("query_id").count().collect()
+    assert all(r["count"] == 30 for r in few)
+
+
+def test_fuzzy_terms(spark):
     terms = spark.createDataFrame([("spark",), ("retrieval",), ("ab",)], "term string")
     words = spark.createDataFrame([("sparks",), ("spork",), ("sprk",), ("spo",), ("retreival",), ("retrieve",), ("abc",), ("ab",)], "word string")
     assert {(r["term"], r["match"]) for r in search.fuzzy_terms(terms, words).collect()} == {("spark", "sparks"), ("spark", "spork"), ("spark", "sprk"), ("retrieval", "retreival"), ("retrieval", "retrieve"), ("ab", "ab")}
@@ -120,6 +168,51 @@ def test_engine_end_to_end(spark, tmp_path):
     assert "Source: a.txt" in answers[1] and "Source: b.txt" in answers[2]
     assert engine.delete("a.txt") > 0 and {r["source"] for r in engine.store.read().select("source").distinct().collect()} == {"b.txt"}
     assert engine.status()["sources"] == 1
+    (folder / "b.txt").write_text(" ")
+    engine.ingest(scan())
+    assert engine.store.read().where("source = 'b.txt'").count() == engine.store.read_terms().where("source = 'b.txt'").count() == 0
+    breakdown = found[0]["score_breakdown"]
+    assert breakdown["bm25_rrf"] > 0 or breakdown["knn_rrf"] > 0
+
+
+def test_tables_and_images_are_indexed_and_replaced(spark, tmp_path):
+    def parser(content):
+        if content == b"later":
+            return [(1, "text", "Only text is left on this page now. " * 10)]
+        return [(1, "text", "Words about rivers and lakes. " * 10), (1, "tables", (["name", "depth"], [["lake", 9], ["pond", None]] * 12)), (2, "images", b"dark"), (2, "images", b"clear")]
+
+    def recogniser(image, hint):
+        return [] if image == b"dark" else [("en", "Recognised words of a scanned page. " * 6, 0.8), ("dev", "", 0.1)]
+
+    engine = Engine(spark, str(tmp_path / "engine"), EngineConfig(), parser=parser, recogniser=recogniser, extensions=["pdf"])
+    scan = lambda text: spark.createDataFrame([("/in/r.pdf", text, f"sum {text}"), ("/in/t.txt", b"x", "t")], "path string, content binary, checksum string")
+    engine.ingest(scan(b"first"))
+    rows = engine.store.read().collect()
+    assert {r["source_index"] for r in rows} == {"text", "tables", "images"} and {r["content_type"] for r in rows} == {"pdf_text", "pdf_table", "pdf_image"}
+    assert all(r["document_id"].startswith("doc_r_") for r in rows) and {r["ocr_confidence"] for r in rows if r["source_index"] == "images"} == {0.8}
+    table = next(r for r in rows if r["source_index"] == "tables")
+    assert table["table_summary"] == "Table with 24 rows and columns: name, depth" and table["content"].startswith("| name | depth |") and table["has_image_on_page"] is False
+    engine.ingest(scan(b"later"))
+    assert {r["source_index"] for r in engine.store.read().collect()} == {"text"} == {r["source_index"] for r in engine.store.read_terms().collect()}
+    engine.reindex(scan(b"first"))
+    assert engine.status() == {"status": "ready", "chunks": {"text": 1, "tables": 1, "images": 1}, "sources": 1}
+
+
+def test_vectors_of_another_width_are_refused(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "engine"), EngineConfig(), embedder=lambda texts: [[1.0] * 4 for _ in texts])
+    assert engine.width == 4
+    engine._embedder = lambda texts: [[1.0] * 5 for _ in texts]
+    with pytest.raises(Exception, match="a vector of 4 numbers was expected, not 5"):
+        engine.ingest_blocks(spark.createDataFrame([("s", 1, "text", 0, "some words here " * 20)], "source string, page int, modality string, block_no int, content string"))
+
+
+def test_state_versions(spark, tmp_path):
+    path = str(tmp_path / "state")
+    for i in range(3):
+        files.save_state(spark.createDataFrame([("a", str(i))], files.STATE), path)
+        assert [tuple(r) for r in files.load_state(spark, path).collect()] == [("a", str(i))]
+    (tmp_path / "state" / "v2" / "_SUCCESS").unlink()  # as if the write had been cut off
+    assert [tuple(r) for r in files.load_state(spark, path).collect()] == [("a", "1")]
 
 
 def test_watch_sees_new_files_and_state_sees_changed_ones(spark, tmp_path):
@@ -131,6 +224,8 @@ def test_watch_sees_new_files_and_state_sees_changed_ones(spark, tmp_path):
     def ingest(batch):
         rows = batch.select("path", "checksum").collect()
         seen.extend(r["path"].rpartition("/")[2] for r in rows)
+        if len(seen) == 1:
+            raise ValueError("a batch that fails does not end the watch")
 
     def turn():
         watch(spark, str(folder), str(tmp_path / "cp"), ingest, once=True, pattern="*.txt").awaitTermination()
@@ -139,7 +234,7 @@ def test_watch_sees_new_files_and_state_sees_changed_ones(spark, tmp_path):
     (folder / "b.txt").write_text("two")
     turn()
     assert sorted(seen) == ["a.txt", "b.txt"]
-    files.scan(spark, str(folder)).select("path", "checksum").write.parquet(state)
+    files.save_state(files.scan(spark, str(folder)).select("path", "checksum"), state)
     assert changed_files(spark, str(folder), state).count() == 0
     (folder / "a.txt").write_text("changed")
     assert [r["path"].rpartition("/")[2] for r in changed_files(spark, str(folder), state).select("path").collect()] == ["a.txt"]
