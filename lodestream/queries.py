@@ -329,7 +329,7 @@ _HITS = f"""{_BM25}, {_KNN}, {_RRF}, {_DOCS}, h as (select rrf.*, content, sourc
 round(score * (1.0 + 0.1 * len(list_intersect(list_distinct(list_filter(string_split(lower(query), ' '), lambda x: x <> '')), regexp_extract_all(lower(content), '{_W}{{2,}}')))
  + case when doc_id % 3 = 0 then 0.05 when doc_id % 3 = 1 and (contains(query, 'table') or contains(query, 'data') or contains(query, 'numbers') or contains(query, 'statistics')) then 0.15 else 0 end
  + case when doc_id % 2 = 0 then 0.03 else 0 end + case when doc_id % 5 = 0 then 0.02 else 0 end + case when contains(lower(content), lower(query)) then 0.2 else 0 end
- + case when page <> 0 and page <= 5 then 0.05 * (1 - page / 10.0) else 0 end)::double, 8) as rerank_score from rrf join docs using (doc_id) join asked using (query_id))"""
+ + case when page <> 0 and page <= 5 then 0.05 * (1 - page / 10.0) else 0 end)::double, 12) as rerank_score from rrf join docs using (doc_id) join asked using (query_id))"""
 
 
 @_query(f"with {_HITS} select query_id, doc_id, rerank_score from h")
