@@ -33,27 +33,27 @@ _AT_ONCE = 1 << 20
 _FEATURES = "toxic int, buckets array<int>"
 
 
-def _features(texts: list[bytes]) -> Iterator[np.ndarray]:
+def _features(texts: list[bytes], bits: int = BITS, lengths: tuple[int, ...] = LENGTHS) -> Iterator[np.ndarray]:
     """The distinct buckets of each text, in no order."""
-    stamp = np.zeros(1 << BITS, np.int32)
+    stamp, longest = np.zeros(1 << bits, np.int32), max(lengths)
     for lo, hi in grouped(texts, 1 << 18):
         decoded = ["\0" + t.decode("utf-8", "replace") + "\0" for t in texts[lo:hi]]
-        points = np.frombuffer(("".join(decoded) + "\0" * max(LENGTHS)).encode("utf-32-le"), "<u4").astype(np.uint64)
+        points = np.frombuffer(("".join(decoded) + "\0" * longest).encode("utf-32-le"), "<u4").astype(np.uint64)
         points[(points >= 65) & (points <= 90)] += U(32)
-        size = len(points) - max(LENGTHS)
+        size = len(points) - longest
         gram, buckets = np.zeros(size, np.uint64), []
-        for k in range(max(LENGTHS)):
+        for k in range(longest):
             gram += (points[k : k + size] + U(1)) * U(pow(0x9E3779B97F4A7C15, k + 1, 1 << 64))
-            if k + 1 in LENGTHS:
+            if k + 1 in lengths:
                 mixed = gram ^ gram >> U(31)
-                buckets.append(((mixed * U(0xD6E8FEB86659FD93)) >> U(64 - BITS)).astype(np.int32))
+                buckets.append(((mixed * U(0xD6E8FEB86659FD93)) >> U(64 - bits)).astype(np.int32))
         begin = 0
         for text in decoded:
             stop = begin + len(text)
             if len(text) == 2:
                 yield np.zeros(0, np.int32)
             else:
-                found = np.concatenate([b[begin : max(begin, stop - n + 1)] for n, b in zip(LENGTHS, buckets, strict=True)])
+                found = np.concatenate([b[begin : max(begin, stop - n + 1)] for n, b in zip(lengths, buckets, strict=True)])
                 count = np.arange(len(found), dtype=np.int32)
                 stamp[found] = count  # the last of equal buckets stays
                 yield found[stamp[found] == count]
