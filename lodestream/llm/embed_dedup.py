@@ -10,16 +10,14 @@ vector, so vectors are shuffled once to make the classes and then only as member
 they are compared with, so a group with a third of all rows is spread over many tasks; a task returns each row's number of links and a
 spanning forest of the links it saw, never the pairs.
 
-Defined cases: vectors that are null, empty, zero, hold null or non-finite components, or have another length than most of
-the sample link with nothing (n_links 0, their own component); rows that repeat a vec_id are vectors of their own, each with its
+Defined cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing (n_links 0, their own
+component); vectors of each length are compared among themselves, as those of different lengths have no cosine; rows that repeat a vec_id are vectors of their own, each with its
 own links, and a component is named by the smallest vec_id of its rows; rows without a vec_id link with nothing and have no
 component; a cosine equal to the threshold is a link; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -125,22 +123,26 @@ def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors(vec_id, embedding)``."""
-    spark = vectors.sparkSession
     kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     every = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("embedding"))
     usable = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     good = every.where(F.coalesce(usable & fine, F.lit(False)))
+    # A row for each length; as a rule there is one.
+    widths = [r["n"] for r in good.groupBy(F.size("embedding").alias("n")).agg(F.count("*").alias("m")).orderBy(F.desc("m"), "n").collect()]
+    out = every.where(~F.coalesce(usable & fine, F.lit(False))).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    for width in widths:
+        out = out.unionByName(_of_one_width(good if len(widths) == 1 else good.where(F.size("embedding") == width), width, kind, threshold))
+    return out
+
+
+def _of_one_width(good: DataFrame, width: int, kind: str, threshold: float) -> DataFrame:
+    """``near_duplicates`` of ``(vec_id, embedding)`` whose vectors all have ``width`` numbers and can be compared."""
     sample = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks()
-    width = Counter(len(x) for x in sample).most_common(1)[0][0] if len(sample) else 0
-    fine = F.coalesce(usable & fine & (F.size("embedding") == width), F.lit(False))
-    alone = every.where(~fine).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if not width:
-        return alone
-    good = every.where(fine).withColumns({f"h{i}": F.xxhash64(F.lit(i), "embedding") for i in (1, 2)})
+    good = good.withColumns({f"h{i}": F.xxhash64(F.lit(i), "embedding") for i in (1, 2)})
     classes = good.groupBy("h1", "h2", "embedding").agg(F.min("vec_id").alias("low"), F.count("*").alias("m"))
     classes = durable(classes.withColumn("id", F.monotonically_increasing_id()), "vectors")
-    rows = _unit(pa.array([x for x in sample.to_pylist() if len(x) == width], pa.list_(pa.float64())))
+    rows = _unit(pa.array(sample.to_pylist(), pa.list_(pa.float64())))
     k = int(np.clip(classes.count() // CELL, 1, min(MOST_CELLS, len(rows))))
     centres = spherical_kmeans(rows, k)
     placed = durable(classes.transform(in_tasks, _assign(centres, threshold), f"cell int, home boolean, id long, m long, vector array<{kind}>"), "cells")
@@ -166,4 +168,4 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95) -> DataFrame:
     named = durable(named.select("h1", "h2", "m", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("lowest", "low").alias("component_id")), "named")
     release(found, parts)
     full = spread_join(good.select("vec_id", "h1", "h2"), named, ["h1", "h2"], "m")
-    return full.select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept")).unionByName(alone)
+    return full.select("vec_id", "n_links", "component_id", (F.col("component_id") == F.col("vec_id")).alias("kept"))

@@ -1,9 +1,9 @@
 """How five filters of documents interact: what each removes, alone and after others, in every order.
 
 A document fails A (under ``MIN_WORDS`` words), B (too few of its words are different), C (too many capitals), D (a character of ``MARKS``)
-and E (a smaller doc_id has the same text). A to D follow from the text alone. For E all documents are sorted by ranges of text fingerprint, whole
-text and doc_id; each is compared with the one before, and the first group of a partition with the last one of those before it, of
-which a table has one row for each partition. So a text with any number of copies is spread over as many tasks as its rows need.
+and E (a smaller doc_id has the same text). A to D follow from the text alone. For E all documents are dealt out by ranges of text
+fingerprint and doc_id and sorted by fingerprint, whole text and doc_id; each is compared with the one before, and the first texts of a
+partition with the last ones of others, of which a table has one row for each partition. So a text with any number of copies is spread over as many tasks as its rows need.
 A document's failures are a mask of five bits; masks are counted for each part and label (counts that add up, so parts can be merged),
 and every order's steps follow from the counts of the 32 masks.
 
@@ -49,12 +49,12 @@ def own_failures(text: Column) -> Column:
 def _duplicates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Masks with E, of rows sorted by (fingerprint, text, doc_id).
 
-    Rows of the partition's first text have its digest as ``key``: earlier partitions may hold that text too. The last row, without a
-    mask, says which text the partition ends with, and its first doc_id.
+    Rows with the partition's first fingerprint have their text's digest as ``key``: earlier partitions may hold that text too. The last
+    rows, without a mask, say which texts have the partition's last fingerprint (one, unless two texts share it), and their first doc_ids.
     """
-    last: str | None = None  # the text of the row before, the first doc_id of its group, and whether that is the first group
-    low, opening, seen = None, True, False
     names = [f.split()[0] for f in _ROWS.split(", ")]
+    opening = last = low = None  # the partition's first fingerprint, the text of the row before, and the first doc_id that has it
+    closing: tuple[int | None, dict[bytes, int | None]] = None, {}
 
     def digest(text: str) -> bytes:
         return hashlib.sha256(text.encode()).digest()
@@ -68,39 +68,43 @@ def _duplicates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = np.flatnonzero(prints[1:] == prints[:-1]) + 1
         if len(near):
             same[near] = pc.equal(texts.take(pa.array(near)), texts.take(pa.array(near - 1))).to_numpy(zero_copy_only=False)
-        same[0] = seen and texts[0].as_py() == last
+        same[0] = last is not None and texts[0].as_py() == last
         group = np.cumsum(~same)  # 0: goes on from the batch before
-        ids = pd.array(batch.column("doc_id").to_pylist(), dtype="Int64")
-        frame = pd.DataFrame({"g": group, "d": ids})
+        frame = pd.DataFrame({"g": group, "d": pd.array(batch.column("doc_id").to_pylist(), dtype="Int64")})
         lows = frame.groupby("g")["d"].min()
         if same[0] and low is not None:
             lows.loc[0] = low  # rows are in order, so the smallest came first
         firsts = lows.reindex(group).array
         again = (frame["d"].array > firsts).fillna(False).to_numpy(dtype=bool)
         mask = batch.column("mask").to_numpy() + np.where(again, 1 << 4, 0)
-        head = np.zeros(n, bool)
-        if opening:
-            head = group == (0 if seen else 1)
-            if not head[-1]:
-                opening = False
-        key = None
-        if head.any():
-            key = digest(texts[0].as_py())
-        keys = pa.array([key if h else None for h in head.tolist()], pa.binary()) if key else pa.nulls(n, pa.binary())
-        yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array(mask.astype(np.int32)), keys, pa.nulls(n, pa.int64())], names)
-        last, seen = texts[n - 1].as_py(), True
-        low = None if pd.isna(firsts[-1]) else int(firsts[-1])
-    if seen:
-        yield pa.record_batch([pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int32()), pa.array([digest(last)], pa.binary()), pa.array([low], pa.int64())], names)
+        starts = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+        if opening is None:
+            opening = prints[0]
+        head = int(np.searchsorted(prints != opening, True))
+        keys: list[bytes | None] = [None] * n
+        for begin, end in zip(starts, [*starts[1:], n], strict=True):
+            if begin >= head:
+                break
+            keys[begin:end] = [digest(texts[int(begin)].as_py())] * (end - begin)
+        yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array(mask.astype(np.int32)), pa.array(keys, pa.binary()), pa.nulls(n, pa.int64())], names)
+        if closing[0] != prints[-1]:
+            closing = prints[-1], {}
+        for begin in starts[prints[starts] == prints[-1]].tolist():
+            closing[1].setdefault(digest(texts[begin].as_py()), None if pd.isna(firsts[begin]) else int(firsts[begin]))
+        last, low = texts[n - 1].as_py(), None if pd.isna(firsts[-1]) else int(firsts[-1])
+    if closing[1]:
+        n = len(closing[1])
+        yield pa.record_batch([pa.nulls(n, pa.int64()), pa.nulls(n, pa.string()), pa.nulls(n, pa.int32()), pa.array(list(closing[1]), pa.binary()), pa.array(list(closing[1].values()), pa.int64())], names)
 
 
 def failures(docs: DataFrame) -> DataFrame:
     """``doc_id, part, mask`` of every row of ``docs(doc_id, text, lang)``."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce("lang", F.lit("")).alias("part"), own_failures(text).alias("mask"), F.xxhash64(text).alias("print"))
-    order = ["print", "text", "doc_id"]
-    found = durable(rows.repartitionByRange(*order).sortWithinPartitions(*order).transform(in_tasks, _duplicates, _ROWS), "masks")
-    # One row for each partition.
+    # Ranges are of fingerprint and doc_id, so that no texts are sampled for them.
+    ranged = rows.repartitionByRange("print", "doc_id").sortWithinPartitions("print", "text", "doc_id")
+    found = durable(ranged.transform(in_tasks, _duplicates, _ROWS), "masks")
+    # One row for each partition, as long as no two texts share a fingerprint.
     ends = found.where("mask is null").groupBy(F.col("key").alias("text_key")).agg(F.min("first").alias("low"))
     late = F.coalesce((F.col("doc_id") > F.col("low")) & (F.col("mask") < 16), F.lit(False))
     rows = found.where("mask is not null").join(F.broadcast(ends), F.col("key") == F.col("text_key"), "left")

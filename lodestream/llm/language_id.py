@@ -122,12 +122,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     The driver gets at most ``sample`` rows of ``1 << BITS`` bits for each language.
     """
     known = docs.where("text is not null and lang is not null and doc_id is not null").select("doc_id", "text", "lang")
-    many = known.groupBy("lang").agg(F.count("*").alias("many"))
-    # Of frequent languages about twice as many rows as are wanted go on, then the first by hash are taken.
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.lit(2.0 * sample) / F.col("many") * (1 << 30)
-    some = known.join(F.broadcast(many), "lang").where((F.col("many") <= 10 * sample) | chance)  # a row for each language
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    chosen = some.withColumn("place", F.row_number().over(first)).where(F.col("place") <= sample)
+    # Ids are chosen without their texts; at most ``sample`` of each language are broadcast. Of rows that share an id and lang, one is learned from.
+    order = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    ids = known.select("lang", "doc_id").withColumn("place", order).where(F.col("place") <= sample).select("lang", "doc_id").distinct()
+    once = F.row_number().over(Window.partitionBy("lang", "doc_id").orderBy(F.xxhash64("text"), "text"))
+    chosen = known.join(F.broadcast(ids), ["lang", "doc_id"]).withColumn("place", once).where("place = 1")
     table = durable(chosen.select("lang", "text").transform(in_tasks, _packed, "lang string, held binary"), "languages")
     rows = table.toArrow()
     release(table)

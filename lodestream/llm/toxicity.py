@@ -8,7 +8,7 @@ have a weight: the model that is broadcast is 4 MB whatever it was fitted on. Ev
 
 Defined cases: null and empty texts have no features and score as the model's bias says; very long texts count whole; equal texts
 have equal scores; rows without a label, or with a null one, are only scored; repeated labels of a document count once each in the
-class they name; of labels with equal hashes the smaller doc_id is chosen first; without labels of both classes every score is the
+class they name; of rows that share a doc_id one is learned from; of labels with equal hashes the smaller doc_id is chosen first; without labels of both classes every score is the
 share of toxic labels (0 without any); an empty table gives an empty result; other columns can be carried along.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -140,7 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     # At most 2 * SAMPLE ids are broadcast; texts become bucket numbers before they leave their tasks.
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("toxic", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    # Of rows that share a doc_id, one.
+    once = Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text")
+    picked = picked.withColumn("n", F.row_number().over(once)).where("n = 1").select("toxic", "text")
     table = durable(picked.transform(in_tasks, _collect, _FEATURES), "features")
     rows, toxic = [], []
     for batch in table.toArrow().to_batches():

@@ -7,13 +7,15 @@ never decoded (in a compressed file it is passed over as it is inflated, and not
 
 Writing (``write_pages``) puts a record for every page: of pages with equal payloads of at least ``min_revisit`` bytes the
 one with the smallest page_id is a response, the others are revisits that name it; smaller ones are all responses.
-Files get names of their own from each task attempt, and only those that the job commits are in the manifest, so a
-lost executor or a second attempt leaves nothing behind that is read.
+Files get names of their own from each task attempt, and only those that a job commits are in its manifest, so a
+lost executor or a second attempt leaves nothing behind that is read. Each job has a manifest of its own: readers take them all.
+Large files of others can be given one (``index_archives``).
 
 Defined cases: a null html is an empty payload; a null url is an empty target; very long payloads are one record each; rows that
 repeat the page_id and payload of a response are responses too, and their records share an id, which is made of both; rows without a
 page_id have none in the archive, and are responses; an empty table gives no files and an empty result; other columns, whatever
-their names, are not written.
+their names, are not written. Header bytes that aren't UTF-8 are taken as Latin-1; a body that isn't coded as its message says is given as
+it was sent, and ``bad_coding`` is true; a number in a header that is none counts as missing.
 """
 
 from __future__ import annotations
@@ -33,15 +35,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull, IsNull, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from ._spark import new_path
+from ._spark import new_path, spread_join
 
-MANIFEST = "_manifest.json"
+MANIFEST = "_manifest"
 #: A file may be entered every so many bytes; files are closed beyond so many bytes.
 STRETCH, FILE = 16 << 20, 128 << 20
-_SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary"
+_SCHEMA = "record_type string, record_id string, target_uri string, warc_date string, page_id long, payload_digest string, payload_bytes long, refers_to long, payload binary, bad_coding boolean"
 _HEADERS = {"record_type": "WARC-Type", "record_id": "WARC-Record-ID", "target_uri": "WARC-Target-URI", "warc_date": "WARC-Date", "page_id": "WARC-Page-ID", "payload_digest": "WARC-Payload-Digest", "payload_bytes": "WARC-Payload-Length", "refers_to": "WARC-Refers-To-Page-ID"}
 _NUMBERS = {"page_id", "payload_bytes", "refers_to"}
-_KINDS = {c: pa.int64() if c in _NUMBERS else pa.string() for c in _HEADERS} | {"payload": pa.binary()}
+_KINDS = {c: pa.int64() if c in _NUMBERS else pa.string() for c in _HEADERS} | {"payload": pa.binary(), "bad_coding": pa.bool_()}
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
@@ -80,13 +82,15 @@ class WarcReader(DataSourceReader):
         if store.get_file_info(name).type == fs.FileType.File:
             return [_Stretch(self._path, 0, store.get_file_info(name).size)]
         found: list[InputPartition] = []
-        if store.get_file_info(f"{name}/{MANIFEST}").type == fs.FileType.File:
-            with store.open_input_stream(f"{name}/{MANIFEST}") as f:
+        infos = store.get_file_info(fs.FileSelector(name))
+        manifests = sorted(x.base_name for x in infos if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
+        for manifest in manifests:
+            with store.open_input_stream(f"{name}/{manifest}") as f:
                 listed = json.loads(f.read())
             for file, places in listed:
                 found += [_Stretch(f"{self._path}/{file}", a, b) for a, b in zip(places, places[1:]) if b > a]
-        else:
-            found += [_Stretch(f"{self._path}/{x.base_name}", 0, x.size) for x in store.get_file_info(fs.FileSelector(name)) if x.base_name.endswith((".warc", ".warc.gz"))]
+        if not manifests:
+            found += [_Stretch(f"{self._path}/{x.base_name}", 0, x.size) for x in infos if _archive(x.base_name)]
         return found or [_Stretch("", 0, 0)]
 
     def _wanted(self, row: dict) -> bool:
@@ -114,15 +118,15 @@ class WarcReader(DataSourceReader):
         with store.open_input_file(name) as raw:
             records = (_Inflated if name.endswith(".gz") else _Plain)(raw, partition)
             while (lines := records.head()) is not None:
-                head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                head = _fields(lines)
                 row = {c: head.get(h.lower()) for c, h in _HEADERS.items()}
                 for c in _NUMBERS:
-                    row[c] = None if row[c] is None else int(row[c])
+                    row[c] = _number(row[c])
                 wanted = self._wanted(row)
                 block = records.body(int(head["content-length"]), wanted and self._payload and row["record_type"] != "revisit")
                 if not wanted:
                     continue
-                row["payload"] = None if block is None else _decode(block, head)
+                row["payload"], row["bad_coding"] = (None, False) if block is None else _payload(block, head)
                 size += len(row["payload"] or b"")
                 rows.append(row)
                 if size > 8 << 20 or len(rows) >= 10_000:
@@ -153,7 +157,7 @@ class _Plain:
                 if cut >= 0 or len(self._ahead) < step:
                     break
                 step *= 4
-        lines = self._ahead[at - self._base : max(cut, 0)].decode("utf-8").split("\r\n")
+        lines = _lines(self._ahead[at - self._base : max(cut, 0)])
         if cut < 0 or not lines[0].startswith("WARC/"):
             raise ValueError(f"{self._stretch.path}: no record begins at {at}")
         self._at = self._base + cut + 4
@@ -204,7 +208,7 @@ class _Inflated:
                     raise ValueError(f"{self._path}: a record is cut short")
                 return None
             self._ahead += found
-        lines, self._ahead = self._ahead[:cut].decode("utf-8").split("\r\n"), self._ahead[cut + 4 :]
+        lines, self._ahead = _lines(self._ahead[:cut]), self._ahead[cut + 4 :]
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"{self._path}: no record begins where one should")
         return lines
@@ -224,6 +228,37 @@ class _Inflated:
                 raise ValueError(f"{self._path}: a record is cut short")
 
 
+def _archive(name: str) -> bool:
+    return name.endswith((".warc", ".warc.gz"))
+
+
+def _lines(head: bytes) -> list[str]:
+    try:
+        return head.decode("utf-8").split("\r\n")
+    except UnicodeDecodeError:
+        return head.decode("latin-1").split("\r\n")
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+
+
+def _number(value: str | None) -> int | None:
+    try:
+        found = None if value is None else int(value)
+    except ValueError:
+        return None
+    return found if found is not None and -(1 << 63) <= found < 1 << 63 else None
+
+
+def _payload(block: bytes, head: dict[str, str]) -> tuple[bytes, bool]:
+    """The payload of a block, and whether it is given as it was sent since it isn't coded as it says."""
+    try:
+        return _decode(block, head), False
+    except (zlib.error, OSError, EOFError, ValueError):
+        return block.partition(b"\r\n\r\n")[2], True
+
+
 def _decode(block: bytes, head: dict[str, str]) -> bytes:
     """The payload of a record's block: an HTTP message's body, put together and inflated if need be, or the block itself."""
     if not head.get("content-type", "").startswith("application/http"):
@@ -319,7 +354,7 @@ class WarcWriter(DataSourceArrowWriter):
         store, folder = _store(self._path)
         store.create_dir(folder, recursive=True)
         listed = sorted(f for m in messages if m for f in m.files)
-        with store.open_output_stream(f"{folder}/{MANIFEST}") as out:
+        with store.open_output_stream(f"{folder}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(listed).encode())
 
     def abort(self, messages: list) -> None:
@@ -360,16 +395,55 @@ def write_pages(pages: DataFrame, folder: str | None = None, min_revisit: int =
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.select("*", F.octet_length("payload").cast("long").alias("length"), F.sha2("payload", 256).alias("digest"))
-    # Only digests of two pages or more are joined; the smallest page_id is found before the shuffle as far as it can be.
-    first = rows.where((F.col("length") >= min_revisit) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m"))
-    first = first.where("m > 1").drop("m")
-    out = rows.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first"), F.col("first")))
+    # Only digests of two pages or more are joined, without payloads; the smallest page_id is found before the shuffle as far as it can be.
+    many = rows.where((F.col("length") >= min_revisit) & F.col("page_id").isNotNull()).select("page_id", "digest")
+    first = many.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("m")).where("m > 1")
+    refers = spread_join(many, first, ["digest"], "m").where("page_id <> first").groupBy("page_id", "digest").agg(F.max("first").alias("refers_to"))
+    # Payloads are dealt out by page and digest, so equal ones are no hot key; rows that can't be revisits by where they stand.
+    place = F.when(F.col("page_id").isNull(), F.monotonically_increasing_id() + 1).otherwise(0)
+    rows = rows.withColumns({"__page": F.coalesce("page_id", F.lit(0)), "__place": place})
+    refers = refers.select(F.col("page_id").alias("__page"), F.lit(0).cast("long").alias("__place"), "digest", "refers_to")
+    out = rows.join(refers, ["__page", "__place", "digest"], "left")
     out = out.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     out = out.select("page_id", "url", "digest", "length", "refers_to", "payload")
     out.write.format("warc").options(level=level, gzip=str(gzip).lower()).mode("append").save(folder)
     return folder
 
 
+def index_archives(spark: SparkSession, folder: str) -> int:
+    """Give the plain files of a folder that has no manifest one, so that they are read in parts; returns how many files there are.
+
+    A task goes through a file from header to header by the records' lengths and reads no payload, so places are those where records
+    begin, whatever payloads hold. Compressed files are listed whole. The driver gets a place for every ``STRETCH`` bytes.
+    """
+    store, name = _store(folder)
+    names = sorted((x.base_name, x.size) for x in store.get_file_info(fs.FileSelector(name)) if _archive(x.base_name))
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for file, size in zip(batch.column("file").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                own = [0]
+                if not file.endswith(".gz"):
+                    here, path = _store(f"{folder}/{file}")
+                    with here.open_input_file(path) as raw:
+                        records = _Plain(raw, _Stretch(path, 0, size))
+                        while (lines := records.head()) is not None:
+                            records.body(int(_fields(lines)["content-length"]), False)
+                            if records._at - own[-1] >= STRETCH and records._at < size:
+                                own.append(records._at)
+                found.append([*own, size])
+            yield pa.record_batch([batch.column("file"), pa.array(found, pa.list_(pa.int64()))], ["file", "places"])
+
+    if not names:
+        return 0
+    files = spark.createDataFrame(names, "file string, size long").repartition(len(names))
+    listed = sorted((r["file"], r["places"]) for r in files.mapInArrow(places, "file string, places array<long>").collect())
+    with store.open_output_stream(f"{name}/{MANIFEST}-{uuid.uuid4().hex}.json") as out:
+        out.write(json.dumps(listed).encode())
+    return len(listed)
+
+
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     register(spark)
     return spark.read.format("warc").option("payload", str(payload).lower()).load(path)

@@ -77,6 +77,13 @@ def test_links_over_borders_along_the_line_of_centres(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("packed", [False, True])
+def test_vectors_of_all_lengths_are_compared(spark):
+    """Those with as many numbers, however few have so many."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 1.0, 0.0]), (4, [0.0, 1.0, 0.0]), (5, [1.0, 0.01]), (6, [2.0]), (7, [1.0]), (8, [-1.0]), (9, [0.0, 1.0, 0.1])]
+    found = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 0.95).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in found} == {1: (1, 1), 5: (1, 1), 2: (0, 2), 3: (2, 3), 4: (2, 3), 9: (2, 3), 6: (1, 6), 7: (1, 6), 8: (0, 8)} and len(found) == 9
+
+
 def test_warc_round_trip(spark, tmp_path, packed):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url", "html")
     odd = [(9001, None, None), (9002, "a\r\nb", "x" * 100), (9003, "", "x" * 100), (9004, "", "y" * 99), (9005, "", "y" * 99), (9000, "", "x" * 100), (9006, "u", "é" * 3_000_000), (9002, "a\r\nb", "x" * 100)]
@@ -96,7 +103,8 @@ def test_warc_round_trip(spark, tmp_path, packed):
     read = warc.read_warc(spark, folder)
     assert {r["page_id"]: bytes(r["payload"]).decode() for r in read.where("record_type = 'response'").collect()} == {i: h or "" for i, h in rows if first[h] == i or len(h or "") < 100}
     assert read.where("page_id in (9002, 9003) and refers_to = 9000").count() == 3
-    (tmp_path / "warc" / warc.MANIFEST).unlink()  # without a manifest files are read whole
+    for manifest in (tmp_path / "warc").glob(f"{warc.MANIFEST}*"):
+        manifest.unlink()  # without a manifest files are read whole
     assert sorted((tuple(r) for r in warc.read_pages(spark, folder).collect()), key=str) == sorted(want, key=str)
     revisit = next((tmp_path / "warc").glob("*.warc*"))
     raw = b"".join((gzip.decompress(f.read_bytes()) if packed else f.read_bytes()) for f in (tmp_path / "warc").glob("*.warc*"))
@@ -106,6 +114,54 @@ def test_warc_round_trip(spark, tmp_path, packed):
     assert warc.read_pages(spark, empty).count() == 0
 
 
+def test_warc_files_of_later_jobs_are_added(spark, tmp_path):
+    page = lambda i: spark.createDataFrame([(i, "u", f"page {i}")], "page_id long, url string, html string")
+    folder = warc.write_pages(page(1), str(tmp_path / "w"))
+    warc.write_pages(page(2), folder)
+    assert sorted(r["page_id"] for r in warc.read_pages(spark, folder).collect()) == [1, 2]
+
+
+def foreign(headers: bytes, block: bytes) -> bytes:
+    return b"WARC/1.0\r\nWARC-Type: response\r\n" + headers + b"Content-Type: application/http\r\nContent-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+
+
+def test_warc_files_of_others(spark, tmp_path):
+    """A header in Latin-1, numbers that are none, and bodies that aren't coded as they say."""
+    records = [
+        foreign("WARC-Target-URI: http://é\r\nWARC-Page-ID: x1\r\n".encode("latin-1"), b"HTTP/1.1 200 OK\r\n\r\nplain"),
+        foreign("WARC-Target-URI: http://é\r\nWARC-Page-ID: 2\r\n".encode(), b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\nnot gzip"),
+        foreign(b"WARC-Page-ID: 3\r\n", b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\nzz\r\nno chunks"),
+        foreign(b"WARC-Page-ID: 4\r\nWARC-Payload-Length: 99999999999999999999\r\n", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"fine")[:-4]),
+        foreign(b"WARC-Page-ID: 5\r\n", b"HTTP/1.1 200 OK\r\nContent-Encoding: gzip\r\n\r\n" + gzip.compress(b"fine")),
+    ]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [(r["page_id"], bytes(r["payload"]), r["bad_coding"]) for r in got] == [(None, b"plain", False), (2, b"not gzip", True), (3, b"zz\r\nno chunks", True), (4, gzip.compress(b"fine")[:-4], True), (5, b"fine", False)]
+    assert got[0]["target_uri"] == got[1]["target_uri"] == "http://é"
+
+
+def test_warc_files_of_others_in_parts(spark, tmp_path, monkeypatch):
+    """Payloads that look like records don't lead astray."""
+    inner = foreign(b"WARC-Page-ID: 999\r\n", b"HTTP/1.1 200 OK\r\n\r\ninner")
+    records = [foreign(b"WARC-Page-ID: %d\r\n" % i, b"HTTP/1.1 200 OK\r\n\r\n" + inner * (i % 4) + b"x" * (i * 37)) for i in range(40)]
+    (tmp_path / "a.warc").write_bytes(b"".join(records))
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, records[:3])))
+    want = sorted((r["page_id"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect())
+    monkeypatch.setattr(warc, "STRETCH", 2_000)
+    assert warc.index_archives(spark, str(tmp_path)) == 2
+    assert len(warc.WarcReader({"path": str(tmp_path)}).partitions()) > 10
+    assert sorted((r["page_id"], bytes(r["payload"])) for r in warc.read_warc(spark, str(tmp_path)).collect()) == want and len(want) == 43
+
+
+def test_warc_many_equal_pages(spark, tmp_path):
+    """Equal pages of two sizes, without ids too, and ids that repeat."""
+    rows = [(i, "u", "same " * 40) for i in range(50)] + [(i, "u", "") for i in range(50, 90)] + [(None, "u", "same " * 40)] * 3 + [(None, "u", None)] * 2 + [(7, "v", "same " * 40), (7, "w", "other " * 40), (3, "x", "other " * 40)]
+    folder = warc.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4), str(tmp_path / "w"))
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.read_pages(spark, folder).collect()), key=str)
+    want = [(i, 200, *(("response", None) if i == 0 else ("revisit", 0))) for i in [*range(50), 7]] + [(i, 0, "response", None) for i in range(50, 90)] + [(None, 200, "response", None)] * 3 + [(None, 0, "response", None)] * 2 + [(7, 240, "revisit", 3), (3, 240, "response", None)]
+    assert got == sorted(want, key=str)
+
+
 def test_warc_bodies_as_servers_send_them():
     page, http = b"<p>some page</p>" * 9, {"content-type": "application/http; msgtype=response"}
     raw = zlib.compressobj(wbits=-15)
