@@ -7,15 +7,18 @@ of ``embeddings`` belong to the document of the same number.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import ENGLISH_STOPWORDS, EngineConfig
 from .functions import chunking, text
-from .operators import ask, fusion, keywords, linking, recognition, search
+from .operators import ask, fusion, keywords, linking, postings, recognition, search
 from .plans.ingest import chunks_of
 from .sources import files
+from .sources.store import ChunkStore
+from .staging import scratch, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -266,8 +269,32 @@ def _asked(spark, sf_dir) -> DataFrame:
     return _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(text.tok_std(F.col("text")), " ").alias("query"))
 
 
+_stores: dict[tuple, ChunkStore] = {}
+
+
+def _store(spark, sf_dir, name: str, chunks: Callable[[], DataFrame]) -> ChunkStore:
+    """The index of a folder's tables: written once in an application, as long as the files of ``documents`` are the same."""
+    fs, conf = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [fs.Path(f) for f in _t(spark, sf_dir, "documents").inputFiles()]
+    states = [p.getFileSystem(conf).getFileStatus(p) for p in paths]
+    key = (spark.sparkContext.applicationId, name, *sorted((str(s.getPath()), s.getLen(), s.getModificationTime()) for s in states))
+    if key not in _stores:
+        store = ChunkStore(spark, scratch(spark, name))
+        store.append(chunks())
+        _stores[key] = store
+    return _stores[key]
+
+
+def _index(spark, sf_dir) -> postings.Index:
+    """The index of ``_fields``; chunks go by their numbers as documents."""
+    rows = lambda: _fields(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id").withColumn("chunk_id", F.col("chunk_id").cast("string"))
+    index = _store(spark, sf_dir, "documents", rows).index()
+    return replace(index, keys=index.keys.withColumn("chunk_id", F.col("chunk_id").cast("long")))
+
+
 def _bm25(spark, sf_dir) -> DataFrame:
-    return search.bm25(_docs(spark, sf_dir), _asked(spark, sf_dir), key="doc_id")
+    hits = postings.search(_index(spark, sf_dir), _asked(spark, sf_dir), fields={"content": 1.0}, fuzzy=False, slop=None)
+    return hits.select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 def _knn(spark, sf_dir) -> DataFrame:
@@ -378,25 +405,54 @@ def xref_expand(spark, sf_dir):
 
 
 def _fields(spark, sf_dir) -> DataFrame:
-    """Documents with the fields of an index: their first 50 different words are their keywords."""
-    return _docs(spark, sf_dir).select(F.lit("text").alias("source_index"), "doc_id", "content", "source", F.array_distinct(F.slice(text.tok_word(F.col("content")), 1, 50)).alias("keywords"))
+    """Documents with the fields of an index: their different words are their keywords."""
+    return _docs(spark, sf_dir).select(F.lit("text").alias("source_index"), "doc_id", "content", "source", F.array_distinct(text.tok_word(F.col("content"))).alias("keywords"))
 
 
-@_query()
+def _ONE_BYTE(x: str) -> str:  # noqa: N802
+    """DuckDB counts edits in bytes: letters of two bytes become capitals, which words in lower case don't have."""
+    return f"translate({x}, 'áàâäçèéêëíìîïñóòôöúùûüœß', 'ABCDEFGHIJKLMNOPQRSTUVWX')"
+
+
+#: Fields of documents, and phrases: of each begin the nearest begins from it on, no position twice.
+_FIELD = rf"""f as (select doc_id, 'content' as field, regexp_extract_all(lower(text), '[\pL\pM\pN_]+') as t from documents union all select doc_id, 'source', regexp_extract_all(lower(source), '[\pL\pM\pN_]+') from documents
+ union all select doc_id, 'keywords', list_distinct(regexp_extract_all(lower(text), '{_W}{{2,}}')) from documents)"""
+_PHRASE = f"""{_ASKED}, {_FIELD}, pw as (select query_id, generate_subscripts(string_split(query, ' '), 1) - 1 as place, unnest(string_split(query, ' ')) as term from asked where query <> ''),
+pc as (select doc_id, len(t) as dl, generate_subscripts(t, 1) - 1 as pos, unnest(t) as term from f where field = 'content'),
+pt as (select doc_id, dl, term, list(pos::bigint order by pos) as positions from pc semi join pw using (term) group by all), pm as (select query_id, count(*) as m from pw group by query_id),
+pp as (select query_id, doc_id, any_value(dl) as dl, list({{'place': place::bigint, 'positions': positions, 'far': 0::bigint, 'used': []::bigint[]}} order by place) as parts from pw join pt using (term) join pm using (query_id) group by query_id, doc_id having count(*) = any_value(m)),
+ps as (select query_id, doc_id, dl, parts, unnest(list_distinct(flatten(list_transform(parts, lambda x: list_transform(x.positions, lambda p: p - x.place))))) as s from pp),
+pd as (select query_id, doc_id, dl, list_reduce(list_prepend({{'place': -1::bigint, 'positions': []::bigint[], 'far': 0::bigint, 'used': []::bigint[]}}, parts), lambda a, x: {{'place': x.place, 'positions': x.positions,
+ 'far': greatest(a.far, coalesce(list_min(list_filter(x.positions, lambda p: p - x.place >= s and not list_contains(a.used, p))) - x.place - s, 1048576)), 'used': list_append(a.used, coalesce(list_min(list_filter(x.positions, lambda p: p - x.place >= s and not list_contains(a.used, p))), -1))}}).far as far from ps),
+ph as (select query_id, doc_id, dl, round(sum(case when far <= 2 then 1.0::double / (1 + far) else 0 end), 6) as freq from pd group by all having freq > 0)"""
+
+
+@_query(f"with {_PHRASE} select query_id, 'text' as source_index, doc_id, dl::int as dl, freq from ph")
 def phrase_slop(spark, sf_dir):
     terms = search.index_terms(_fields(spark, sf_dir), "doc_id")
     return search.phrase_matches(terms, _asked(spark, sf_dir), ["source_index"], "doc_id")
 
 
-@_query()
+@_query(rf"""with {_PHRASE}, st as (select field, count(*) as n, avg(len(t)) as avgdl from f where len(t) > 0 group by field), tok as (select doc_id, field, len(t) as dl, unnest(t) as term from f),
+tf as (select doc_id, field, term as word, dl, count(*)::double as tf from tok group by all), df as (select field, word, count(*) as df from tf group by all),
+q as (select distinct query_id, term from pw), v as (select distinct word from df where field <> 'keywords'), qt as (select distinct term, case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end as k from q),
+near as (select term, word, 1 - edits / least(length(term), length(word))::double as weight from (select term, word, k, damerau_levenshtein({_ONE_BYTE('term')}, {_ONE_BYTE('word')}) as edits from qt join v on abs(length(term) - length(word)) <= k and k > 0 and term <> word) where edits <= k qualify row_number() over (partition by term order by weight desc, word) < 50),
+want as (select query_id, term, term as word, 1.0::double as weight from q union all select query_id, term, word, weight from q join near using (term)),
+met as (select query_id, field, term, word, weight, max(df) over (partition by query_id, field, term) as df from want join df using (word) where field <> 'keywords' union all select query_id, field, query, query, 1.0, df from asked join df on word = query and field = 'keywords'),
+s as (select query_id, doc_id, field, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * case when field = 'keywords' then 1 else tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) end) as s from met join tf using (field, word) join st using (field) group by all),
+best as (select query_id, doc_id, max(s * case field when 'content' then 3 when 'keywords' then 2 else 1 end) as score from s group by all),
+pi as (select query_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5))) as idf from pw join df on word = pw.term and df.field = 'content' join st on st.field = 'content' group by query_id),
+phs as (select query_id, doc_id, 2.0::double * idf * freq * 2.2 / (freq + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) as score from ph join pi using (query_id) join st on field = 'content'),
+hit as (select query_id, doc_id, round(sum(score), 6) as score from (select * from best union all select * from phs) group by all)
+select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id)::int as rank from hit qualify rank <= 30""")
 def full_text_topk(spark, sf_dir):
     """All fields, words a few edits away, and phrases."""
-    return search.full_text(search.index_terms(_fields(spark, sf_dir), "doc_id"), _asked(spark, sf_dir), key="doc_id").select("query_id", "doc_id", "score", "rank")
+    return postings.search(_index(spark, sf_dir), _asked(spark, sf_dir)).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "rank")
 
 
 @_query("""with v as (select distinct unnest(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]{3,}')) as word from part), t as (select distinct unnest(regexp_extract_all(lower(n_name || ' ' || r_name), '[a-z]{3,}')) as term from nation join region on n_regionkey = r_regionkey
  union select distinct unnest(regexp_extract_all(lower(p_type), '[a-z]{3,}')) || 's' from part)
-select term, word as match, levenshtein(term, word)::int as edits from t, v where levenshtein(term, word) <= case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end""")
+select term, word as match, damerau_levenshtein(term, word)::int as edits from t, v where damerau_levenshtein(term, word) <= case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end""")
 def fuzzy_terms(spark, sf_dir):
     pick = lambda df, column: df.select(F.explode(F.regexp_extract_all(F.lower(column), F.lit("[a-z]{3,}"), F.lit(0))).alias("w")).distinct()
     parts = _t(spark, sf_dir, "part")
@@ -414,7 +470,7 @@ def _words(spark, sf_dir) -> DataFrame:
 @_query(rf"""with items as (select item_id, regexp_extract_all(lower(text), '[\pL\pM\pN_]+') as t from benchmark),
 q as (select item_id * 2 as query_id, array_to_string(t, ' ') as query from items union all select item_id * 2 + 1, t[3] from items where len(t) > 2),
 f as (select doc_id, 'content' as field, regexp_extract_all(lower(text), '[\pL\pM\pN_]+') as t from documents union all select doc_id, 'source', regexp_extract_all(lower(source), '[\pL\pM\pN_]+') from documents
- union all select doc_id, 'keywords', list_distinct(regexp_extract_all(lower(text), '{_W}{{{{2,}}}}')[:50]) from documents),
+ union all select doc_id, 'keywords', list_distinct(regexp_extract_all(lower(text), '{_W}{{{{2,}}}}')) from documents),
 st as (select field, count(*) as n, avg(len(t)) as avgdl from f where len(t) > 0 group by field), tok as (select doc_id, field, len(t) as dl, unnest(t) as term from f),
 w as (select distinct query_id, 'content' as field, unnest(regexp_extract_all(lower(query), '[\pL\pM\pN_]+')) as term from q union all select query_id, 'keywords', query from q),
 want as (select * from w union all select query_id, 'source', term from w where field = 'content'),
@@ -428,7 +484,7 @@ def multi_field_max(spark, sf_dir):
     return search.best_field(scores, ["source_index"], "doc_id").select("query_id", "doc_id", F.round("score", 6).alias("score"))
 
 
-@_query(rf"""with k as (select doc_id, list_distinct(regexp_extract_all(lower(text), '{_W}{{2,}}')[:50]) as k from documents), q as (select item_id as query_id, regexp_extract_all(lower(text), '[\pL\pM\pN_]+')[3] as query from benchmark)
+@_query(rf"""with k as (select doc_id, list_distinct(regexp_extract_all(lower(text), '{_W}{{2,}}')) as k from documents), q as (select item_id as query_id, regexp_extract_all(lower(text), '[\pL\pM\pN_]+')[3] as query from benchmark)
 select query_id, doc_id from q join k on list_contains(k, query)""")
 def keyword_field(spark, sf_dir):
     asked = _words(spark, sf_dir).where("query_id % 2 = 1").withColumn("query_id", F.floor(F.col("query_id") / 2).cast("long"))
@@ -446,14 +502,15 @@ def document_ids(spark, sf_dir):
 
 @_query()
 def retrieve(spark, sf_dir):
-    """Documents as blocks of three indexes, made into chunks and searched for the benchmark's texts."""
+    """Documents as blocks of three indexes, made into chunks, stored, and searched for the benchmark's texts."""
     from .functions.embedding import embed_column
     from .plans.ingest import prepare
     from .plans.retrieve import retrieve as run
 
     blocks = _docs(spark, sf_dir).select("content", "source", "page", F.element_at(F.array(*map(F.lit, linking.MODALITIES)), (F.col("doc_id") % 3).cast("int") + 1).alias("modality"), F.col("doc_id").cast("int").alias("block_no"))
+    store = _store(spark, sf_dir, "chunks", lambda: stage(prepare(blocks, EngineConfig()), "prepared"))
     asked = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit(0).alias("variant_no"), F.col("text").alias("variant"))
-    found = run(prepare(blocks, EngineConfig()), embed_column(asked, "variant", "vector"))
+    found = run(store.read(), embed_column(asked, "variant", "vector"), EngineConfig(), store.index())
     return found.select("query_id", "chunk_id", "source_index", "score", "rerank_score", "is_cross_reference", "rank")
 
 
@@ -469,15 +526,22 @@ def language_hints(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.language_hint(F.concat(F.lit(" "), F.upper("lang"), F.lit("\n"))).alias("hint"))
 
 
+def _sources(spark, sf_dir) -> ChunkStore:
+    """An index of the documents' names alone, for what counts and removes sources."""
+    return _store(spark, sf_dir, "sources", lambda: _docs(spark, sf_dir).select(F.lit("text").alias("source_index"), "source", F.col("doc_id").cast("string").alias("chunk_id")))
+
+
 @_query("select source, count(*) as n from documents group by source")
 def count_by_source(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    return _sources(spark, sf_dir).count_by_source()
 
 
 @_query("select doc_id, source from documents where source <> 'src3'")
 def delete_by_source(spark, sf_dir):
-    docs = _t(spark, sf_dir, "documents").select("doc_id", "source")
-    return docs.join(_values(spark, [("src3",)], "source string"), "source", "left_anti").select("doc_id", "source")
+    store = ChunkStore(spark, scratch(spark, "deleted"))
+    store.append(_docs(spark, sf_dir).select(F.lit("text").alias("source_index"), "source", F.col("doc_id").cast("string").alias("chunk_id")))
+    store.delete("src3")
+    return store.read().select(F.col("chunk_id").cast("long").alias("doc_id"), "source")
 
 
 def _files(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from ..config import IMAGE_EXTENSIONS
 from ..functions.chunking import table_markdown, table_summary
 from ..operators.recognition import recognised_blocks
 
+LOG = logging.getLogger(__name__)
 EXTENSIONS = ["pdf", *IMAGE_EXTENSIONS]
 STATE = "path string, checksum string"
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -34,16 +36,20 @@ def kind(path: Column) -> Column:
     return F.when(extension == "pdf", "pdf").when(extension.isin(IMAGE_EXTENSIONS), "image")
 
 
-def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """Checksums of files that were read before: the latest whole version. None if there is no such table, or it can't be read."""
-    from pyspark.errors import AnalysisException
+def load_state(spark: SparkSession, path: str, schema: str = STATE) -> DataFrame:
+    """Checksums of files that were read before: the latest version that can be read to its end; none if there is no such version."""
+    from pyspark.errors import PySparkException
 
     for version in sorted(_versions(spark, path), reverse=True):
+        rows = spark.read.schema(schema).parquet(f"{path}/v{version}")
         try:
-            return spark.read.schema(STATE).parquet(f"{path}/v{version}")
-        except AnalysisException:
+            # Broken files show when they are read, so every value is.
+            rows.select(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).collect()
+        except PySparkException:
+            LOG.warning("version %d of the state under %s can't be read", version, path)
             continue
-    return spark.createDataFrame([], STATE)
+        return rows
+    return spark.createDataFrame([], schema)
 
 
 def _versions(spark: SparkSession, path: str) -> list[int]:

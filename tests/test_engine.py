@@ -238,3 +238,146 @@ def test_watch_sees_new_files_and_state_sees_changed_ones(spark, tmp_path):
     assert changed_files(spark, str(folder), state).count() == 0
     (folder / "a.txt").write_text("changed")
     assert [r["path"].rpartition("/")[2] for r in changed_files(spark, str(folder), state).select("path").collect()] == ["a.txt"]
+
+
+def test_watch_sees_overwritten_and_moved_files(spark, tmp_path):
+    import os
+
+    from lodestream.streaming.watch import watch_changes
+
+    folder, seen = tmp_path / "w", []
+    folder.mkdir()
+    (folder / "a.txt").write_text("one")
+
+    def ingest(batch):
+        rows = sorted((r["path"].rpartition("/")[2], bytes(r["content"]).decode()) for r in batch.select("path", "content").collect())
+        seen.append(rows)
+        if len(seen) == 1:
+            raise ValueError("a batch that fails does not end the watch")
+
+    def turn():
+        watch_changes(spark, str(folder), str(tmp_path / "cp"), ingest, once=True, pattern="*.txt").awaitTermination()
+        return seen.pop() if len(seen) > 1 else None
+
+    turn()
+    assert seen == [[("a.txt", "one")]] and turn() is None
+    (folder / "b.txt").write_text("two")
+    assert turn() == [("b.txt", "two")]
+    (folder / "a.txt").write_text("one, overwritten")
+    assert turn() == [("a.txt", "one, overwritten")]
+    (tmp_path / "old.txt").write_text("moved here with an old time")
+    os.utime(tmp_path / "old.txt", (1, 1))
+    os.rename(tmp_path / "old.txt", folder / "c.txt")
+    os.rename(folder / "b.txt", folder / "d.txt")
+    assert turn() == [("c.txt", "moved here with an old time"), ("d.txt", "two")]
+    (folder / "a.txt").unlink()
+    assert turn() is None
+    (folder / "a.txt").write_text("again")
+    assert turn() == [("a.txt", "again")]
+
+
+def test_broken_state_falls_back(spark, tmp_path):
+    path = tmp_path / "state"
+    for i in range(2):
+        files.save_state(spark.createDataFrame([("a", str(i))], files.STATE), str(path))
+    for part in (path / "v1").glob("*.parquet"):
+        part.write_bytes(b"PAR1 not any more")
+    for crc in (path / "v1").glob(".*.crc"):
+        crc.unlink()
+    assert [tuple(r) for r in files.load_state(spark, str(path)).collect()] == [("a", "0")]
+    files.save_state(files.load_state(spark, str(path)), str(path))
+    assert [tuple(r) for r in files.load_state(spark, str(path)).collect()] == [("a", "0")]
+
+
+def counting(log):
+    """A model that writes down what it was asked."""
+
+    def embed(texts):
+        with open(log, "a") as out:
+            out.writelines(f"{len(t)}\n" for t in texts)
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return embed
+
+
+def test_texts_are_embedded_once(spark, tmp_path):
+    from lodestream.sources.remembered import VectorStore
+
+    log = tmp_path / "log"
+    store = VectorStore(spark, str(tmp_path / "vectors"), counting(log))
+    rows = spark.createDataFrame([(1, "one"), (2, "three"), (3, None), (4, "one"), (5, "")], "id int, text string")
+    want = {1: [3.0, 1.0], 2: [5.0, 1.0], 3: [0.0, 1.0], 4: [3.0, 1.0], 5: [0.0, 1.0]}
+    for _ in range(2):
+        assert {r["id"]: r["v"] for r in store.embed(rows, "text", "v").collect()} == want
+        assert sorted(log.read_text().split()) == ["0", "3", "5"]
+    store.embed(rows.limit(1).withColumn("text", F.lit("seven77")), "text", "v").collect()
+    assert sorted(log.read_text().split()) == ["0", "3", "5", "7"]
+    with pytest.raises(Exception, match="a vector of 3 numbers was expected, not 2"):
+        VectorStore(spark, str(tmp_path / "vectors"), counting(log), "other", 3).embed(rows, "text", "v").collect()
+    assert VectorStore(spark, str(tmp_path / "vectors"), name="other").read().count() == 0
+
+
+def test_a_second_ingest_asks_the_model_nothing(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Solar panels turn light into power. " * 30)
+    log = tmp_path / "log"
+    engine = Engine(spark, str(tmp_path / "engine"), EngineConfig(), embedder=counting(log))
+    engine.ingest(files.scan(spark, str(tmp_path / "in")))
+    asked = log.read_text()
+    engine.ingest(files.scan(spark, str(tmp_path / "in")), force=True)
+    assert log.read_text() == asked and engine.store.read().where("content_vector is null").count() == 0
+
+
+def test_results_are_kept_for_a_version_and_a_time(spark, tmp_path):
+    from datetime import datetime, timedelta, timezone
+
+    from lodestream.sources.remembered import ResultCache
+
+    now, asked = [datetime(2026, 1, 1, tzinfo=timezone.utc)], []
+
+    def find(queries):
+        rows = queries.collect()
+        asked.append(sorted(r["query"] for r in rows))
+        return spark.createDataFrame([(r["query_id"], f"{r['query']} {i}", i) for r in rows for i in range(0 if r["query"] == "none" else 2)], "query_id long, hit string, rank int")
+
+    cache = ResultCache(spark, str(tmp_path / "results"), 60, lambda: now[0])
+    queries = lambda *q: spark.createDataFrame(list(enumerate(q)), "query_id long, query string")
+    got = lambda df: sorted(tuple(r) for r in df.collect())
+    want = [(0, "a 0", 0), (0, "a 1", 1), (1, "b 0", 0), (1, "b 1", 1), (3, "a 0", 0), (3, "a 1", 1)]
+    assert got(cache.answer(queries("a", "b", "none", "a"), 1, find)) == want and asked.pop() == ["a", "b", "none"]
+    assert got(cache.answer(queries("a", "b", "none", "a"), 1, find)) == want and not asked
+    assert got(cache.answer(queries("c", "a"), 1, find)) == [(0, "c 0", 0), (0, "c 1", 1), (1, "a 0", 0), (1, "a 1", 1)] and asked.pop() == ["c"]
+    cache.answer(queries("a"), 2, find)
+    assert asked.pop() == ["a"]  # the index has changed
+    cache.answer(queries("a"), 1, find, "other settings")
+    assert asked.pop() == ["a"]
+    now[0] += timedelta(seconds=61)
+    assert got(cache.answer(queries("a"), 1, find)) == want[:2] and asked.pop() == ["a"]  # the kept result has expired
+    cache.forget(2)
+    assert spark.read.parquet(str(tmp_path / "results")).count() == 0
+
+
+def test_engine_keeps_results(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "engine"), EngineConfig())
+    block = lambda text: spark.createDataFrame([("s", 1, "text", 0, text * 20)], "source string, page int, modality string, block_no int, content string")
+    engine.ingest_blocks(block("solar power "))
+    queries = spark.createDataFrame([(1, "solar")], "query_id long, query string")
+    first = engine.retrieve_kept(queries).select("content", "score").collect()
+    assert engine.retrieve_kept(queries).select("content", "score").collect() == first and first[0]["content"].startswith("solar")
+    engine.ingest_blocks(block("solar wind "))
+    assert "wind" in engine.retrieve_kept(queries).first()["content"]
+
+
+def test_asking_rewrites_once(spark, tmp_path):
+    """A model that never says the same twice: the prompt names the phrasings that were searched."""
+    log = tmp_path / "log"
+
+    def rewrite(text):
+        with open(log, "a") as out:
+            out.write(f"{text}\n")
+        return f"solar energy {len(log.read_text())}"
+
+    engine = Engine(spark, str(tmp_path / "engine"), EngineConfig(), rewrite=rewrite, model=lambda prompt: prompt)
+    engine.ingest_blocks(spark.createDataFrame([("s", 1, "text", 0, "solar power " * 20)], "source string, page int, modality string, block_no int, content string"))
+    answer = engine.ask(spark.createDataFrame([(1, "solar")], "query_id long, query string")).first()["answer"]
+    assert log.read_text() == "solar\n" and "Other phrasings: solar, solar energy" in answer and "solar power" in answer
