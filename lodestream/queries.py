@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .config import ENGLISH_STOPWORDS, EngineConfig
 from .functions import chunking, text
-from .operators import ask, fusion, keywords, linking, postings, recognition, search
+from .operators import ask, fusion, graph, keywords, linking, postings, recognition, search
 from .plans.ingest import chunks_of
 from .sources import files
 from .sources.store import ChunkStore
@@ -120,6 +120,19 @@ def fix_devanagari(spark, sf_dir):
     return _values(spark, _MARATHI, "id long, t string").select("id", text.fix_devanagari(F.col("t")).alias("cleaned"))
 
 
+#: Letters of documents and what stands for them below: vowels, consonants and the signs that the rules look at.
+_LETTERS, _DEVANAGARI = "abcdefghijkmnopqrstuvwxyz", "अबचदएफगहइजकमनओपक़रसतउवँंःय"[:25]
+
+
+@_query(
+    f"with v as (select doc_id, replace(replace(replace(translate(text, '{_LETTERS}', '{_DEVANAGARI}'), '।।', '।'), '0', '०'), 'l', '।') as t from documents) select doc_id, "
+    + _re(_re("t", f"(\\x{{93C}})[{_WS}]+", "\\1"), f"[{_WS}]+([\\x{{901}}-\\x{{903}}])", "\\1") + " as cleaned from v"
+)
+def fix_devanagari_documents(spark, sf_dir):
+    """Whole documents with letters of Devanagari in place of theirs."""
+    return _t(spark, sf_dir, "documents").select("doc_id", text.fix_devanagari(F.translate("text", _LETTERS, _DEVANAGARI)).alias("cleaned"))
+
+
 @_query(f"select doc_id, {_sql_punctuation('text')} as cleaned from documents")
 def fix_punctuation(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.fix_punctuation(F.col("text")).alias("cleaned"))
@@ -333,6 +346,14 @@ def cell_knn(spark, sf_dir):
     return search.cell_knn(vectors, asked, 30, "doc_id", "embedding", share=0.6)
 
 
+@_query()
+def graph_knn(spark, sf_dir):
+    """As ``cell_knn``, by walks through a graph. The vectors of this table lie in no clusters, so over nine tenths take a wide beam."""
+    vectors = _t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    asked = stage(vectors.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector")), "asked")
+    return graph.graph_knn(stage(graph.build_graph(vectors, [], "doc_id", "embedding"), "graph"), asked, 30, key="doc_id", beam=100)
+
+
 def _fused(spark, sf_dir) -> DataFrame:
     return fusion.rrf(_bm25(spark, sf_dir), _knn(spark, sf_dir), ["query_id", "doc_id"])
 
@@ -435,8 +456,9 @@ def phrase_slop(spark, sf_dir):
 
 @_query(rf"""with {_PHRASE}, st as (select field, count(*) as n, avg(len(t)) as avgdl from f where len(t) > 0 group by field), tok as (select doc_id, field, len(t) as dl, unnest(t) as term from f),
 tf as (select doc_id, field, term as word, dl, count(*)::double as tf from tok group by all), df as (select field, word, count(*) as df from tf group by all),
-q as (select distinct query_id, term from pw), v as (select distinct word from df where field <> 'keywords'), qt as (select distinct term, case when length(term) <= 2 then 0 when length(term) <= 5 then 1 else 2 end as k from q),
-near as (select term, word, 1 - edits / least(length(term), length(word))::double as weight from (select term, word, k, damerau_levenshtein({_ONE_BYTE('term')}, {_ONE_BYTE('word')}) as edits from qt join v on abs(length(term) - length(word)) <= k and k > 0 and term <> word) where edits <= k qualify row_number() over (partition by term order by weight desc, word) < 50),
+q as (select distinct query_id, term from pw), v as (select word, length(word) as wl, {_ONE_BYTE('word')} as w1 from (select distinct word from df where field <> 'keywords')), qt as (select *, {_ONE_BYTE('term')} as t1, case when length(term) <= 5 then 1 else 2 end as k from (select distinct term from q where length(term) > 2)),
+tl as (select *, unnest(generate_series(length(term) - k, length(term) + k)) as wl from qt),
+near as (select term, word, 1 - edits / least(length(term), length(word))::double as weight from (select term, word, k, damerau_levenshtein(t1, w1) as edits from tl join v using (wl) where term <> word) where edits <= k qualify row_number() over (partition by term order by weight desc, word) < 50),
 want as (select query_id, term, term as word, 1.0::double as weight from q union all select query_id, term, word, weight from q join near using (term)),
 met as (select query_id, field, term, word, weight, max(df) over (partition by query_id, field, term) as df from want join df using (word) where field <> 'keywords' union all select query_id, field, query, query, 1.0, df from asked join df on word = query and field = 'keywords'),
 s as (select query_id, doc_id, field, sum(weight * ln(1 + (n - df + 0.5) / (df + 0.5)) * case when field = 'keywords' then 1 else tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl)) end) as s from met join tf using (field, word) join st using (field) group by all),

@@ -38,6 +38,7 @@ def kind(path: Column) -> Column:
 
 def load_state(spark: SparkSession, path: str, schema: str = STATE) -> DataFrame:
     """Checksums of files that were read before: the latest version that can be read to its end; none if there is no such version."""
+    from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
     for version in sorted(_versions(spark, path), reverse=True):
@@ -45,7 +46,7 @@ def load_state(spark: SparkSession, path: str, schema: str = STATE) -> DataFrame
         try:
             # Broken files show when they are read, so every value is.
             rows.select(F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)"))).collect()
-        except PySparkException:
+        except (PySparkException, Py4JJavaError):
             LOG.warning("version %d of the state under %s can't be read", version, path)
             continue
         return rows
