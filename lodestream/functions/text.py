@@ -143,18 +143,6 @@ def detect_language(text: Column) -> Column:
     )
 
 
-def language_confidence(text: Column) -> Column:
-    """How sure ``detect_language`` can be, 0 to 1: the share of the language's script, less what common words are missing; 0 for unknown."""
-    found, language = words(F.lower(text)), detect_language(text)
-
-    def common(listed: list[str]) -> Column:
-        share = F.size(F.filter(found, lambda w: w.isin(listed))) / F.greatest(F.size(found), F.lit(1))
-        return F.least(F.lit(1.0), 0.5 + 2.5 * share)
-
-    sure = F.when(language == "en", latin_ratio(text) * common(ENGLISH_STOPWORDS)).when(language.isin("mr", "hi"), devanagari_ratio(text) * common(DEVANAGARI_STOPWORDS))
-    return F.coalesce(sure, F.lit(0.0))
-
-
 def language_hint(hint: Column) -> Column:
     """A hint that names a supported language, or null."""
     name = F.lower(strip(hint))

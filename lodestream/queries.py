@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .config import ENGLISH_STOPWORDS, EngineConfig
 from .functions import chunking, text
+from .operators import language_model as lm
 from .operators import ask, fusion, graph, keywords, linking, postings, recognition, search
 from .plans.ingest import chunks_of
 from .sources import files
@@ -178,6 +179,14 @@ def detect_language(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", text.detect_language(F.col("text")).alias("language"))
 
 
+@_query()
+def language_model(spark, sf_dir):
+    """Profiles of three quarters of the documents, and the languages of all."""
+    docs = _t(spark, sf_dir, "documents")
+    model = lm.fit(docs.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
+    return docs.select("doc_id", model.detect(F.col("text"), ["de", "en", "es", "fr"]).alias("d")).select("doc_id", "d.*")
+
+
 @_query(f"""
 with p as (select conv_id, turn, text as a, lead(text) over (partition by conv_id order by turn) as b from conversations),
 w as (select conv_id, turn, t, sum(x) as x, sum(y) as y from (select conv_id, turn, unnest(regexp_extract_all(lower(a), '{_W}{{2,}}')) as t, 1 as x, 0 as y from p where b is not null
