@@ -100,9 +100,9 @@ def _duplicates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def failures(docs: DataFrame) -> DataFrame:
     """``doc_id, part, mask`` of every row of ``docs(doc_id, text, lang)``."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce("lang", F.lit("")).alias("part"), own_failures(text).alias("mask"), F.xxhash64(text).alias("print"))
-    # Ranges are of fingerprint and doc_id, so that no texts are sampled for them.
-    ranged = rows.repartitionByRange("print", "doc_id").sortWithinPartitions("print", "text", "doc_id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.coalesce("lang", F.lit("")).alias("part"), F.xxhash64(text).alias("print"))
+    # Ranges are of fingerprint and doc_id, so that no texts are sampled for them; the sample is taken before A to D are looked at.
+    ranged = rows.repartitionByRange("print", "doc_id").sortWithinPartitions("print", "text", "doc_id").withColumn("mask", own_failures(F.col("text")))
     found = durable(ranged.transform(in_tasks, _duplicates, _ROWS), "masks")
     # One row for each partition, as long as no two texts share a fingerprint.
     ends = found.where("mask is null").groupBy(F.col("key").alias("text_key")).agg(F.min("first").alias("low"))
