@@ -8,9 +8,10 @@ from itertools import permutations
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from lodestream.llm import conversation_repair, filter_audit, language_id
+from lodestream.llm import conversation_repair, filter_audit, fingerprint, language_id
 from lodestream.llm.queries import queries
 
 CONVERSATIONS = "conv_id long, turn long, role string, text string, place int, audit string, copies string, costs string"
@@ -318,3 +319,38 @@ def test_language_sample_is_bounded(spark):
     finally:
         language_id.fit_rows = real
     assert sizes[0][1] == 40 and sizes[0][0] <= 40
+
+
+def plain_lanes(text):
+    """How many paragraphs there are, and of each bit of their hashes that is a lane the ones less the zeros."""
+    found = re.findall(r"[^\n]{1,256}?(?:[.?!](?= )|(?=\n)|\Z)|[^\n]{256}", text)
+    ones = [0] * 120
+    for p in found:
+        for i in range(4):
+            h = xxhash.xxh64(p.encode(), xxhash.xxh64(i.to_bytes(4, "little"), 42).intdigest()).intdigest()
+            for s in range(10):
+                for j in range(3):
+                    ones[(i * 10 + s) * 3 + j] += h >> s >> 20 * j & 1
+    return len(found), [2 * x - len(found) for x in ones]
+
+
+def plain_likeness(a, b):
+    (n, x), (m, y) = plain_lanes(a), plain_lanes(b)
+    if (n, x) == (m, y):
+        return 1.0
+    size = (sum(p * p for p in x) * sum(q * q for q in y)) ** 0.5
+    return max(0.0, min(1.0, sum(p * q for p, q in zip(x, y, strict=True)) / size)) if size else 0.0
+
+
+def test_likeness_of_fingerprints_against_plain_lanes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10_000, None), (10_001, ""), (10_002, "One. Two? Three! é☃\n\nfour"), (10_003, "x" * 700)], "doc_id long, text string"))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    order = sorted(texts, reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]], strict=True))
+    for r in fingerprint.fingerprint_documents(docs).collect():
+        own, other = texts[r["doc_id"]], texts[following[r["doc_id"]]]
+        half = len(own) // 2
+        edited = own[: len(own) - half] + other[:half]
+        assert r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert abs(r["near_edited"] - plain_likeness(own, edited)) < 1e-9 and abs(r["near_next"] - plain_likeness(own, other)) < 1e-9, r["doc_id"]
