@@ -672,9 +672,14 @@ def ocr_mean_confidence(spark, sf_dir):
     return recognition.mean_confidence(_ocr(spark, sf_dir))
 
 
-@_query()
+@_query(f"""with {_OCR}, a as (select image_id, candidate + case engine when 'dev' then 2 else 0 end as candidate, confidence, case engine when 'en' then 'en' else 'mr' end as language, text, {_sql_words('text')} as w, length(text) as n, length({_re('text', f'[^{_WS}]', '')}) as ws, length({_re('text', '[^\\pL\\pN]', '')}) as alnum from o),
+b as (select *, (n - ws - alnum) / greatest(n, 1)::double as special, len(list_filter(w, lambda x: length(x) = 1)) / greatest(len(w), 1)::double as single from a),
+q as (select *, (case when n = 0 then 0 else least(1.0, (case when n < 10 then 0.5 else 1.0 end) * (case when special > 0.3 then 1 - special else 1 end) * (case when single > 0.5 then 1 - single * 0.5 else 1 end) * (case when regexp_matches({_strip('text')}, '[.।]$') then 1.1 else 1 end))::double end)::double as quality from b)
+select image_id, candidate::int as candidate, confidence, language from q qualify row_number() over (partition by image_id order by round(0.6::double * confidence + 0.4::double * quality, 6) desc, candidate) = 1""")
 def ocr_merge(spark, sf_dir):
-    rows = _ocr(spark, sf_dir).where("engine = 'en'").withColumn("language", F.lit("en"))
+    """The best of all four results of an image."""
+    rows = _ocr(spark, sf_dir).withColumn("candidate", F.col("candidate") + F.when(F.col("engine") == "dev", 2).otherwise(0))
+    rows = rows.withColumn("language", F.when(F.col("engine") == "en", "en").otherwise("mr"))
     return recognition.merge_results(rows).select("image_id", "candidate", "confidence", "language")
 
 
