@@ -9,22 +9,20 @@ dealt out and sorted as Spark jobs:
 2. Kept segments are cut from the texts and dealt by minimizer. Identical segments of a task are sent once, and the
    windows of a minimizer with more than ``HOT`` segments are dealt one by one by their content, so that a passage
    in a third of all documents is spread over the cluster.
-3. Each task orders the suffixes of its segments by deep-shallow sorting: a multikey quicksort on 8-byte characters to
-   a shallow depth, then blind tries for groups that still share their whole prefix. Suffixes that agree on ``length``
-   bytes are equal strings; all but the earliest are repeated.
+3. Each task puts the suffixes of each minimizer's segments in order by deep-shallow sorting: a multikey quicksort on
+   8-byte characters to a shallow depth, then blind tries for groups that still share their whole prefix. Neighbours in
+   that order that agree on ``length`` bytes are equal strings; all but the earliest are repeated.
 4. Repeated spans go back to their documents, are merged and cut out.
 
 Defined cases: null and empty texts have nothing to remove; a text shorter than ``length`` is kept whole; rows without a
 doc_id are kept whole and are never the earlier one; rows that repeat a doc_id with the same text have the same result
-and are not earlier than each other, with another text the order is that of a 19-bit hash of the text (two texts of one
-doc_id whose hashes are equal, one pair in half a million, are taken for one); very long texts are
+and are not earlier than each other, with another text the order is that of a 64-bit hash of the text; very long texts are
 worked on in pieces that overlap; an empty table gives an empty result; other columns pass through, and those named like
 a result column give way to it.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,13 +42,13 @@ HOT = 50_000
 SEEN = 200_000
 #: Windows of a segment at most, bytes of a piece of a long text, and segment bytes sorted at once.
 LONGEST, PIECE, SORTED_AT_ONCE = 4095, 1 << 22, 6 << 20
-_TAG = 31  # a place is a hash of the text in the high bits (for rows that share a doc_id) and the start
-_RUN = 13  # a segment is its place, 12 bits for its windows, and one that says whether its minimizer occurs twice in it
+_RUN = 13  # a segment is its start, 12 bits for its windows, and one that says whether its minimizer occurs twice in it
 _PLACE = U(0xFFFFFF)
 
 
 def _tag(text: bytes) -> int:
-    return (zlib.crc32(text) >> 13) << _TAG
+    """What tells texts of one doc_id apart."""
+    return xxhash.xxh3_64_intdigest(text) >> 1
 
 
 def _load(data: np.ndarray) -> np.ndarray:
@@ -103,7 +101,7 @@ def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            pieces, owners, places = [], [], []
+            pieces, owners, tags, places = [], [], [], []
             for doc, text in zip(ids, text_bytes(batch.column("text")), strict=True):
                 if doc is None or len(text) < length:
                     continue
@@ -111,12 +109,13 @@ def _anchors(length: int):
                 for at in range(0, len(text) - length + 1, PIECE):
                     pieces.append(text[at : at + PIECE + length - 1])
                     owners.append(doc)
-                    places.append(tag + at)
+                    tags.append(tag)
+                    places.append(at)
             for lo, hi in grouped(pieces):
                 who, start, count, key, twice = segments(pieces[lo:hi], length)
-                owner, place = np.array(owners[lo:hi], np.int64), np.array(places[lo:hi], np.int64)
-                packed = (place[who] + start) << _RUN | count << 1 | twice
-                yield pa.record_batch([pa.array(x) for x in (key, owner[who], packed)], ["key", "doc_id", "segment"])
+                owner, tag, place = (np.array(x[lo:hi], np.int64)[who] for x in (owners, tags, places))
+                packed = (place + start) << _RUN | count << 1 | twice
+                yield pa.record_batch([pa.array(x) for x in (key, owner, tag, packed)], ["key", "doc_id", "tag", "segment"])
 
     return run
 
@@ -125,26 +124,25 @@ def _cut(length: int):
     """Segments to sort, sent once for each content; those seen before at an earlier place are known to be repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, tuple[int, int]] = {}
+        seen: dict[bytes, tuple[int, int, int]] = {}
         for batch in batches:
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            rows: tuple[list, ...] = ([], [], [], [], [], [])
             found = batch.column("__found")
             ends = found.offsets.to_numpy()
-            fields = {f: found.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "segment", "hot")}
+            fields = {f: found.values.field(f).to_numpy(zero_copy_only=False) for f in ("key", "tag", "segment", "hot")}
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True)):
                 if doc is None:
                     continue
                 own = slice(ends[i], ends[i + 1])
-                tag = _tag(text) >> _TAG
-                for key, segment, hot in zip(*(fields[f][own].tolist() for f in ("key", "segment", "hot")), strict=True):
-                    place, n = segment >> _RUN, (segment & (1 << _RUN) - 1) >> 1
-                    if place >> _TAG != tag:
+                tag = _tag(text) if ends[i + 1] > ends[i] else None
+                for key, owner, segment, hot in zip(*(x[own].tolist() for x in fields.values()), strict=True):
+                    if owner != tag:
                         continue
-                    start = place - (tag << _TAG)
+                    start, n = segment >> _RUN, (segment & (1 << _RUN) - 1) >> 1
                     for at, many in ((start + j, 1) for j in range(n)) if hot else ((start, n),):
                         part = text[at : at + many + length - 1]
                         name = xxhash.xxh3_128_digest(part)
-                        here = (doc, (tag << _TAG) + at)
+                        here = (doc, tag, at)
                         first = seen.get(name)
                         if first == here:
                             continue  # a row that repeats a doc_id and text: the same place
@@ -158,80 +156,134 @@ def _cut(length: int):
                     seen.clear()
                 if len(rows[0]) > 50_000:
                     yield _batch(rows)
-                    rows = ([], [], [], [], [])
+                    rows = ([], [], [], [], [], [])
             yield _batch(rows)
 
     return run
 
 
-_SEGMENT = "route long, doc_id long, place long, n int, part binary"
+_SEGMENT = "route long, doc_id long, tag long, place long, n int, part binary"
 
 
 def _batch(rows: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["route", "doc_id", "place", "n", "part"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    return pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["route", "doc_id", "tag", "place", "n", "part"])
 
 
-def _split(group: np.ndarray, key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order members by group and key; number the groups of equal key anew."""
-    order = np.lexsort((key, group))
-    who, group, key = who[order], group[order], key[order]
-    fresh = np.ones(len(who), bool)
-    fresh[1:] = (group[1:] != group[:-1]) | (key[1:] != key[:-1])
-    return who, np.cumsum(fresh) - 1
+def _heads(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each group begins and how many members it has; a group's members are neighbours."""
+    head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return head, np.diff(np.r_[head, len(group)])
 
 
-def _several(who: np.ndarray, group: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Only groups of two members or more."""
-    keep = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
-    return tuple(x[keep] for x in (who, group, *more))
+def _ternary(group: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One step of quicksort in every group: for each member its new place, the new groups, and whether its key is the pivot.
+
+    The pivot is the median of a group's first, middle and last key; members keep their order on either side of it.
+    """
+    head, size = _heads(group)
+    a, b, c = key[head], key[head + size // 2], key[head + size - 1]
+    pivot = np.repeat(np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c)), size)
+    less, same = key < pivot, key == pivot
+    first = np.repeat(head, size)
+    before = [np.r_[0, np.cumsum(x)] for x in (less, same)]
+    n_less, n_same = (x[head + size] - x[head] for x in before)
+    rank_less, rank_same = (x[:-1] - x[first] for x in before)
+    rank_more = np.arange(len(key)) - first - rank_less - rank_same
+    skip_less, skip_same = np.repeat(n_less, size), np.repeat(n_same, size)
+    to = first + np.where(less, rank_less, skip_less + np.where(same, rank_same, skip_same + rank_more))
+    fresh = np.zeros(len(key) + 1, bool)
+    fresh[head] = fresh[head + n_less] = fresh[head + n_less + n_same] = True
+    return to, np.cumsum(fresh[:-1]) - 1, same
+
+
+def _by_byte(group: np.ndarray, byte: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order members by group and byte; number the groups of equal bytes anew."""
+    order = np.lexsort((byte, group))
+    who, group, byte = who[order], group[order], byte[order]
+    fresh = np.ones(len(who), bool)
+    fresh[1:] = (group[1:] != group[:-1]) | (byte[1:] != byte[:-1])
+    return who, np.cumsum(fresh) - 1
 
 
-def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SHALLOW) -> list[np.ndarray]:
-    """Groups (ascending member numbers) of the suffixes ``starts`` of ``data`` that agree on ``length`` bytes.
+def suffix_order(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SHALLOW, group: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Member numbers of the suffixes ``starts`` of ``data`` in ascending order of their first ``length`` bytes, equal ones by
+    number, and for each whether it agrees with the one before it. With ``group`` each group's suffixes are put in order apart.
 
-    Shallow: all groups are split at once by the next 8-byte character, as multikey quicksort does, down to ``shallow``
-    bytes. Deep: what is left goes into blind tries, one per group and all a level at a time: a node skips to the
-    first byte at which a member differs from the group's first (no byte before it is branched on) and branches on that byte.
+    Shallow: a multikey quicksort on 8-byte characters. A group is divided into those below, at and above its pivot, and those at it
+    go on with the next character, down to ``shallow`` bytes; the steps of all groups are taken side by side. Deep: groups
+    that are left go into blind tries, one per group and all a level at a time: a node skips to the first byte at which a
+    member differs from the group's first (no byte before it is branched on) and branches on that byte.
     """
     words = _load(data)
-    who, group = np.arange(len(starts)), np.zeros(len(starts), np.int64)
-    depth = 0
-    while depth + 8 <= min(shallow, length) and len(who):
-        who, group = _several(*_split(group, words[starts[who] + depth].byteswap(), who))
-        depth += 8
-    found = []
-    reach = np.full(len(who), depth, np.int64)  # bytes on which a member's group agrees
-    while len(who):
-        head = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        first = np.repeat(starts[who[head]], np.diff(np.r_[head, len(who)]))
+    group = np.zeros(len(starts), np.int64) if group is None else group
+    order = np.argsort(group, kind="stable")
+    equal = np.zeros(len(order), bool)
+    slot, group, reach = np.arange(len(order)), group[order], np.zeros(len(order), np.int64)  # places still open
+    end = min(shallow, length) & ~7
+    deep: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(slot):
+        _, size = _heads(group)
+        several, done = np.repeat(size > 1, size), reach >= end
+        if (several & done).any():
+            deep.append((slot[several & done], group[several & done]))
+        keep = several & ~done
+        slot, group, reach = slot[keep], group[keep], reach[keep]
+        if not len(slot):
+            break
+        who = order[slot]
+        to, group, same = _ternary(group, words[starts[who] + reach].byteswap())
+        order[slot[to]] = who
+        reach[to] = reach + 8 * same
+    slot, group = (np.concatenate(x) for x in zip(*((s, g + (i << 40)) for i, (s, g) in enumerate(deep)), strict=True)) if deep else (slot, group)
+    reach = np.full(len(slot), end, np.int64)  # bytes on which a member's group agrees
+    while len(slot):
+        who = order[slot]
+        head, size = _heads(group)
+        first = np.repeat(starts[who[head]], size)
         same, open_ = reach.copy(), np.arange(len(who))
         while len(open_):
             at = same[open_]
             apart = words[starts[who[open_]] + at] ^ words[first[open_] + at]
             bits = apart & (~apart + U(1))  # the lowest bit that differs
-            equal = np.where(apart == 0, 8, np.log2(np.maximum(bits, U(1)).astype(np.float64)).astype(np.int64) >> 3)
-            same[open_] = np.minimum(at + equal, length)
+            agree = np.where(apart == 0, 8, np.log2(np.maximum(bits, U(1)).astype(np.float64)).astype(np.int64) >> 3)
+            same[open_] = np.minimum(at + agree, length)
             open_ = open_[(apart == 0) & (same[open_] < length)]
         node = np.minimum.reduceat(same, head)
-        size = np.diff(np.r_[head, len(who)])
-        leaf = node >= length
-        found += [who[h : h + s] for h, s in zip(head[leaf].tolist(), size[leaf].tolist(), strict=True)]
-        inner = np.repeat(~leaf, size)
-        who, group, reach = who[inner], group[inner], np.repeat(node, size)[inner]
-        if len(who):
-            who, group = _split(group, data[starts[who] + reach], who)
-            who, group, reach = _several(who, group, reach + 1)  # the same for all of a group, in whatever order
-    return found
-
-
-def repeated(parts: list[tuple[int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
-    """``(doc_id, place, bytes)`` of the spans of repeated windows in segments ``(doc_id, place, windows, bytes)``."""
-    spans, own, seen = [], [], {}
-    for doc, place, n, part in sorted(parts):
+        leaf = np.repeat(node >= length, size)
+        leaf_tail = leaf.copy()
+        leaf_tail[head] = False
+        equal[slot[leaf_tail]] = True
+        slot, group, who, reach = slot[~leaf], group[~leaf], who[~leaf], np.repeat(node, size)[~leaf]
+        if len(slot):
+            who, group = _by_byte(group, data[starts[who] + reach], who)
+            order[slot] = who
+            _, size = _heads(group)
+            keep = np.repeat(size > 1, size)
+            slot, group, reach = slot[keep], group[keep], reach[keep] + 1  # the same for all of a group, in whatever order
+    return order, equal
+
+
+def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int, shallow: int = SHALLOW, group: np.ndarray | None = None) -> list[np.ndarray]:
+    """Groups (ascending member numbers) of the suffixes ``starts`` of ``data`` that agree on ``length`` bytes."""
+    order, equal = suffix_order(data, starts, length, shallow, group)
+    begin = np.flatnonzero(equal & ~np.r_[False, equal[:-1]]) - 1
+    end = np.flatnonzero(equal & ~np.r_[equal[1:], False]) + 1
+    return [order[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
+def repeated(parts: list[tuple], length: int, keys: list[int] | None = None) -> list[tuple]:
+    """``(document, place, bytes)`` of the spans of repeated windows in segments ``(document, place, windows, bytes)``.
+
+    Equal windows have equal ``keys`` where these are given.
+    """
+    spans, own, groups, seen = [], [], [], {}
+    for i in sorted(range(len(parts)), key=parts.__getitem__):
+        doc, place, n, part = parts[i]
         if part not in seen:
             seen[part] = doc, place
-            own.append((doc, place, n, part))
+            own.append(parts[i])
+            groups.append(0 if keys is None else keys[i])
         elif seen[part] != (doc, place):  # rows that repeat a doc_id and text send the same segment
             spans.append((doc, place, n + length - 1))
     counts = np.array([x[2] for x in own], np.int64)
@@ -240,10 +292,9 @@ def repeated(parts: list[tuple[int, int, int, bytes]], length: int) -> list[tupl
     owner = np.repeat(np.arange(len(own)), counts)
     step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
     starts = (np.cumsum(sizes) - sizes)[owner] + step
+    order, equal = suffix_order(data, starts, length, group=np.array(groups, np.int64)[owner])
     again = np.zeros(len(starts) + 1, bool)
-    for members in deep_shallow(data, starts, length):
-        again[members] = True
-        again[members.min()] = False  # members are numbered in the order of places
+    again[order[equal]] = True  # of equal ones the first is the earliest: members are numbered in the order of places
     flag = again[:-1]
     new = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
     begin = np.flatnonzero(flag & (new | ~np.r_[False, flag[:-1]]))
@@ -256,25 +307,27 @@ def repeated(parts: list[tuple[int, int, int, bytes]], length: int) -> list[tupl
 
 def _sort(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting, size, last = [], 0, None
+        waiting, keys, size, last = [], [], 0, None
 
         def out(spans: list) -> pa.RecordBatch:
-            return pa.record_batch([pa.array([x[i] for x in spans], pa.int64()) for i in range(3)], ["doc_id", "place", "bytes"])
+            flat = [(*doc, place, n) for doc, place, n in spans]
+            return pa.record_batch([pa.array([x[i] for x in flat], pa.int64()) for i in range(4)], ["doc_id", "tag", "place", "bytes"])
 
         for batch in batches:
             known = []
-            for route, doc, place, n, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for route, doc, tag, place, n, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if part is None:
-                    known.append((doc, place, n + length - 1))
+                    known.append(((doc, tag), place, n + length - 1))
                     continue
                 if size > SORTED_AT_ONCE and route != last:
-                    yield out(repeated(waiting, length))
-                    waiting, size = [], 0
-                waiting.append((doc, place, n, part))
+                    yield out(repeated(waiting, length, keys))
+                    waiting, keys, size = [], [], 0
+                waiting.append(((doc, tag), place, n, part))
+                keys.append(route)
                 size, last = size + len(part), route
             yield out(known)
         if waiting:
-            yield out(repeated(waiting, length))
+            yield out(repeated(waiting, length, keys))
 
     return run
 
@@ -283,14 +336,14 @@ def _remove(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = batch.column("__spans")
-            ends, flat = found.offsets.to_numpy(), [found.values.field(f).to_numpy(zero_copy_only=False) for f in ("place", "bytes")]
+            ends, flat = found.offsets.to_numpy(), [found.values.field(f).to_numpy(zero_copy_only=False) for f in ("tag", "place", "bytes")]
             total, gone, runs, kept = [], [], [], []
             for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), text_bytes(batch.column("text")), strict=True)):
-                begin, many = (x[ends[i] : ends[i + 1]] for x in flat)
+                tag, begin, many = (x[ends[i] : ends[i + 1]] for x in flat)
                 total.append(len(text))
-                tag = _tag(text) >> _TAG
-                own = (begin >> _TAG == tag) & (doc is not None)
-                begin, many = begin[own] - (tag << _TAG), many[own]
+                if len(tag):
+                    own = (tag == _tag(text)) & (doc is not None)
+                    begin, many = begin[own], many[own]
                 if not len(begin):
                     gone.append(0), runs.append(0), kept.append(text)
                     continue
@@ -318,16 +371,16 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # The three uses of the texts share one exchange by doc_id, and both uses of the segments one by minimizer.
     # Rows without a doc_id have a place by their text, and nothing that is found there concerns them.
     placed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text"))).repartition(n, "__key")
-    kinds = T.StructType([T.StructField(c, T.LongType(), False) for c in ("key", "doc_id", "segment")])
+    kinds = T.StructType([T.StructField(c, T.LongType(), False) for c in ("key", "doc_id", "tag", "segment")])
     anchors = placed.transform(in_tasks, _anchors(length), kinds).repartition(n, "key")
     # The maximum reads every column, and the joins with the texts are outer ones, so that the exchanges are the same.
-    counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(F.col("segment").bitwiseAND(1).alias("twice"), "doc_id"))["twice"].alias("t"))
+    counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(F.col("segment").bitwiseAND(1).alias("twice"), "doc_id", "tag"))["twice"].alias("t"))
     counts = counts.where("m > 1 or t = 1").select("key", (F.col("m") > HOT).alias("hot"))
-    chosen = anchors.join(counts, "key").groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("key", "segment", "hot")).alias("__found"))  # rows may repeat
+    chosen = anchors.join(counts, "key").groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("key", "tag", "segment", "hot")).alias("__found"))  # rows may repeat
     parts = placed.join(chosen, "__key", "left").transform(in_tasks, _cut(length), _SEGMENT)
-    spans = parts.repartition(n, "route").sortWithinPartitions("route").transform(in_tasks, _sort(length), "doc_id long, place long, bytes long")
-    spans = spans.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("place", "bytes")).alias("__spans"))
-    joined = placed.join(spans, "__key", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<place:long,bytes:long>>")))
+    spans = parts.repartition(n, "route").sortWithinPartitions("route").transform(in_tasks, _sort(length), "doc_id long, tag long, place long, bytes long")
+    spans = spans.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("tag", "place", "bytes")).alias("__spans"))
+    joined = placed.join(spans, "__key", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<tag:long,place:long,bytes:long>>")))
     extra = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
     return joined.transform(in_tasks, _remove(docs.columns), T.StructType([*docs.schema.fields, *extra]))
 

@@ -154,6 +154,23 @@ def test_deep_shallow_groups():
         assert sorted(sorted(g.tolist()) for g in got) == sorted(v for v in want.values() if len(v) > 1)
 
 
+def test_suffix_order_is_that_of_sorting():
+    rng = np.random.default_rng(5)
+    for length, shallow in ((32, 24), (40, 8), (100, 24), (100, 100), (33, 0)):
+        data = np.concatenate([rng.integers(97, 99, 300), rng.integers(97, 123, 200)] * 2 + [np.full(150, 97), rng.integers(0, 256, 200)]).astype(np.uint8)
+        starts = rng.permutation(len(data) - length)
+        padded = np.concatenate([data, np.zeros(16, np.uint8)])
+        text = [data[i : i + length].tobytes() for i in starts]
+        order, equal = suffix_dedup.suffix_order(padded, starts, length, shallow)
+        assert order.tolist() == sorted(range(len(starts)), key=lambda i: (text[i], i))
+        assert equal.tolist() == [False] + [text[a] == text[b] for a, b in zip(order[1:], order[:-1], strict=True)]
+        group = rng.integers(-5, 5, len(starts))
+        order, equal = suffix_dedup.suffix_order(padded, starts, length, shallow, group)
+        assert order.tolist() == sorted(range(len(starts)), key=lambda i: (group[i], text[i], i))
+        assert equal.tolist() == [False] + [(group[a], text[a]) == (group[b], text[b]) for a, b in zip(order[1:], order[:-1], strict=True)]
+    assert [len(x) for x in suffix_dedup.suffix_order(padded, starts[:0], 100)] == [0, 0]
+
+
 def test_best_fit_is_that_of_single_pieces():
     def brute(lengths, capacity):
         bins = []
