@@ -16,8 +16,8 @@ dealt out and sorted as Spark jobs:
 
 Defined cases: null and empty texts have nothing to remove; a text shorter than ``length`` is kept whole; rows without a
 doc_id are kept whole and are never the earlier one; rows that repeat a doc_id with the same text have the same result
-and are not earlier than each other, with another text the order is that of a 64-bit hash of the text; very long texts are
-worked on in pieces that overlap; an empty table gives an empty result; other columns pass through, and those named like
+and are not earlier than each other, with another text the order is that of a 32-bit hash of the text (two texts
+of one doc_id whose hashes are equal, one pair in four billion, are taken for one); very long texts are worked on in pieces that overlap; an empty table gives an empty result; other columns pass through, and those named like
 a result column give way to it.
 """
 
@@ -48,7 +48,7 @@ _PLACE = U(0xFFFFFF)
 
 def _tag(text: bytes) -> int:
     """What tells texts of one doc_id apart."""
-    return xxhash.xxh3_64_intdigest(text) >> 1
+    return xxhash.xxh3_64_intdigest(text) >> 33
 
 
 def _load(data: np.ndarray) -> np.ndarray:
@@ -113,7 +113,8 @@ def _anchors(length: int):
                     places.append(at)
             for lo, hi in grouped(pieces):
                 who, start, count, key, twice = segments(pieces[lo:hi], length)
-                owner, tag, place = (np.array(x[lo:hi], np.int64)[who] for x in (owners, tags, places))
+                owner, place = (np.array(x[lo:hi], np.int64)[who] for x in (owners, places))
+                tag = np.array(tags[lo:hi], np.int32)[who]
                 packed = (place + start) << _RUN | count << 1 | twice
                 yield pa.record_batch([pa.array(x) for x in (key, owner, tag, packed)], ["key", "doc_id", "tag", "segment"])
 
@@ -162,11 +163,11 @@ def _cut(length: int):
     return run
 
 
-_SEGMENT = "route long, doc_id long, tag long, place long, n int, part binary"
+_SEGMENT = "route long, doc_id long, tag int, place long, n int, part binary"
 
 
 def _batch(rows: tuple[list, ...]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
     return pa.record_batch([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["route", "doc_id", "tag", "place", "n", "part"])
 
 
@@ -311,7 +312,8 @@ def _sort(length: int):
 
         def out(spans: list) -> pa.RecordBatch:
             flat = [(*doc, place, n) for doc, place, n in spans]
-            return pa.record_batch([pa.array([x[i] for x in flat], pa.int64()) for i in range(4)], ["doc_id", "tag", "place", "bytes"])
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+            return pa.record_batch([pa.array([x[i] for x in flat], k) for i, k in enumerate(kinds)], ["doc_id", "tag", "place", "bytes"])
 
         for batch in batches:
             known = []
@@ -371,16 +373,16 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     # The three uses of the texts share one exchange by doc_id, and both uses of the segments one by minimizer.
     # Rows without a doc_id have a place by their text, and nothing that is found there concerns them.
     placed = docs.withColumn("__key", F.coalesce("doc_id", F.xxhash64("text"))).repartition(n, "__key")
-    kinds = T.StructType([T.StructField(c, T.LongType(), False) for c in ("key", "doc_id", "tag", "segment")])
+    kinds = T.StructType([T.StructField(c, T.IntegerType() if c == "tag" else T.LongType(), False) for c in ("key", "doc_id", "tag", "segment")])
     anchors = placed.transform(in_tasks, _anchors(length), kinds).repartition(n, "key")
     # The maximum reads every column, and the joins with the texts are outer ones, so that the exchanges are the same.
     counts = anchors.groupBy("key").agg(F.count("*").alias("m"), F.max(F.struct(F.col("segment").bitwiseAND(1).alias("twice"), "doc_id", "tag"))["twice"].alias("t"))
     counts = counts.where("m > 1 or t = 1").select("key", (F.col("m") > HOT).alias("hot"))
     chosen = anchors.join(counts, "key").groupBy(F.col("doc_id").alias("__key")).agg(F.collect_set(F.struct("key", "tag", "segment", "hot")).alias("__found"))  # rows may repeat
     parts = placed.join(chosen, "__key", "left").transform(in_tasks, _cut(length), _SEGMENT)
-    spans = parts.repartition(n, "route").sortWithinPartitions("route").transform(in_tasks, _sort(length), "doc_id long, tag long, place long, bytes long")
+    spans = parts.repartition(n, "route").sortWithinPartitions("route").transform(in_tasks, _sort(length), "doc_id long, tag int, place long, bytes long")
     spans = spans.groupBy(F.col("doc_id").alias("__key")).agg(F.collect_list(F.struct("tag", "place", "bytes")).alias("__spans"))
-    joined = placed.join(spans, "__key", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<tag:long,place:long,bytes:long>>")))
+    joined = placed.join(spans, "__key", "left").withColumn("__spans", F.coalesce("__spans", F.from_json(F.lit("[]"), "array<struct<tag:int,place:long,bytes:long>>")))
     extra = [T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())]
     return joined.transform(in_tasks, _remove(docs.columns), T.StructType([*docs.schema.fields, *extra]))
 
