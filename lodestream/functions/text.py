@@ -5,7 +5,7 @@ Java's ``\\w`` and ``\\s`` are ASCII; the classes below are the Unicode ones, wi
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEVANAGARI_STOPWORDS, ENGLISH_STOPWORDS, MARATHI_WORDS
@@ -171,3 +171,22 @@ def text_similarity(a: Column, b: Column) -> Column:
     common = F.aggregate(F.array_intersect(dx, dy), F.lit(0.0), lambda s, w: s + times(x, w) * times(y, w))
     size = F.sqrt(norm(x, dx, dy) * norm(y, dy, dx))
     return F.when(size > 0, common / size).otherwise(0.0)
+
+
+def text_similarities(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
+    """``by, similarity`` of rows ``(by, a, b)``, of which ``by`` names one each: ``text_similarity``, with words counted by grouping.
+
+    If rows are dealt out by a column of ``by`` already, nothing is shuffled.
+    """
+    none = F.array(F.struct(F.lit("").alias("w"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y")))  # keeps rows without words
+
+    def side(column: str, x: float) -> Column:
+        return F.transform(tok_word(F.coalesce(column, F.lit(""))), lambda w: F.struct(w.alias("w"), F.lit(x).alias("x"), F.lit(1 - x).alias("y")))
+
+    each = pairs.select(*by, F.explode(F.concat(none, side(a, 1.0), side(b, 0.0))).alias("t")).select(*by, "t.*")
+    counts = each.groupBy(*by, "w").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    idf = F.lit(1.4054651081081644)
+    x, y = F.col("x") * F.when(F.col("y") > 0, 1.0).otherwise(idf), F.col("y") * F.when(F.col("x") > 0, 1.0).otherwise(idf)
+    sums = counts.groupBy(*by).agg(F.sum(F.col("x") * F.col("y")).alias("common"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"))
+    size = F.sqrt(F.col("xx") * F.col("yy"))
+    return sums.select(*by, F.when(size > 0, F.col("common") / size).otherwise(0.0).alias("similarity"))

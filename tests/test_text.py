@@ -68,3 +68,12 @@ def test_chunk_totals(spark, sf):
     chunks = chunking.chunk_blocks(docs)
     row = chunks.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d"), F.max(F.length("content")).alias("m")).first()
     assert (row["n"], docs.count() - row["d"], row["m"]) == (933, 7, 800)
+
+
+def test_similarities_of_a_table(spark):
+    rows = [(1, 1, "a red fish swims", "the red fish"), (1, 2, "red", None), (2, 1, "", "x"), (2, 2, "same words same", "same words same"), (3, 1, "one two", "three four")]
+    pairs = spark.createDataFrame(rows, "conv long, turn long, a string, b string").repartition(3, "conv")
+    found = text.text_similarities(pairs, ["conv", "turn"], "a", "b")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the one of the input
+    want = pairs.select("conv", "turn", text.text_similarity(F.col("a"), F.col("b")).alias("s"))
+    assert {(r[0], r[1]): r[2] for r in found.collect()} == {(r[0], r[1]): pytest.approx(r[2], abs=1e-9) for r in want.collect()}
