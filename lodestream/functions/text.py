@@ -99,9 +99,9 @@ def _count(text: Column, pattern: str) -> Column:
 def text_quality(text: Column) -> Column:
     """0 to 1: short, special-ridden and scattered texts lose, a closing full stop gains."""
     size = F.length(text)
-    special = _count(text, rf"[^\p{{L}}\p{{N}}{WS[1:-1]}]") / F.greatest(size, F.lit(1))
-    found = words(text)
-    single = F.size(F.filter(found, lambda w: F.length(w) == 1)) / F.greatest(F.size(found), F.lit(1))
+    special = _count(text, rf"[^\p{{L}}\p{{N}}{WS[1:-1]}]++") / F.greatest(size, F.lit(1))
+    # An array of one, so that the text is cut once.
+    single = F.transform(F.array(words(text)), lambda found: F.size(F.filter(found, lambda w: F.length(w) == 1)) / F.greatest(F.size(found), F.lit(1)))[0]
     score = F.when(size < 10, 0.5).otherwise(1.0)
     score = score * F.when(special > 0.3, 1 - special).otherwise(1.0)
     score = score * F.when(single > 0.5, 1 - single * 0.5).otherwise(1.0)
