@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from ..config import DEVANAGARI_STOPWORDS, ENGLISH_STOPWORDS, MARATHI_WORDS
 
 WS = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+#: The same characters one by one.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 WORD = r"[\p{L}\p{N}_]"
 # Confusions of text recognition, in the order in which they are put right.
 DEVANAGARI_CONFUSIONS = [("।।", "।"), ("0", "०"), ("l", "।")]
@@ -19,7 +21,7 @@ DEVANAGARI_SINGLES = "। ॥ अ आ इ ई उ ऊ ए ऐ ओ औ क ख 
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def words(text: Column) -> Column:
