@@ -16,6 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: The lowest n bytes of a 64-bit word.
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -69,21 +71,33 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
 
 
+def equal_spans(data: np.ndarray, starts: np.ndarray, other: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which spans of ``data`` hold the same bytes as those of ``other`` in turn; both of a pair have one size."""
+    mine, theirs = (np.ndarray(len(x) + 1, "<u8", np.concatenate([x, np.zeros(8, np.uint8)]), strides=(1,)) for x in (data, other))
+    equal = (mine[starts] ^ theirs[begins]) & _LOW_BYTES[np.minimum(sizes, 8)] == 0
+    rest = np.flatnonzero(equal & (sizes > 8))
+    if len(rest):
+        starts, begins, sizes = starts[rest] + 8, begins[rest] + 8, sizes[rest] - 8
+        kind = np.int32 if max(len(data), len(other)) < 1 << 31 else np.int64
+        before = np.cumsum(sizes) - sizes
+        at = np.arange(int(sizes.sum()), dtype=kind)
+        differ = data[at + np.repeat((starts - before).astype(kind), sizes)] != other[at + np.repeat((begins - before).astype(kind), sizes)]
+        equal[rest] = ~np.logical_or.reduceat(differ, before)
+    return equal
+
+
 def same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, other: np.ndarray) -> bool:
     """Whether every span holds the same bytes as span number ``other``."""
     sizes = ends - starts
     if (sizes != sizes[other]).any():
         return False
-    kind = np.int32 if len(data) < 1 << 31 else np.int64
-    before = np.cumsum(sizes) - sizes
-    at = np.arange(int(sizes.sum()), dtype=kind)
-    mine, theirs = (at + np.repeat((x - before).astype(kind), sizes) for x in (starts, starts[other]))
-    return bool((data[mine] == data[theirs]).all())
+    pairs = np.flatnonzero(other != np.arange(len(other)))
+    return bool(equal_spans(data, starts[pairs], data, starts[other[pairs]], sizes[pairs]).all())
 
 
-def distinct_spans(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct_spans(raw: bytes, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Which distinct span each span of ``data`` (the bytes of ``raw``) is, and the first place of each."""
-    codes, distinct = pd.factorize(span_hashes(data, starts, ends))
+    codes, distinct = pd.factorize(span_hashes(data, starts, ends) if hashes is None else hashes)
     for _ in range(2):
         first = np.empty(len(distinct), np.int64)
         first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)

@@ -26,6 +26,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -87,10 +88,17 @@ def re_pair(symbols: np.ndarray, letters: int, end: int, least: int = LEAST) ->
         at = np.flatnonzero(live)
         left, right = now[at], now[at + 1]
         slots = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(32 - _SLOTS)
-        may = (np.bincount(slots, minlength=1 << _SLOTS) >= least)[slots]
-        live[at[~may]] = False
+        held = np.bincount(slots, minlength=1 << _SLOTS).astype(np.int32)
+        size = held[slots]
+        live[at[size < least]] = False
+        # A pair's places are all in one slot, so the most frequent pair is no rarer than that of the fullest slot, and slots with
+        # less than a round's limit hold none of its pairs.
+        full = slots == held.argmax()
+        most = np.unique(left[full].astype(np.uint64) << np.uint64(32) | right[full], return_counts=True)[1].max(initial=0)
+        may = size >= (least if waits else max(least, int(most) // 32))
         at = at[may]
-        codes, pairs = pd.factorize(left[may].astype(np.uint64) << np.uint64(32) | right[may])
+        kind, half = (np.uint32, 16) if known <= 1 << 16 else (np.uint64, 32)
+        codes, pairs = pd.factorize(left[may].astype(kind) << kind(half) | right[may])
         counts = np.bincount(codes, minlength=1)
         live[at[counts[codes] < least]] = False
         limit = least if waits else max(least, int(counts.max()) // 32)
@@ -101,7 +109,7 @@ def re_pair(symbols: np.ndarray, letters: int, end: int, least: int = LEAST) ->
         rank = counts[codes] << 1
         run = np.cumsum(np.r_[True, np.diff(at) > 1])
         head = np.r_[True, run[1:] != run[:-1]]
-        rank += (np.arange(len(at)) - np.flatnonzero(head)[run - 1]) % 2 == 0
+        rank += (np.arange(len(at)) - np.flatnonzero(head)[run - 1]) & 1 == 0
         wins = np.ones(len(at), bool)
         wins[1:] &= head[1:] | (rank[1:] > rank[:-1])
         wins[:-1] &= head[1:] | (rank[:-1] > rank[1:])
@@ -116,13 +124,15 @@ def re_pair(symbols: np.ndarray, letters: int, end: int, least: int = LEAST) ->
         number = known + np.cumsum(paying) - 1
         won = paying[codes]
         at, codes = at[won], codes[won]
-        rules.append(np.stack([pairs[paying] >> np.uint64(32), pairs[paying] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        rules.append(np.stack([pairs[paying] >> kind(half), pairs[paying] & kind((1 << half) - 1)], 1).astype(np.uint32))
         now[at] = number[codes]
         stay = np.ones(len(now), bool)
         stay[at + 1] = False
-        fresh = np.zeros(len(now), bool)
-        fresh[at] = True
-        now, live, fresh, known = now[stay], live[stay], fresh[stay], known + int(paying.sum())
+        state = live.view(np.uint8)
+        state[at] |= 2
+        stay = np.flatnonzero(stay)
+        now, state, known = now[stay], state[stay], known + int(paying.sum())
+        live, fresh = state & 1 != 0, state > 1
         fresh[:-1] |= fresh[1:]
         live |= fresh
         live[:-1] &= (now[:-1] != end) & (now[1:] != end)
@@ -205,10 +215,29 @@ class Shard:
         self._file.seek(self._at + first)
         return unpack(self._file.read(-(-stop * self._bits // 8) - first), self._bits, begin, stop - begin)
 
+    @cached_property
+    def spelled(self) -> tuple[np.ndarray, np.ndarray]:
+        """The ids that all symbols stand for, in a row, and where each symbol's begin.
+
+        A round's rules occur side by side and ``LEAST`` times each, so they are no more ids for each round than that part of the shard's.
+        """
+        spelled = expand(np.arange(len(self.lengths)), self.rules, len(self.letters))
+        return self.letters[spelled].astype(np.uint32), np.cumsum(self.lengths) - self.lengths
+
     def documents(self, lo: int, hi: int) -> np.ndarray:
         """The ids of documents lo to hi - 1 of the shard; reads no symbol of another document."""
         return self.letters[expand(self._symbols(int(self.ends[lo]), int(self.ends[hi])), self.rules, len(self.letters))].astype(np.uint32)
 
+    def scan(self, many: int = 512) -> Iterator[tuple[int, int, np.ndarray]]:
+        """All documents in a row, ``many`` at a time: (lo, hi, the ids of documents lo to hi - 1). Rules are expanded once."""
+        spelled, begins = self.spelled
+        for lo in range(0, len(self.doc_ids), many):
+            hi = min(lo + many, len(self.doc_ids))
+            symbols = self._symbols(int(self.ends[lo]), int(self.ends[hi]))
+            lengths = self.lengths[symbols]
+            stops = np.cumsum(lengths)
+            yield lo, hi, spelled[np.arange(int(self.id_ends[hi] - self.id_ends[lo])) + np.repeat(begins[symbols] - (stops - lengths), lengths)]
+
     def ids(self, document: int, lo: int, hi: int) -> np.ndarray:
         """Ids lo to hi - 1 of a document; only the symbols that reach into them are expanded."""
         symbols = self._symbols(int(self.ends[document]), int(self.ends[document + 1]))
@@ -285,10 +314,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, first in zip(batch.column("path").to_pylist(), batch.column("first_id").to_pylist(), strict=True):
             shard = Shard(path)
-            for lo in range(0, len(shard.doc_ids), 512):
-                hi = min(lo + 512, len(shard.doc_ids))
+            for lo, hi, ids in shard.scan():
                 at = shard.id_ends[lo : hi + 1]
-                lists = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(shard.documents(lo, hi).view(np.int32)))
+                lists = pa.ListArray.from_arrays(pa.array((at - at[0]).astype(np.int32)), pa.array(ids.view(np.int32)))
                 doc_ids = pa.array(shard.doc_ids[lo:hi], mask=np.arange(lo, hi) < shard.without_id)
                 yield pa.record_batch([doc_ids, pa.array(at[:-1] + first), pa.array(np.diff(at)), lists], ["doc_id", "start", "n_tokens", "ids"])
 
