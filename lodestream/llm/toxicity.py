@@ -4,7 +4,8 @@ A text's features are which n-grams of characters (ASCII letters in lower case,
 it holds, hashed into ``1 << BITS`` buckets. Each is scaled by the log ratio of its smoothed shares in toxic and other texts; a
 logistic regression on the scaled features gives the score. It is fitted on at most ``SAMPLE`` labelled texts of either
 class, chosen by a hash of the doc_id and weighted so that the classes count as they do among all labels. All buckets
-have a weight: the model that is broadcast is 4 MB whatever it was fitted on. Every whole text is scored, in one pass without a shuffle.
+have a weight: the model that is broadcast is 4 MB whatever it was fitted on. It is fitted in a task, and the driver gets no more than that
+model. Every whole text is scored, in one pass without a shuffle.
 
 Defined cases: null and empty texts have no features and score as the model's bias says; very long texts count whole; equal texts
 have equal scores; rows without a label, or with a null one, are only scored; repeated labels of a document count once each in the
@@ -32,6 +33,7 @@ BITS, LENGTHS, SAMPLE, SMOOTHING = 20, (4, 5, 6), 1_000, 20.0
 #: Feature entries that one step of fitting holds at once.
 _AT_ONCE = 1 << 20
 _FEATURES = "toxic int, buckets array<int>"
+_MODEL = "weights binary, bias double"
 
 
 def _features(texts: list[bytes], bits: int = BITS, lengths: tuple[int, ...] = LENGTHS) -> Iterator[np.ndarray]:
@@ -131,13 +133,28 @@ def _collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("toxic"), lists(rows, pa.int32())], ["toxic", "buckets"])
 
 
+def _fit(many: tuple[int, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, toxic = [], []
+        for batch in batches:
+            column = batch.column("buckets")
+            rows += [column.values[a:b].to_numpy() for a, b in zip(column.offsets[:-1].to_pylist(), column.offsets[1:].to_pylist(), strict=True)]
+            toxic += batch.column("toxic").to_pylist()
+        shares = tuple(many[c] / max(1, toxic.count(c)) for c in (0, 1))
+        model = fit_rows(rows, np.array(toxic, np.float64), shares)
+        yield pa.record_batch([pa.array([model.weights.tobytes()], pa.binary()), pa.array([model.bias], pa.float64())], ["weights", "bias"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``labels(doc_id, toxic)`` of ``docs(doc_id, text)``.
 
-    The driver gets the bucket numbers of at most 2 * ``SAMPLE`` texts, at most ``1 << BITS`` of each however long it is.
+    One task gets the bucket numbers of at most 2 * ``SAMPLE`` texts, at most ``1 << BITS`` of each however long it is; the driver gets
+    the weights.
     """
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", (F.col("toxic") != 0).cast("int").alias("toxic"))
-    many = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    many = tuple(known.agg(*(F.count_if(F.col("toxic") == c) for c in (0, 1))).collect()[0])
     order = (F.xxhash64("doc_id"), "doc_id")
     chosen = [known.where(F.col("toxic") == c).orderBy(*order).limit(SAMPLE) for c in (0, 1)]
     # At most 2 * SAMPLE ids are broadcast; texts become bucket numbers before they leave their tasks.
@@ -146,14 +163,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     once = Window.partitionBy("doc_id", "toxic").orderBy(F.xxhash64("text"), "text")
     picked = picked.withColumn("n", F.row_number().over(once)).where("n = 1").select("toxic", "text")
     table = durable(picked.transform(in_tasks, _collect, _FEATURES), "features")
-    rows, toxic = [], []
-    for batch in table.toArrow().to_batches():
-        column = batch.column("buckets")
-        rows += [column.values[a:b].to_numpy() for a, b in zip(column.offsets[:-1].to_pylist(), column.offsets[1:].to_pylist(), strict=True)]
-        toxic += batch.column("toxic").to_pylist()
+    fitted = table.coalesce(1).transform(in_tasks, _fit(many), _MODEL).collect()[0]
     release(table)
-    shares = tuple(many.get(c, 0) / max(1, toxic.count(c)) for c in (0, 1))
-    return fit_rows(rows, np.array(toxic, np.float64), shares)
+    return Model(np.frombuffer(fitted["weights"], np.float32), fitted["bias"])
 
 
 def _score(model, names: list[str]):

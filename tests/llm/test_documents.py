@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and the cases that their docstrings define."""
 
 import hashlib
+import os
 import re
 import zlib
 from collections import Counter
@@ -407,6 +408,24 @@ def test_toxicity_edges(spark, messy, none):
     assert {r["predicted"] for r in toxicity.score(messy, toxicity.fit(messy, labels.limit(0))).collect()} == {0}
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark, monkeypatch):
+    """A task gets the features and the driver the weights; they are those of fitting on all labelled texts."""
+    texts = [f"{'vile ugly words' if i % 3 == 0 else 'a river and a tree'} number {i}" for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(30)], "doc_id long, toxic int")
+    real, driver = toxicity.fit_rows, os.getpid()
+
+    def elsewhere(*args):
+        if os.getpid() == driver:
+            raise AssertionError("fitted in the driver")
+        return real(*args)
+
+    monkeypatch.setattr(toxicity, "fit_rows", elsewhere)
+    model = toxicity.fit(docs, labels)
+    want = real(list(toxicity._features([t.encode() for t in texts])), np.array([float(i % 3 == 0) for i in range(30)]), (1.0, 1.0))
+    assert np.allclose(model.weights, want.weights, atol=1e-6) and abs(model.bias - want.bias) < 1e-6 and model.weights.any()
+
+
 def test_merge_dropout(spark, messy, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = merge_dropout.encode(messy, path)
