@@ -11,7 +11,8 @@ dealt out and sorted as Spark jobs:
    in a third of all documents is spread over the cluster.
 3. Each task puts the suffixes of each minimizer's segments in order by deep-shallow sorting: a multikey quicksort on
    8-byte characters to a shallow depth, then blind tries for groups that still share their whole prefix. Neighbours in
-   that order that agree on ``length`` bytes are equal strings; all but the earliest are repeated.
+   that order that agree on ``length`` bytes are equal strings; all but the earliest are repeated. The suffixes of one
+   minimizer that are too many to be sorted at once are divided by a hash of their bytes, which equal ones share.
 4. Repeated spans go back to their documents, are merged and cut out.
 
 Defined cases: null and empty texts have nothing to remove; a text shorter than ``length`` is kept whole; rows without a
@@ -40,8 +41,10 @@ GRAM, SHALLOW = 32, 24
 HOT = 50_000
 #: Segments by which a task knows what it has sent before.
 SEEN = 200_000
-#: Windows of a segment at most, bytes of a piece of a long text, and segment bytes sorted at once.
-LONGEST, PIECE, SORTED_AT_ONCE = 4095, 1 << 22, 6 << 20
+#: Windows of a segment at most, and bytes of a piece of a long text.
+LONGEST, PIECE = 4095, 1 << 22
+#: Windows that a task sorts at once (some 300 bytes each while they are sorted), and for which it gathers segments of several minimizers.
+SORTED_AT_ONCE, GATHERED = 1 << 17, 1 << 16
 _RUN = 13  # a segment is its start, 12 bits for its windows, and one that says whether its minimizer occurs twice in it
 _PLACE = U(0xFFFFFF)
 
@@ -273,6 +276,26 @@ def deep_shallow(data: np.ndarray, starts: np.ndarray, length: int, shallow: int
     return [order[b:e] for b, e in zip(begin.tolist(), end.tolist(), strict=True)]
 
 
+def _portions(data: np.ndarray, starts: np.ndarray, length: int) -> Iterator[np.ndarray]:
+    """Ascending numbers of the windows ``starts`` of ``data`` to be sorted at once; equal windows are in one portion.
+
+    More than ``SORTED_AT_ONCE`` are divided by a hash of all their bytes.
+    """
+    many = -(-len(starts) // SORTED_AT_ONCE)
+    if many < 2:
+        yield np.arange(len(starts))
+        return
+    words, drawn = _load(data), np.empty(len(starts), np.uint32)
+    for lo in range(0, len(starts), SORTED_AT_ONCE):
+        at = starts[lo : lo + SORTED_AT_ONCE]
+        name = np.zeros(len(at), np.uint64)
+        for i in (*range(0, length - 8, 8), length - 8):
+            name = mix(name ^ words[at + i])
+        drawn[lo : lo + len(at)] = name % U(many)
+    order = np.argsort(drawn, kind="stable")
+    yield from np.split(order, np.cumsum(np.bincount(drawn, minlength=many))[:-1])
+
+
 def repeated(parts: list[tuple], length: int, keys: list[int] | None = None) -> list[tuple]:
     """``(document, place, bytes)`` of the spans of repeated windows in segments ``(document, place, windows, bytes)``.
 
@@ -290,19 +313,22 @@ def repeated(parts: list[tuple], length: int, keys: list[int] | None = None) ->
     counts = np.array([x[2] for x in own], np.int64)
     sizes = np.array([len(x[3]) for x in own], np.int64)
     data = np.frombuffer(b"".join(x[3] for x in own) + bytes(16), np.uint8)
-    owner = np.repeat(np.arange(len(own)), counts)
-    step = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-    starts = (np.cumsum(sizes) - sizes)[owner] + step
-    order, equal = suffix_order(data, starts, length, group=np.array(groups, np.int64)[owner])
+    owner = np.repeat(np.arange(len(own), dtype=np.int32), counts)
+    starts = np.arange(len(owner))
+    starts += np.repeat(np.cumsum(sizes) - sizes - np.cumsum(counts) + counts, counts)
+    group = np.array(groups, np.int64)
     again = np.zeros(len(starts) + 1, bool)
-    again[order[equal]] = True  # of equal ones the first is the earliest: members are numbered in the order of places
+    for some in _portions(data, starts, length):
+        order, equal = suffix_order(data, starts[some], length, group=group[owner[some]])
+        again[some[order[equal]]] = True  # of equal ones the first is the earliest: members are numbered in the order of places
     flag = again[:-1]
     new = np.r_[True, owner[1:] != owner[:-1]] if len(owner) else np.zeros(0, bool)
     begin = np.flatnonzero(flag & (new | ~np.r_[False, flag[:-1]]))
     stop = np.flatnonzero(flag & (np.r_[new[1:], True] | ~again[1:]))
-    for b, e in zip(begin.tolist(), stop.tolist(), strict=True):
+    step = begin - (np.cumsum(counts) - counts)[owner[begin]]
+    for b, e, at in zip(begin.tolist(), stop.tolist(), step.tolist(), strict=True):
         doc, place, _, _ = own[owner[b]]
-        spans.append((doc, place + int(step[b]), e - b + length))
+        spans.append((doc, place + at, e - b + length))
     return spans
 
 
@@ -321,12 +347,12 @@ def _sort(length: int):
                 if part is None:
                     known.append(((doc, tag), place, n + length - 1))
                     continue
-                if size > SORTED_AT_ONCE and route != last:
+                if size > GATHERED and route != last:
                     yield out(repeated(waiting, length, keys))
                     waiting, keys, size = [], [], 0
                 waiting.append(((doc, tag), place, n, part))
                 keys.append(route)
-                size, last = size + len(part), route
+                size, last = size + n, route
             yield out(known)
         if waiting:
             yield out(repeated(waiting, length, keys))

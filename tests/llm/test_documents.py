@@ -3,11 +3,13 @@
 import hashlib
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,6 +145,52 @@ def test_suffix_repeated_rows_keep_one_copy(spark, monkeypatch, hot):
     assert suffix_dedup.repeated(parts, 100) == [(2, 7, 400)]
 
 
+def segments_of_one_route(many, windows):
+    """Arrow batches of segments of one minimizer in ascending places; every tenth is followed by one that ends with its bytes."""
+    rng = np.random.default_rng(11)
+    parts = [rng.integers(97, 123, windows + 99).astype(np.uint8).tobytes() for _ in range(many)]
+    parts = [p if i % 10 != 1 else b"-" + parts[i - 1][1:] for i, p in enumerate(parts)]
+    columns = ([7] * many, list(range(many)), [0] * many, [3] * many, [windows] * many, parts)
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+    table = pa.table([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["route", "doc_id", "tag", "place", "n", "part"])
+    return table.to_batches(max_chunksize=1_000)
+
+
+def test_suffix_sort_of_one_minimizer_is_bounded_in_memory():
+    batches, want = segments_of_one_route(6_000, 200), [(i, 4, 298) for i in range(1, 6_000, 10)]  # 1.2 million windows
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(suffix_dedup._sort(100)(iter(batches)))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(zip(*(out.column(c).to_pylist() for c in ("doc_id", "place", "bytes")), strict=True)) == want
+    assert peak < 90_000_000
+
+
+def test_suffix_sort_in_portions_finds_the_same(monkeypatch):
+    rng = np.random.default_rng(12)
+    text = np.concatenate([rng.integers(97, 99, 400), np.full(300, 97), rng.integers(97, 123, 200)] * 2).astype(np.uint8).tobytes()
+    parts = [(int(rng.integers(1, 4)), at, n, text[at : at + n + 99]) for at, n in zip(range(0, 1_500, 7), rng.integers(1, 90, 215).tolist(), strict=True)]
+    parts += [(4, at, n, part) for _, at, n, part in parts[::5]]
+    keys = [int(x) for x in rng.integers(0, 2, len(parts))]
+    for own in (None, keys):
+        want = suffix_dedup.repeated(parts, 100, own)
+        for at_once in (1, 50, 1_000):
+            with monkeypatch.context() as m:
+                m.setattr(suffix_dedup, "SORTED_AT_ONCE", at_once)
+                assert suffix_dedup.repeated(parts, 100, own) == want
+    starts = np.arange(1_500)
+    data = np.frombuffer(text + bytes(16), np.uint8)
+    monkeypatch.setattr(suffix_dedup, "SORTED_AT_ONCE", 100)
+    found = list(suffix_dedup._portions(data, starts, 100))
+    assert len(found) == 15 and sorted(np.concatenate(found).tolist()) == starts.tolist()
+    where = {}
+    for k, portion in enumerate(found):
+        assert (np.diff(portion) > 0).all()
+        assert all(where.setdefault(text[i : i + 100], k) == k for i in portion.tolist())
+
+
 def test_deep_shallow_groups():
     rng = np.random.default_rng(3)
     for length in (32, 40, 100):
